@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import canonical, repeated_lines
+from pressmill.llm import article_pass, canonical, languages, repeated_lines, residue, truncation
 from pressmill.session import table
 
 
@@ -35,5 +35,53 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_blocks(table(spark, sf_dir, "articles"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p4_found": p4_found, "p4_blocks": p4_blocks, "p4_clean": p4_clean}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, lang) of the articles whose language label is missing, wrong, or one of several."""
+    return languages.found(table(spark, sf_dir, "articles"), table(spark, sf_dir, "article_labels"))
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, lang, words, confidence) of every article."""
+    return languages.languages(table(spark, sf_dir, "articles"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id) of the articles whose content breaks off."""
+    return truncation.found(table(spark, sf_dir, "articles"))
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_key, articles, cut, share): how often each outlet truncates."""
+    return truncation.shares(table(spark, sf_dir, "articles"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id) of the articles whose content is template residue, filler or a message."""
+    a = table(spark, sf_dir, "articles")
+    return article_pass.residue_found(a, residue.train(a))
+
+
+def p6_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's figures on outlets it hasn't seen."""
+    return residue.validation(table(spark, sf_dir, "articles"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, line_no) of the lines that aren't the report's own."""
+    a = table(spark, sf_dir, "articles")
+    return article_pass.lines_outside(a, residue.train(a))
+
+
+def p7_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, report): the main body of every article."""
+    return article_pass.report_text(table(spark, sf_dir, "articles"))
+
+
+def p7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, body): the main body of every landed HTML page."""
+    return article_pass.page_bodies(table(spark, sf_dir, "raw_articles"))
+
+
+_ALL = (p1_found, p1_unmatched, p3_found, p3_languages, p4_found, p4_blocks, p4_clean, p5_found, p5_shares, p6_found, p6_validation, p7_found, p7_reports, p7_pages)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
