@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm import article_pass, canonical, languages, repeated_lines, residue, truncation
+from pressmill.llm import article_pass, canonical, languages, leaks, packing, repeated_lines, residue, spam, truncation
 from pressmill.session import table
 
 
@@ -82,6 +82,39 @@ def p7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return article_pass.page_bodies(table(spark, sf_dir, "raw_articles"))
 
 
-_ALL = (p1_found, p1_unmatched, p3_found, p3_languages, p4_found, p4_blocks, p4_clean, p5_found, p5_shares, p6_found, p6_validation, p7_found, p7_reports, p7_pages)
+def p8_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_name, pack_id, doc_id, piece_no, tokens): the pack of every document, for each capacity."""
+    return packing.packs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_name, packs, least, unused) for each capacity."""
+    return packing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of the documents that carry an item's wording."""
+    return leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, documents): the items that leaked."""
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id) of the documents that are search spam."""
+    return spam.found(table(spark, sf_dir, "documents"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, share) of every document: the share of its characters that is there for search."""
+    return spam.shares(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    p1_found, p1_unmatched, p3_found, p3_languages, p4_found, p4_blocks, p4_clean, p5_found, p5_shares, p6_found, p6_validation,
+    p7_found, p7_reports, p7_pages, p8_packs, p8_report, p9_found, p9_items, p10_found, p10_shares,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
