@@ -20,12 +20,13 @@ CHUNK = 4_000_000
 
 
 class Article:
-    __slots__ = ("id", "source", "title", "lines", "marks", "score", "label")
+    __slots__ = ("id", "source", "title", "lines", "kinds", "marks", "score", "label")
 
     def __init__(self, id, source, title, content, label=None):
         self.id, self.source, self.title, self.label = id, source, title, label
         self.lines = content.split("\n") if content is not None else []
-        self.marks = pages.label(self.lines, title) if self.lines else []
+        self.kinds = [pages.kind(x) for x in self.lines]
+        self.marks = pages.label(self.lines, title, kinds=self.kinds)
         self.score = 0.0
 
     @property
@@ -37,7 +38,7 @@ def _read(batches: Iterator[pa.RecordBatch], model: residue.ResidueModel | None)
     def scored(chunk: list[Article]) -> list[Article]:
         if model is not None:
             full = [a for a in chunk if any(x.strip() for x in a.lines)]
-            scores = model.scores([residue.body(a.lines, a.title) for a in full], [a.title for a in full])
+            scores = model.scores([residue.body(a.lines, a.title, a.kinds) for a in full], [a.title for a in full])
             for a, s in zip(full, scores):
                 a.score = float(s)
         return chunk

@@ -58,6 +58,7 @@ _BULLET = re.compile(r"^[-*•–·]\s+\S")
 _LABELLED = re.compile(r"^[^:]{2,40}:\s.*\d[\d,.]*\s+[^\W\d_]+,.*\d[\d,.]*\s+[^\W\d_]+$")
 _NUMBER = re.compile(r"\d[\d,.:]*")
 _SEP = re.compile(r"\s*[|/·•›»>]\s*|\s{2,}|\s+-\s+")
+_SEPARATORS = ("|", "/", "·", "•", "›", "»", ">", " - ")
 _DECOR = re.compile(r"(?:\s*(?:\(\d{1,4}\)|[»›!]))+$")
 _END = re.compile(r"[.!?…][\"”’'»)\]]*$")
 _SIGNOFF = re.compile(r"\s*(?:-30-|-\s?end\s?-|###|—\s?[A-Z][\w.\-' ñÑ]{1,40}|\([A-Z][\w.\-' ñÑ]{1,40}\)|/[a-z]{2,4}|\bPR\b)\s*$")
@@ -81,11 +82,11 @@ _ODD = str.maketrans({0xA0: " ", 0x202F: " ", 0x2007: " ", 0x3000: " ", 0x200B:
 
 
 def _kind(text: str) -> int:
-    s = text.translate(_ODD).strip()
+    s = (text if text.isascii() else text.translate(_ODD)).strip()
     low = s.lower()
     if not any(c.isalpha() for c in s):
         return _NONE
-    core = _DECOR.sub("", low).rstrip()
+    core = _DECOR.sub("", low).rstrip() if low[-1] in ")»›!" else low
     plain = core.rstrip(".:")
     if plain in HEADERS:
         return _HEADER
@@ -102,7 +103,7 @@ def _kind(text: str) -> int:
         return _FURN
     if _POINT.match(low) and not long or (_BRACKETED.match(s) and n >= (5 if s.isupper() else 3)):
         return _POINTER
-    parts = [p for p in _SEP.split(core) if p]
+    parts = [p for p in _SEP.split(core) if p] if "  " in core or any(c in core for c in _SEPARATORS) else [core]
     if len(parts) >= 3 and sum(p in MENU for p in parts) * 2 >= len(parts):
         return _FURN
     if low.startswith("#") and all(w.startswith("#") for w in low.split()):
@@ -122,9 +123,15 @@ def _kind(text: str) -> int:
     return _OPEN
 
 
+# what a long line must not have to pass for running prose at a glance
+_GLANCE = re.compile(r"ookie|racker|usage data|small files|rivacy|imilar tools|^.{0,24}[:|]|^\W*[-*•–·»›>\[{<#]|^\s*\d{1,2}[.)]\s|  ")
+
+
 def kind(text: str) -> int:
     """The kind of a line by its wording; short lines, which recur, are remembered."""
     if len(text) > 130:
+        if text[-1] in ".!?\"" and text.count(" ") > 16 and text[-2] != "(" and not _GLANCE.search(text):
+            return _PROSE
         return _kind(text)
     k = _memo.get(text)
     if k is None:
@@ -161,9 +168,9 @@ def _threshold(values: list[float]) -> float:
     return min(max((lo + hi) / 2, 45.0), 62.0)
 
 
-def label(lines: list[str], title: str | None = None, tags: list[int] | None = None) -> list[int]:
-    """BLANK, REPORT or FURNITURE for each line. tags: the tags that each line came from, 1 each if not given."""
-    kinds = [kind(x) for x in lines]
+def label(lines: list[str], title: str | None = None, tags: list[int] | None = None, kinds: list[int] | None = None) -> list[int]:
+    """BLANK, REPORT or FURNITURE for each line. tags: the tags that each line came from, 1 each if not given; kinds: of the lines, if known."""
+    kinds = [kind(x) for x in lines] if kinds is None else list(kinds)
     own = (title or "").strip().lower()
     out = [BLANK if k == _NONE else FURNITURE if k in (_FURN, _HEADER, _POINTER) else REPORT for k in kinds]
     if _OPEN not in kinds:

@@ -39,19 +39,17 @@ _WEAK = re.compile(
     r"|javascript|scripts? (?:enabled|to read|in your browser)|without scripts|checking your browser|complete the check|enable cookies|are you (?:a )?(?:human|robot)|request has been blocked|unusual traffic|under maintenance|down for maintenance|being upgraded|domain has expired|page you are looking for|could not find that|nothing was found|link is broken|server is too busy|try again (?:in|later)|^oops|have been blocked|^forbidden\b|verifying that you|too many requests|maintenance in progress|incident id|^\(?(?:session |ray id:? ?|trace:? ?)?[0-9a-f]{6,}\)?$"
     r"|hindi makita ang pahina|may problema sa server|wala makit-i ang panid|saan a nasarakan|p[áa]gina no encontrada|servicio no disponible|buksan ang javascript|habilit[ae] javascript",
     re.IGNORECASE)
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[{}<>%$\[\]@#=|\\]+|[.:;/]{2,}")
-_hashes: dict[str, int] = {}
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|[{}<>%$\[\]@#=|\\]+|[.:;/]{2,}|\n")
 
 
-def body(lines: list[str], title: str | None) -> list[str]:
+def body(lines: list[str], title: str | None, kinds: list[int] | None = None) -> list[str]:
     """The lines that are neither blank, nor furniture by their wording, nor the headline."""
     own = (title or "").strip().lower()
     out, widget = [], False
-    for x in lines:
+    for x, k in zip(lines, [pages.kind(x) for x in lines] if kinds is None else kinds):
         s = x.strip()
-        if not s or s.lower() == own:
+        if not s or (len(s) == len(own) and s.lower() == own):
             continue
-        k = pages.kind(x)
         if k == pages._HEADER:
             widget = True
             continue
@@ -85,21 +83,22 @@ def weak_label(lines: list[str]) -> int | None:
     return 1 if (residue and words < 25) or filler else None
 
 
+class _Hashes(dict):
+    """Token -> hash; digits count only by their number."""
+
+    def __missing__(self, t: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[t] = zlib.crc32(("0" * len(t) if t.isdigit() else t).encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
+        return h
+
+
+_hashes = _Hashes()
+
+
 def _features(lines: list[str]) -> tuple[list[int], int]:
     """(hashes of the tokens of one body, its lines of running prose)."""
-    out, prose = [], 0
-    for x in lines:
-        tokens = _TOKEN.findall(x.lower())
-        prose += _prose(tokens)
-        for t in tokens:
-            h = _hashes.get(t)
-            if h is None:
-                if len(_hashes) > 500_000:
-                    _hashes.clear()
-                h = _hashes[t] = zlib.crc32(("0" * len(t) if t.isdigit() else t).encode()) & 0x7FFFFFFF
-            out.append(h)
-        out.append(7)  # end of a line
-    return out, prose
+    return list(map(_hashes.__getitem__, _TOKEN.findall("\n".join(lines).lower()))), sum(len(x) > 60 and pages.kind(x) == pages._PROSE for x in lines)
 
 
 def _indexes(bodies: list[list[str]], titles: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
