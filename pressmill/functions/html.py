@@ -100,14 +100,18 @@ def parse(html: str | None, base: str | None = None) -> tuple:
     return p.title or None, p.headings, section, p.crumb, date, p.meta.get(("property", "og:type")), p.jsonld, links, p.paragraphs
 
 
-@F.pandas_udf(SCHEMA)
-def parsed(html: pd.Series, base: pd.Series) -> pd.DataFrame:
+def _parsed(html: pd.Series, base: pd.Series) -> pd.DataFrame:
     rows = [parse(h if isinstance(h, str) else None, b if isinstance(b, str) else None) for h, b in zip(html, base)]
     out = pd.DataFrame(rows, columns=["title", "headings", "section", "breadcrumb", "date", "og_type", "jsonld", "links", "paragraphs"])
     out["links"] = [[{"url": u, "text": t} for u, t in x] for x in out["links"]]
     return out
 
 
+def parsed(html: Column, base: Column) -> Column:
+    """STRUCT of what a page says (SCHEMA); base completes relative links."""
+    return F.pandas_udf(_parsed, SCHEMA)(html, base)
+
+
 def meta_content(html: Column, kind: str, name: str) -> Column:
     """The content of a meta tag, by pattern alone."""
     n = re.escape(name)

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from pressmill.functions.keys import letters_only
 from pressmill.session import staged
 
-#: Month names in English, Filipino and Spanish, as their first three or more letters.
+#: Candidate zones at most; the IANA database has no more.
+MOST_ZONES = 600
+# Month names in English, Filipino and Spanish, as their first three or more letters.
 MONTHS = {
     1: ("january", "jan", "enero", "ene"), 2: ("february", "feb", "pebrero", "peb", "febrero"), 3: ("march", "mar", "marso", "marzo"),
     4: ("april", "apr", "abril", "abr"), 5: ("may", "mayo"), 6: ("june", "jun", "hunyo", "hun", "junio"), 7: ("july", "jul", "hulyo", "hul", "julio"),
@@ -122,12 +124,11 @@ def estimate_zones(local: DataFrame, candidates: DataFrame, tolerance_s: int = 3
     """
     us = 1_000_000
     rows = local.where(F.col("local_us").isNotNull() & F.col("offset_s").isNull() & F.col("ingested_us").isNotNull())
-    zones = candidates.where(F.col("zone").isNotNull()).select("zone").distinct()
     delay = F.col("ingested_us") - to_instant(F.col("local_us"), F.lit(None).cast("int"), F.col("zone"))
     cost = F.when(delay < -tolerance_s * us, 1.0).otherwise(F.least(F.greatest(delay, F.lit(0)) / (horizon_s * us), F.lit(1.0)))
-    # a list of the candidates (a fixed few) rides along each row: no join, let alone a cross join
-    listed = zones.agg(F.sort_array(F.collect_set("zone")).alias("zones"))
-    each = rows.join(F.broadcast(listed)).select("outlet", "site_zone", "ingested_us", "local_us", F.explode("zones").alias("zone"))
+    # the candidates, a fixed few, ride along each row as a literal: no join
+    zones = sorted(r[0] for r in candidates.where(F.col("zone").isNotNull()).select("zone").distinct().limit(MOST_ZONES).collect())
+    each = rows.select("outlet", "site_zone", "ingested_us", "local_us", F.explode(F.array(*[F.lit(z) for z in zones]).cast("array<string>")).alias("zone"))
     per = each.groupBy("outlet", "zone").agg(F.max("site_zone").alias("declared"), F.count("*").alias("n"), F.avg(cost).alias("cost"))
     best = per.groupBy("outlet").agg(F.max("declared").alias("declared"), F.max("n").alias("n"), F.min(F.struct("cost", "zone")).alias("b"),
                                      F.min(F.when(F.col("zone") == F.col("declared"), F.col("cost"))).alias("declared_cost"))

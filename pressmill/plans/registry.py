@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pressmill.plans import problems
+from pressmill.plans import dashboards, problems, reading, research, texts
 
-_MODULES = (problems,)
+_MODULES = (reading, dashboards, texts, research, problems)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
-FLAGSHIP = QUERIES["p2_found"]
+FLAGSHIP = QUERIES["trends_daily"]
