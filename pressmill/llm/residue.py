@@ -135,7 +135,7 @@ class ResidueModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, bodies: list[list[str]], titles: list[str | None], labels: list[int], l2: float = 2e-5, steps: int = 300, rate: float = 12.0) -> ResidueModel:
+    def fit(cls, bodies: list[list[str]], titles: list[str | None], labels: list[int], l2: float = 1e-6, steps: int = 120, rate: float = 0.05) -> ResidueModel:
         if not bodies:
             return cls(np.zeros(_SIZE, np.float32), -5.0)
         idx, owner = _indexes(bodies, titles)
@@ -144,14 +144,16 @@ class ResidueModel:
         value = 1 / np.sqrt(np.bincount(owner, minlength=n))[owner]
         # both classes weigh the same
         cost = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * n
-        w, b = np.zeros(_SIZE), 0.0
-        vw, vb = np.zeros(_SIZE), 0.0
-        for _ in range(steps):
-            z = np.bincount(owner, weights=w[idx] * value, minlength=n) + b
+        # Adam: a feature that few pages have moves as far as one that many have
+        w, m1, m2 = np.zeros(_SIZE + 1), np.zeros(_SIZE + 1), np.zeros(_SIZE + 1)
+        for t in range(1, steps + 1):
+            z = np.bincount(owner, weights=w[idx] * value, minlength=n) + w[-1]
             g = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-            vw = 0.9 * vw - rate * 0.1 * (np.bincount(idx, weights=g[owner] * value, minlength=_SIZE) + l2 * w)
-            vb = 0.9 * vb - rate * 0.1 * g.sum()
-            w, b = w + vw, b + vb
+            grad = np.append(np.bincount(idx, weights=g[owner] * value, minlength=_SIZE), g.sum()) + l2 * w
+            m1 = 0.9 * m1 + 0.1 * grad
+            m2 = 0.999 * m2 + 0.001 * grad * grad
+            w -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        w, b = w[:-1], w[-1]
         return cls(w.astype(np.float32), float(b))
 
 
