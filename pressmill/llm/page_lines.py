@@ -50,7 +50,6 @@ _RULES = [
 _FURNITURE = re.compile("|".join(f"(?:{r})" for r in _RULES))
 _BYLINE = re.compile(rf"^(?:(?:words|text|story|report|reporting|written|analysis|photos?) )?(?:by|ni|nina|por|ti|sinulat ni|gisulat ni|insurat ni)\s+{_NAME}(?:\s+{_NAME}){{0,3}}(?:\s*(?:,|\||and|at|y|ug|ken)\s*{_NAME}(?:\s+{_NAME}){{0,3}})?$")
 _CREDIT = re.compile(rf"^{_NAME}(?:\s+{_NAME}){{1,3}}\s+\|\s+{_NAME}(?:\s+{_NAME}){{0,3}}$")
-_COOKIE = re.compile(r"cookie|tracker|usage data|small files on your device|your privacy matters|similar tools")
 _CONSENT = re.compile(r"\b(?:we|our|us|vendors?|partners?|advertisers|third parties|accept|agree|reject|consent|settings|privacy|the editors)\b")
 _POINT = re.compile(r"^(?:read(?: more| also| next)?|also see|see also|also read|related(?: story| stories)?|basahin(?: rin| din)?|basaha(?: usab)?|basaen|lee? (?:también|además)|lea también|watch|panoorin|more|next|up next|don't miss|just in|breaking|exclusive)\s*[:|–—]\s*\S|^(?:»|›|>>|>|→|▸)\s*\S")
 _NUMBERED = re.compile(r"^\d{1,2}[.)]\s+\S")
@@ -95,7 +94,7 @@ def _kind(text: str) -> int:
     words = _WORD.findall(low)
     n = len(words)
     long = n >= 24
-    if _COOKIE.search(low) and _CONSENT.search(low) and not low.startswith(('"', "“", "«")) and ("agree" in low or "accept" in low or "ok to" in low or "settings" in low or "polic" in low or n < 16):
+    if _consent(low) and _CONSENT.search(low) and not low.startswith(('"', "“", "«")) and ("agree" in low or "accept" in low or "ok to" in low or "settings" in low or "polic" in low or n < 16):
         return _FURN
     if n <= 16 and _FURNITURE.search(plain):
         return _FURN
@@ -110,7 +109,7 @@ def _kind(text: str) -> int:
         return _FURN
     if _BULLET.match(s):
         return _ITEM
-    if _END.search(s) or _SIGNOFF.search(s):
+    if _END.search(s[-8:]) or _SIGNOFF.search(s[-48:]):
         return _PROSE if n >= 4 or s[:1] in "\"“«" else _OPEN
     if len(parts) >= 3 and not long and all(len(p.split()) <= 3 for p in parts) and "," not in core:
         return _FURN
@@ -123,14 +122,18 @@ def _kind(text: str) -> int:
     return _OPEN
 
 
-# what a long line must not have to pass for running prose at a glance
-_GLANCE = re.compile(r"ookie|racker|usage data|small files|rivacy|imilar tools|^.{0,24}[:|]|^\W*[-*•–·»›>\[{<#]|^\s*\d{1,2}[.)]\s|  ")
+# what a long line must not begin with to pass for running prose at a glance
+_HEAD = re.compile(r"[^:|]{0,24}[:|]|\W*[-*•–·»›>\[{<#]|\s*\d{1,2}[.)]\s")
+
+
+def _consent(low: str) -> bool:
+    return "cookie" in low or "tracker" in low or "usage data" in low or "small files on your device" in low or "your privacy matters" in low or "similar tools" in low
 
 
 def kind(text: str) -> int:
     """The kind of a line by its wording; short lines, which recur, are remembered."""
     if len(text) > 130:
-        if text[-1] in ".!?\"" and text.count(" ") > 16 and text[-2] != "(" and not _GLANCE.search(text):
+        if text[-1] in ".!?\"" and text.count(" ") > 16 and "  " not in text and not _HEAD.match(text) and not _consent(text.lower()):
             return _PROSE
         return _kind(text)
     k = _memo.get(text)

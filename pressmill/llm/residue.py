@@ -42,10 +42,30 @@ _WEAK = re.compile(
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[{}<>%$\[\]@#=|\\]+|[.:;/]{2,}|\n")
 
 
-def body(lines: list[str], title: str | None, kinds: list[int] | None = None) -> list[str]:
-    """The lines that are neither blank, nor furniture by their wording, nor the headline."""
+_weak_memo: dict[str, bool] = {}
+
+
+def _weak(line: str) -> bool:
+    """Whether a line's wording is that of a response or a template; short lines, which recur, are remembered."""
+    if len(line) > 130:
+        return bool(_WEAK.search(line))
+    k = _weak_memo.get(line)
+    if k is None:
+        if len(_weak_memo) > 300_000:
+            _weak_memo.clear()
+        k = _weak_memo[line] = bool(_WEAK.search(line))
+    return k
+
+
+class Body(list):
+    """The lines of a page that are neither blank, nor furniture by their wording, nor the headline; `prose` counts those of running prose."""
+
+    prose = 0
+
+
+def body(lines: list[str], title: str | None, kinds: list[int] | None = None) -> Body:
     own = (title or "").strip().lower()
-    out, widget = [], False
+    out, widget = Body(), False
     for x, k in zip(lines, [pages.kind(x) for x in lines] if kinds is None else kinds):
         s = x.strip()
         if not s or (len(s) == len(own) and s.lower() == own):
@@ -55,10 +75,11 @@ def body(lines: list[str], title: str | None, kinds: list[int] | None = None) ->
             continue
         if k in (pages._PROSE, pages._ITEM):
             widget = False
-        if k in (pages._FURN, pages._POINTER) or (widget and k == pages._OPEN):
-            if not _WEAK.search(s):
+        elif k in (pages._FURN, pages._POINTER) or (widget and k == pages._OPEN):
+            if not _weak(s):
                 continue
         out.append(s)
+        out.prose += k == pages._PROSE and len(s) > 60
     return out
 
 
@@ -96,27 +117,24 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def _features(lines: list[str]) -> tuple[list[int], int]:
-    """(hashes of the tokens of one body, its lines of running prose)."""
-    return list(map(_hashes.__getitem__, _TOKEN.findall("\n".join(lines).lower()))), sum(len(x) > 60 and pages.kind(x) == pages._PROSE for x in lines)
-
-
-def _indexes(bodies: list[list[str]], titles: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def _indexes(bodies: list[Body], titles: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(feature indexes, page of each), all pages of a batch at once."""
-    both = [_features(b) for b in bodies]
-    per, extra = [f for f, _ in both], []
-    for b, t, (f, prose) in zip(bodies, titles, both):
+    hashed = _hashes.__getitem__
+    flat, extra, lengths = [], [], np.zeros(len(bodies), np.int64)
+    for k, (b, t) in enumerate(zip(bodies, titles)):
+        n = len(flat)
+        flat += map(hashed, _TOKEN.findall("\n".join(b).lower()))
+        lengths[k] = n = len(flat) - n
         first = b[0].lower() if b else ""
-        extra.append([min(len(f).bit_length(), 15), 16 + min(prose, 7), 24 + min(len(b), 15), 40 + any(len(w) > 4 and w in first for w in (t or "").lower().split())])
-    lengths = np.array([len(f) for f in per])
-    flat = np.fromiter((h for f in per for h in f), np.int64, int(lengths.sum()))
+        extra.append([min(n.bit_length(), 15), 16 + min(b.prose, 7), 24 + min(len(b), 15), 40 + any(len(w) > 4 and w in first for w in (t or "").lower().split())])
+    flat = np.array(flat, np.int64)
     follow = np.empty_like(flat)
     if len(flat):
         follow[:-1], follow[-1] = flat[1:], 7
     uni = flat % (_SIZE - _EXTRA) + _EXTRA
     bi = (flat * 1_000_003 + follow * 31 + 5) % (_SIZE - _EXTRA) + _EXTRA
-    page = np.repeat(np.arange(len(per)), lengths)
-    return np.concatenate([uni, bi, np.array(extra, np.int64).ravel()]), np.concatenate([page, page, np.repeat(np.arange(len(per)), 4)])
+    page = np.repeat(np.arange(len(bodies)), lengths)
+    return np.concatenate([uni, bi, np.array(extra, np.int64).ravel()]), np.concatenate([page, page, np.repeat(np.arange(len(bodies)), 4)])
 
 
 class ResidueModel:
@@ -181,10 +199,10 @@ def _training(rows: list[tuple]) -> tuple[list, list, list, list]:
         bodies.append(b), titles.append(title), labels.append(y), hosts.append(host)
         if y == 0:  # the same text, broken off early
             k = 1 + zlib.crc32(str(i).encode()) % 90
-            bodies.append([b[0][:k]]), titles.append(title), labels.append(0), hosts.append(host)
+            bodies.append(body([b[0][:k]], None)), titles.append(title), labels.append(0), hosts.append(host)
         elif len(b) > 1:  # each of its lines alone
             for x in b:
-                bodies.append([x]), titles.append(title), labels.append(1), hosts.append(host)
+                bodies.append(Body([x])), titles.append(title), labels.append(1), hosts.append(host)
     return bodies, titles, labels, hosts
 
 
