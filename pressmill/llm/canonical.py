@@ -165,6 +165,6 @@ def article_sections(articles: DataFrame, category_list: DataFrame) -> DataFrame
 
 def found(articles: DataFrame, category_list: DataFrame) -> DataFrame:
     """p1_found: (article_id, category_id) of the typed values that aren't, character for character, a name of the list."""
-    names = [r[0] for r in category_list.select("category_name").distinct().limit(SHARD).collect()]
-    s = article_sections(articles, category_list).where(F.col("typed").isNotNull() & ~F.col("typed").isin(names))
-    return s.select("article_id", "category_id")
+    names = category_list.select(F.col("category_name").alias("typed")).where(F.col("typed").isNotNull()).distinct()
+    s = article_sections(articles, category_list).where(F.col("typed").isNotNull())
+    return s.join(names, "typed", "left_anti").select("article_id", "category_id")
