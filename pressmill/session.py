@@ -52,3 +52,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str, least_rows: int = 2_000) -> DataFrame:
+    """df itself if its rows lie in as many partitions as there are cores, else spread over them by key.
+
+    For a file of few row groups before work that is heavy per row; tables of many files are never shuffled here.
+    The rows of each partition are counted from the footers, no column is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    held = [r[0] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).select("n").collect()]
+    return df if len(held) >= cores or sum(held) < least_rows else df.repartition(2 * cores, key)
