@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pressmill.llm import page_lines as pages
 from pressmill.llm import residue
+from pressmill.session import spread
 
 CHUNK = 4_000_000
 
@@ -65,7 +66,7 @@ def mapped(articles: DataFrame, schema: str, arrow_schema: pa.Schema, each: Call
             if columns and len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow_schema.types)], schema=arrow_schema)
 
-    a = articles.select("id", "source", "title", "content", *extra)
+    a = spread(articles.select("id", "source", "title", "content", *extra), "id")
     return a.mapInArrow(run, schema)
 
 

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.session import spread
+
 WIDTH = 12
 RADIUS = 3
 SIMILAR = 0.8
@@ -200,7 +202,7 @@ def found(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFra
             if hits:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.int64())], names=["doc_id", "item_id"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, item_id long")
 
 
 def _part(rows: list[tuple[int, str]], width: int, k: int, parts: int) -> ItemIndex:

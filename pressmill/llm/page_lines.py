@@ -117,7 +117,7 @@ def _kind(text: str) -> int:
         return _FURN
     if long or (n >= 6 and _LABELLED.match(s)):
         return _PROSE
-    if n <= 12 and len(_NUMBER.findall(s)) >= 3 and sum(w in FUNCTION for w in words) <= 1:
+    if n <= 14 and len(_NUMBER.findall(s)) >= 3 and sum(w in FUNCTION for w in words) <= 2:
         return _FURN  # a ticker of prices, tides, scores
     return _OPEN
 

@@ -112,9 +112,24 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.shares(table(spark, sf_dir, "documents"))
 
 
+_P4 = r"""WITH l AS (SELECT id, regexp_replace(lower(source), '[^\p{L}]', '', 'g') AS s, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM articles),
+  k AS (SELECT id, s, line_no, regexp_replace(lower(line), '[^\p{L}]', '', 'g') AS w FROM l), d AS (SELECT regexp_replace(lower(source), '[^\p{L}]', '', 'g') AS s, COUNT(*) AS docs FROM articles GROUP BY 1),
+  f AS (SELECT s, w, COUNT(DISTINCT id) AS n FROM k WHERE w <> '' GROUP BY s, w)
+  SELECT k.id AS article_id, k.line_no::INTEGER AS line_no FROM k JOIN f ON f.s = k.s AND f.w = k.w JOIN d ON d.s = k.s WHERE f.n >= 6 AND f.n >= 0.02 * d.docs"""
+
+_WORDS = r"""list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(text), '[-\x{2010}\x{ad}]\s*\n\s*', '', 'g'), '[—–/…]', ' ', 'g'), '[^\p{L}\p{N}\s\x{a0}]', '', 'g'), '[\s\x{a0}]+'), lambda x: x <> '')"""
+_P9 = rf"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+  ig AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12) q),
+  own AS (SELECT g, MIN(item_id) AS item_id FROM ig GROUP BY g HAVING COUNT(DISTINCT item_id) = 1),
+  dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12) q)
+  SELECT DISTINCT doc_id, item_id FROM dg JOIN own ON own.g = dg.g"""
+
 _ALL = (
     p1_found, p1_unmatched, p3_found, p3_languages, p4_found, p4_blocks, p4_clean, p5_found, p5_shares, p6_found, p6_validation,
     p7_found, p7_reports, p7_pages, p8_packs, p8_report, p9_found, p9_items, p10_found, p10_shares,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p4_found": " ".join(_P4.split()),
+    "p9_found": " ".join(_P9.split()),
+}

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions.keys import letters_only
-from pressmill.session import staged
+from pressmill.session import spread, staged
 
 #: Rows of a node table that is broadcast at most (about 40 bytes each).
 BROADCAST_ROWS = 200_000
@@ -41,7 +41,8 @@ def line_hashes(content: Column) -> Column:
 
 def hashed(documents: DataFrame, doc_id: str, source: str, content: str) -> DataFrame:
     """(doc_id, source_key, lines ARRAY<BIGINT>), written once: three passes read it."""
-    return staged(documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(letters_only(F.col(source)), F.lit("")).alias("source_key"), line_hashes(F.col(content)).alias("lines")), "lines")
+    d = spread(documents.select(doc_id, source, content), doc_id)
+    return staged(d.select(F.col(doc_id).alias("doc_id"), F.coalesce(letters_only(F.col(source)), F.lit("")).alias("source_key"), line_hashes(F.col(content)).alias("lines")), "lines")
 
 
 def frequent_nodes(h: DataFrame, min_docs: int, min_share: float) -> DataFrame:

@@ -26,6 +26,8 @@ from pressmill.llm import page_lines as pages
 
 #: Rows of the training sample, about.
 SAMPLE = 12_000
+#: Longer texts are left out of the sample (never of the scoring), so that its size is bounded in bytes too.
+SAMPLE_CHARS = 20_000
 #: Negative pages among them that the fit uses, about.
 NEGATIVES = 4_000
 BITS = 16
@@ -178,7 +180,7 @@ class ResidueModel:
 def _sampled(articles: DataFrame, sample: int) -> list[tuple]:
     total = max(1, articles.count())
     every = max(1, total // sample)
-    rows = articles.where(F.col("content").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0))
+    rows = articles.where((F.length("content") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0))
     return [tuple(r) for r in rows.select("id", "source", "title", "content").collect()]  # about `sample` rows
 
 
