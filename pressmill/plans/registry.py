@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pressmill.plans import dashboards, endpoints, problems, reading, research, texts
+from pressmill.plans import dashboards, endpoints, more_sql, problems, reading, research, texts
 
-_MODULES = (reading, dashboards, texts, research, endpoints, problems)
+_MODULES = (reading, dashboards, texts, research, endpoints, more_sql, problems)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

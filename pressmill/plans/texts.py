@@ -65,7 +65,7 @@ def url_category(spark, d):
 def url_validity(spark, d):
     u = F.col("url")
     dated = urls.valid_by_rules(u, [r"/\d{4}/\d{2}/\d{2}/"], [r"/page/\d+", r"/tag/"], least_segments=4, least_slug=10)
-    return table(spark, d, "articles").select("id", urls.valid_news_url(u, urls.host(u)).alias("valid"), dated.alias("dated"))
+    return table(spark, d, "articles").where(u.isNotNull()).select("id", urls.valid_news_url(u, urls.host(u)).alias("valid"), dated.alias("dated"))
 
 
 @query("SELECT id, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS folded FROM articles")
@@ -151,14 +151,14 @@ def funds_trends(spark, d):
     amounts = e.where(F.col("total").isNotNull()).select("total")
     # the upper median by place in the sorted rows: a range-partitioned sort, no group in one task
     middle = amounts.orderBy("total").offset(amounts.count() // 2).limit(1).first()
-    s = e.agg(F.count("*").alias("articles"), F.round(F.sum("total"), 2).alias("total"), F.min("total").alias("least"), F.max("total").alias("largest"), F.round(F.avg(F.col("irregular").cast("double")), 6).alias("irregular_rate"))
-    return s.withColumns({"average": F.round(F.col("total") / F.col("articles"), 6), "median": F.lit(middle[0] if middle else None).cast("double")})
+    s = e.agg(F.count("*").alias("articles"), F.round(F.sum("total") / 1e6, 2).alias("total_millions"), F.min("total").alias("least"), F.max("total").alias("largest"), F.round(F.avg(F.col("irregular").cast("double")), 6).alias("irregular_rate"))
+    return s.withColumns({"average_millions": F.round(F.col("total_millions") / F.col("articles"), 4), "median": F.lit(middle[0] if middle else None).cast("double")})
 
 
 @query()
 def funds_agencies(spark, d):
     e = funds_entities(spark, d).where(F.col("primary_agency").isNotNull())
-    return e.groupBy("primary_agency").agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total")).orderBy(F.desc("n"), "primary_agency").limit(10)
+    return e.groupBy("primary_agency").agg(F.count("*").alias("n"), F.round(F.sum("total") / 1e6, 2).alias("total_millions")).orderBy(F.desc("n"), "primary_agency").limit(10)
 
 
 @query(r"""SELECT l.category, a.id, COUNT(*) AS n FROM (SELECT id, lower(COALESCE(content, '')) AS t FROM articles) a JOIN (SELECT category, lower(trim(term)) AS term FROM lexicon WHERE category IN ('agencies', 'security')) l
@@ -195,7 +195,7 @@ def mined_acronyms(spark, d):
 @query()
 def mined_names(spark, d):
     stop = ["News", "Latest", "Business", "Nation", "World", "Technology", "Sports", "Entertainment", "Opinion", "General", "Lifestyle"]
-    m = table(spark, d, "articles").select(F.explode(F.regexp_extract_all("title", F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})\b"), F.lit(1))).alias("name"))
+    m = table(spark, d, "articles").select(F.explode(F.regexp_extract_all("title", F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})(?![A-Za-z0-9_])"), F.lit(1))).alias("name"))
     m = m.where((F.length("name") > 2) & ~F.split("name", " ")[0].isin(stop))
     return m.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(50)
 
