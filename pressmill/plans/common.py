@@ -28,6 +28,31 @@ def analyses(spark: SparkSession, d: str) -> DataFrame:
     return b.select("id", "article_id", "model_version", "model_type", "sentiment_score", "sentiment_label", "political_bias_score", "toxicity_score", "confidence_score", "created_at", F.col("model_metadata.direction").alias("direction"))
 
 
+_SCORES = ("sentiment_score", "political_bias_score", "confidence_score")
+_LABELS, _DIRECTIONS = ("positive", "negative", "neutral"), ("pro_government", "pro_opposition", "mixed", "neutral")
+
+
+def by_article(b: DataFrame) -> DataFrame:
+    """One row per article with the sums that means and counts are made of, so that an article with many analyses is one row before it is joined.
+
+    k rows; l_<label> counts; d_<direction> counts, d_none for a missing one; s_<score> sums and c_<score> counts.
+    """
+    label, direction = F.col("sentiment_label"), F.col("direction")
+    return b.where(F.col("article_id").isNotNull()).groupBy("article_id").agg(
+        F.count("*").alias("k"), *[F.count_if(label == x).alias("l_" + x) for x in _LABELS], *[F.count_if(direction == x).alias("d_" + x) for x in _DIRECTIONS], F.count_if(direction.isNull()).alias("d_none"),
+        *[F.sum(c).alias("s_" + c) for c in _SCORES], *[F.count(c).alias("c_" + c) for c in _SCORES])
+
+
+def mean_of(score: str):
+    """The mean over all rows behind rows of by_article; NULL for none."""
+    return F.try_divide(F.sum("s_" + score), F.sum("c_" + score))
+
+
+def rounded(c, digits: int = 6):
+    """Rounded so that a tie comes out alike in whatever order its sum was made."""
+    return F.round(c + 1e-9, digits)
+
+
 SQL_A = """a AS (SELECT id, source, category, raw_category, title, url, content, is_funds, tags, published_at, make_timestamp(epoch_us(inserted_at)) AS ins,
   COALESCE(CASE WHEN regexp_full_match(published_at, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') THEN TRY_STRPTIME(published_at, '%Y-%m-%dT%H:%M:%SZ') END, make_timestamp(epoch_us(inserted_at))) AS moment,
   CAST(COALESCE(CASE WHEN regexp_full_match(published_at, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z') THEN TRY_STRPTIME(published_at, '%Y-%m-%dT%H:%M:%SZ') END, make_timestamp(epoch_us(inserted_at))) + INTERVAL 8 HOUR AS DATE) AS day

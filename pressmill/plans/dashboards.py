@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressmill.operators.relational import top_k_per_key
-from pressmill.plans.common import SQL_A, SQL_B, analyses, articles
+from pressmill.plans.common import SQL_A, SQL_B, analyses, articles, by_article, mean_of, rounded
 from pressmill.session import table
 
 QUERIES: dict = {}
@@ -24,12 +24,18 @@ def query(sql=None):
 
 @query(f"""WITH {SQL_A}, {SQL_B}, j AS (SELECT a.day, b.* FROM b JOIN a ON a.id = b.article_id WHERE b.model_version IN ('vader_v1', 'philippine_bias_v1'))
   SELECT day, COUNT(*) AS analyses, COUNT(*) FILTER (sentiment_label = 'positive') AS positive, COUNT(*) FILTER (sentiment_label = 'negative') AS negative, COUNT(*) FILTER (sentiment_label = 'neutral') AS neutral,
-    ROUND(COALESCE(AVG(sentiment_score), 0), 6) AS avg_sentiment, ROUND(COALESCE(AVG(political_bias_score), 0), 6) AS avg_bias, ROUND(COALESCE(AVG(confidence_score), 0), 6) AS avg_confidence,
+    ROUND(COALESCE(AVG(sentiment_score), 0) + 1e-9, 6) AS avg_sentiment, ROUND(COALESCE(AVG(political_bias_score), 0) + 1e-9, 6) AS avg_bias, ROUND(COALESCE(AVG(confidence_score), 0) + 1e-9, 6) AS avg_confidence,
     COUNT(*) FILTER (direction = 'pro_government') AS pro_government, COUNT(*) FILTER (direction = 'pro_opposition') AS pro_opposition, COUNT(*) FILTER (direction = 'mixed') AS mixed
   FROM j GROUP BY day""")
 def dashboard_timeline(spark, d):
-    j = analyses(spark, d).where(F.col("model_version").isin("vader_v1", "philippine_bias_v1")).join(articles(spark, d).select(F.col("id").alias("article_id"), "day"), "article_id")
-    return j.groupBy("day").agg(F.count("*").alias("analyses"), *_labels(), *_means(), *_directions("pro_government", "pro_opposition", "mixed"))
+    b = by_article(analyses(spark, d).where(F.col("model_version").isin("vader_v1", "philippine_bias_v1")))
+    j = b.join(articles(spark, d).select(F.col("id").alias("article_id"), "day"), "article_id")
+    counts = [F.sum("l_" + x).alias(x) for x in ("positive", "negative", "neutral")] + [F.sum("d_" + x).alias(x) for x in ("pro_government", "pro_opposition", "mixed")]
+    means = [rounded(F.coalesce(mean_of(c), F.lit(0.0))).alias(n) for c, n in _MEANS]
+    return j.groupBy("day").agg(F.sum("k").alias("analyses"), *counts, *means)
+
+
+_MEANS = (("sentiment_score", "avg_sentiment"), ("political_bias_score", "avg_bias"), ("confidence_score", "avg_confidence"))
 
 
 def _labels():
@@ -37,31 +43,28 @@ def _labels():
 
 
 def _means():
-    return [F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(n) for c, n in (("sentiment_score", "avg_sentiment"), ("political_bias_score", "avg_bias"), ("confidence_score", "avg_confidence"))]
-
-
-def _directions(*names):
-    return [F.count_if(F.col("direction") == x).alias(x) for x in names]
+    return [rounded(F.coalesce(F.avg(c), F.lit(0.0))).alias(n) for c, n in _MEANS[:1]]
 
 
-@query(f"""WITH {SQL_A}, {SQL_B}, n AS (SELECT source, COUNT(*) AS articles FROM a GROUP BY source), s AS (SELECT a.source, ROUND(COALESCE(AVG(political_bias_score), 0), 6) AS avg_bias,
-    ROUND(COALESCE(AVG(confidence_score), 0), 6) AS avg_confidence, COUNT(*) FILTER (direction = 'pro_government') AS pro_government, COUNT(*) FILTER (direction = 'pro_opposition') AS pro_opposition,
+@query(f"""WITH {SQL_A}, {SQL_B}, n AS (SELECT source, COUNT(*) AS articles FROM a GROUP BY source), s AS (SELECT a.source, ROUND(COALESCE(AVG(political_bias_score), 0) + 1e-9, 6) AS avg_bias,
+    ROUND(COALESCE(AVG(confidence_score), 0) + 1e-9, 6) AS avg_confidence, COUNT(*) FILTER (direction = 'pro_government') AS pro_government, COUNT(*) FILTER (direction = 'pro_opposition') AS pro_opposition,
     COUNT(*) FILTER (COALESCE(direction, 'neutral') = 'neutral') AS neutral FROM b JOIN a ON a.id = b.article_id WHERE model_version = 'philippine_bias_v1' GROUP BY a.source)
   SELECT n.source, articles, COALESCE(avg_bias, 0) AS avg_bias, COALESCE(avg_confidence, 0) AS avg_confidence, COALESCE(pro_government, 0) AS pro_government, COALESCE(pro_opposition, 0) AS pro_opposition, COALESCE(neutral, 0) AS neutral
   FROM n LEFT JOIN s ON s.source = n.source""")
 def dashboard_by_source(spark, d):
     a = articles(spark, d).select(F.col("id").alias("article_id"), "source")
-    b = analyses(spark, d).where(F.col("model_version") == "philippine_bias_v1").join(a, "article_id")
-    s = b.groupBy("source").agg(*_means()[1:], *_directions("pro_government", "pro_opposition"), F.count_if(F.coalesce("direction", F.lit("neutral")) == "neutral").alias("neutral"))
+    b = by_article(analyses(spark, d).where(F.col("model_version") == "philippine_bias_v1")).join(a, "article_id")
+    means = [rounded(F.coalesce(mean_of(c), F.lit(0.0))).alias(n) for c, n in _MEANS[1:]]
+    s = b.groupBy("source").agg(*means, F.sum("d_pro_government").alias("pro_government"), F.sum("d_pro_opposition").alias("pro_opposition"), F.sum(F.col("d_neutral") + F.col("d_none")).alias("neutral"))
     return a.groupBy("source").agg(F.count("*").alias("articles")).join(s, "source", "left").fillna(0)
 
 
-@query(f"""WITH {SQL_A}, {SQL_B} SELECT a.source, COUNT(*) AS analyses, ROUND(AVG(COALESCE(political_bias_score, 0)), 3) AS avg_bias, ROUND(AVG(COALESCE(sentiment_score, 0)), 3) AS avg_sentiment
+@query(f"""WITH {SQL_A}, {SQL_B} SELECT a.source, COUNT(*) AS analyses, ROUND(AVG(COALESCE(political_bias_score, 0)) + 1e-9, 3) AS avg_bias, ROUND(AVG(COALESCE(sentiment_score, 0)) + 1e-9, 3) AS avg_sentiment
   FROM b JOIN a ON a.id = b.article_id GROUP BY a.source""")
 def source_means_null_as_zero(spark, d):
-    b = analyses(spark, d).join(articles(spark, d).select(F.col("id").alias("article_id"), "source"), "article_id")
-    zero = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 3)
-    return b.groupBy("source").agg(F.count("*").alias("analyses"), zero("political_bias_score").alias("avg_bias"), zero("sentiment_score").alias("avg_sentiment"))
+    b = by_article(analyses(spark, d)).join(articles(spark, d).select(F.col("id").alias("article_id"), "source"), "article_id")
+    zero = lambda c: rounded(F.coalesce(F.sum("s_" + c), F.lit(0.0)) / F.sum("k"), 3)
+    return b.groupBy("source").agg(F.sum("k").alias("analyses"), zero("political_bias_score").alias("avg_bias"), zero("sentiment_score").alias("avg_sentiment"))
 
 
 @query(f"""WITH {SQL_B} SELECT CAST(created + INTERVAL 8 HOUR AS DATE) AS day, COALESCE(direction, 'unknown') AS direction, COUNT(*) AS n FROM b WHERE model_type = 'political_bias' GROUP BY 1, 2""")
@@ -95,10 +98,10 @@ def top_sources(spark, d):
     return table(spark, d, "articles").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(10)
 
 
-@query(f"""WITH {SQL_B} SELECT COUNT(*) AS n, COUNT(sentiment_score) AS scored, ROUND(COALESCE(AVG(sentiment_score), 0), 6) AS avg_sentiment, ROUND(COALESCE(AVG(toxicity_score), 0), 6) AS avg_toxicity,
+@query(f"""WITH {SQL_B} SELECT COUNT(*) AS n, COUNT(sentiment_score) AS scored, ROUND(COALESCE(AVG(sentiment_score), 0) + 1e-9, 6) AS avg_sentiment, ROUND(COALESCE(AVG(toxicity_score), 0) + 1e-9, 6) AS avg_toxicity,
   COUNT(*) FILTER (sentiment_label = 'positive') AS positive, COUNT(*) FILTER (sentiment_label = 'negative') AS negative, COUNT(*) FILTER (sentiment_label = 'neutral') AS neutral FROM b""")
 def label_distribution(spark, d):
-    return analyses(spark, d).agg(F.count("*").alias("n"), F.count("sentiment_score").alias("scored"), _means()[0], F.round(F.coalesce(F.avg("toxicity_score"), F.lit(0.0)), 6).alias("avg_toxicity"), *_labels())
+    return analyses(spark, d).agg(F.count("*").alias("n"), F.count("sentiment_score").alias("scored"), _means()[0], rounded(F.coalesce(F.avg("toxicity_score"), F.lit(0.0))).alias("avg_toxicity"), *_labels())
 
 
 @query("""WITH n AS (SELECT COUNT(*) AS articles FROM articles), u AS (SELECT COUNT(*) AS unanalyzed FROM articles a WHERE NOT EXISTS (SELECT 1 FROM bias_analysis b WHERE b.article_id = a.id))

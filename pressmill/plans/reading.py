@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressmill.functions.dates import day_window, utc_bounds
 from pressmill.functions.text import contains_all, preview, threshold_label
 from pressmill.operators.relational import latest_per_key, optional_filters, page, top_k_per_key
-from pressmill.plans.common import AS_OF, SQL_A, SQL_B, analyses, articles, us
+from pressmill.plans.common import AS_OF, SQL_A, SQL_B, analyses, articles, by_article, mean_of, rounded, us
 from pressmill.session import table
 
 QUERIES: dict = {}
@@ -30,13 +30,12 @@ def trends(spark: SparkSession, d: str, days: int = 30, source: str | None = Non
     first, last = day_window(AS_OF, days)
     lo, hi = utc_bounds(first, last)
     a = optional_filters(articles(spark, d), source=source).where((F.col("at") >= F.lit(lo)) & (F.col("at") < F.lit(hi))).select("id", "day")
-    b = analyses(spark, d).where(F.col("model_type") == "sentiment").select(F.col("article_id").alias("id"), "sentiment_label", "sentiment_score")
+    b = by_article(analyses(spark, d).where(F.col("model_type") == "sentiment")).withColumnRenamed("article_id", "id")
     scored = b.join(a, "id").groupBy("day").agg(
-        F.count_if(F.col("sentiment_label") == "positive").alias("positive"), F.count_if(F.col("sentiment_label") == "negative").alias("negative"),
-        F.count_if(~F.coalesce(F.col("sentiment_label").isin("positive", "negative"), F.lit(False))).alias("neutral"), F.avg("sentiment_score").alias("s"))
+        F.sum("l_positive").alias("positive"), F.sum("l_negative").alias("negative"), F.sum(F.col("k") - F.col("l_positive") - F.col("l_negative")).alias("neutral"), mean_of("sentiment_score").alias("s"))
     out = a.groupBy("day").agg(F.count("*").alias("total")).join(scored, "day", "left").fillna(0, ["positive", "negative", "neutral"])
     pct = lambda c: F.round(F.col(c) / F.col("total") * 100, 4)
-    return out.select("day", "total", "positive", "negative", "neutral", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("avg_sentiment"), pct("positive").alias("positive_pct"), pct("negative").alias("negative_pct"), pct("neutral").alias("neutral_pct"))
+    return out.select("day", "total", "positive", "negative", "neutral", rounded(F.coalesce("s", F.lit(0.0))).alias("avg_sentiment"), pct("positive").alias("positive_pct"), pct("negative").alias("negative_pct"), pct("neutral").alias("neutral_pct"))
 
 
 def _trends_sql(days: int, source: str | None = None) -> str:
@@ -47,7 +46,7 @@ def _trends_sql(days: int, source: str | None = None) -> str:
       s AS (SELECT day, COUNT(*) FILTER (sentiment_label = 'positive') AS p, COUNT(*) FILTER (sentiment_label = 'negative') AS n,
               COUNT(*) FILTER (sentiment_label IS NULL OR sentiment_label NOT IN ('positive', 'negative')) AS u, AVG(sentiment_score) AS s
             FROM b JOIN w ON w.id = b.article_id WHERE model_type = 'sentiment' GROUP BY day)
-      SELECT t.day, total, COALESCE(p, 0) AS positive, COALESCE(n, 0) AS negative, COALESCE(u, 0) AS neutral, ROUND(COALESCE(s, 0), 6) AS avg_sentiment,
+      SELECT t.day, total, COALESCE(p, 0) AS positive, COALESCE(n, 0) AS negative, COALESCE(u, 0) AS neutral, ROUND(COALESCE(s, 0) + 1e-9, 6) AS avg_sentiment,
         ROUND(COALESCE(p, 0) / total * 100, 4) AS positive_pct, ROUND(COALESCE(n, 0) / total * 100, 4) AS negative_pct, ROUND(COALESCE(u, 0) / total * 100, 4) AS neutral_pct
       FROM t LEFT JOIN s ON s.day = t.day"""
 
@@ -208,14 +207,14 @@ def weekly_counts(spark, d):
     return articles(spark, d).groupBy(F.to_date(F.date_trunc("week", "at")).alias("week"), "source", "category").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SQL_A}, {SQL_B} SELECT a.day, a.source, COUNT(DISTINCT a.id) AS articles, ROUND(AVG(sentiment_score), 6) AS avg_sentiment, COUNT(*) FILTER (sentiment_label = 'positive') AS pos,
+@query(f"""WITH {SQL_A}, {SQL_B} SELECT a.day, a.source, COUNT(DISTINCT a.id) AS articles, ROUND(AVG(sentiment_score) + 1e-9, 6) AS avg_sentiment, COUNT(*) FILTER (sentiment_label = 'positive') AS pos,
   COUNT(*) FILTER (sentiment_label = 'negative') AS neg, COUNT(*) FILTER (sentiment_label = 'neutral') AS neu FROM b JOIN a ON a.id = b.article_id WHERE model_type = 'sentiment' GROUP BY 1, 2""")
 def sentiment_daily_mv(spark, d):
     b = analyses(spark, d).where(F.col("model_type") == "sentiment").select(F.col("article_id").alias("id"), "sentiment_score", "sentiment_label")
     # one row an article first, so that no distinct count is needed
     per = b.where(F.col("id").isNotNull()).groupBy("id").agg(F.sum("sentiment_score").alias("s"), F.count("sentiment_score").alias("k"), *[F.count_if(F.col("sentiment_label") == x).alias(x[:3]) for x in ("positive", "negative", "neutral")])
     j = per.join(articles(spark, d).select("id", "day", "source"), "id")
-    g = j.groupBy("day", "source").agg(F.count("*").alias("articles"), F.round(F.try_divide(F.sum("s"), F.sum("k")), 6).alias("avg_sentiment"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("neu").alias("neu"))
+    g = j.groupBy("day", "source").agg(F.count("*").alias("articles"), rounded(F.try_divide(F.sum("s"), F.sum("k"))).alias("avg_sentiment"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("neu").alias("neu"))
     return g
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressmill.functions.dates import local_date
 from pressmill.operators import stats
 from pressmill.operators.relational import top_k_per_key, union_in_priority
-from pressmill.plans.common import SQL_A, SQL_B, analyses, articles
+from pressmill.plans.common import SQL_A, SQL_B, analyses, articles, by_article
 from pressmill.session import table
 
 QUERIES: dict = {}
@@ -34,8 +34,8 @@ def weekly_scores(spark, d):
     """(source, week, p, n, u, score, pos) of the outlets, by week."""
     a = articles(spark, d).select(F.col("id").alias("article_id"), "source", F.to_date(F.date_trunc("week", "at")).alias("week"))
     a = a.join(table(spark, d, "outlets").select("source").distinct(), "source", "left_semi")
-    b = analyses(spark, d).where(F.col("model_type") == "sentiment").select("article_id", "sentiment_label")
-    w = b.join(a, "article_id").groupBy("source", "week").agg(*[F.count_if(F.col("sentiment_label") == x).alias(y) for x, y in (("positive", "p"), ("negative", "n"), ("neutral", "u"))])
+    b = by_article(analyses(spark, d).where(F.col("model_type") == "sentiment"))
+    w = b.join(a, "article_id").groupBy("source", "week").agg(*[F.sum("l_" + x).alias(y) for x, y in (("positive", "p"), ("negative", "n"), ("neutral", "u"))])
     return stats.positions(w.withColumn("score", stats.daily_score(F.col("p"), F.col("n"), F.col("u"))), ["source"], "week")
 
 
