@@ -117,6 +117,9 @@ _P4 = r"""WITH l AS (SELECT id, regexp_replace(lower(source), '[^\p{L}]', '', 'g
   f AS (SELECT s, w, COUNT(DISTINCT id) AS n FROM k WHERE w <> '' GROUP BY s, w)
   SELECT k.id AS article_id, k.line_no::INTEGER AS line_no FROM k JOIN f ON f.s = k.s AND f.w = k.w JOIN d ON d.s = k.s WHERE f.n >= 6 AND f.n >= 0.02 * d.docs"""
 
+_P4_CLEAN = f"""WITH x AS ({_P4}), l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line_no FROM articles WHERE content IS NOT NULL),
+  k AS (SELECT l.id, string_agg(line, chr(10) ORDER BY l.line_no) AS content FROM l WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.article_id = l.id AND x.line_no = l.line_no) GROUP BY l.id)
+  SELECT a.id AS doc_id, CASE WHEN a.content IS NOT NULL THEN COALESCE(k.content, '') END AS content FROM articles a LEFT JOIN k ON k.id = a.id"""
 _WORDS = r"""list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(lower(text), '[-\x{2010}\x{ad}]\s*\n\s*', '', 'g'), '[—–/…]', ' ', 'g'), '[^\p{L}\p{N}\s\x{a0}]', '', 'g'), '[\s\x{a0}]+'), lambda x: x <> '')"""
 _P9 = rf"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
   ig AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12) q),
@@ -131,5 +134,7 @@ _ALL = (
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {
     "p4_found": " ".join(_P4.split()),
+    "p4_clean": " ".join(_P4_CLEAN.split()),
     "p9_found": " ".join(_P9.split()),
+    "p9_items": f"SELECT item_id, COUNT(*) AS documents FROM ({' '.join(_P9.split())}) q GROUP BY item_id",
 }
