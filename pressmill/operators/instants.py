@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pressmill.functions.keys import letters_only
 from pressmill.session import staged
 
+#: Outlets whose zones are broadcast at most.
+BROADCAST_ROWS = 200_000
 #: Candidate zones at most; the IANA database has no more.
 MOST_ZONES = 600
 # Month names in English, Filipino and Spanish, as their first three or more letters.
@@ -143,8 +145,8 @@ def utc_instants(articles: DataFrame, outlets: DataFrame, staging=staged) -> Dat
     """
     local = read_local(articles, outlets)
     local = staging(local, "local")
-    est = estimate_zones(local, outlets.select(F.col("site_zone").alias("zone"))).select("outlet", F.col("zone").alias("_z"))
-    j = local.join(F.broadcast(est), "outlet", "left")  # one row an outlet, as many as the outlets table has
+    est = staging(estimate_zones(local, outlets.select(F.col("site_zone").alias("zone"))).select("outlet", F.col("zone").alias("_z")), "zones")
+    j = local.join(F.broadcast(est) if est.count() <= BROADCAST_ROWS else est, "outlet", "left")  # one row an outlet
     zone = F.coalesce("_z", "site_zone", F.lit("UTC"))
     how = F.when(F.col("offset_s").isNotNull(), "text").when(F.col("_z") == F.col("site_zone"), "declared").when(F.col("_z").isNotNull(), "estimated").otherwise("declared")
     return j.select("article_id", "outlet", "published_at", F.when(F.col("local_us").isNotNull(), to_instant(F.col("local_us"), F.col("offset_s"), zone)).alias("utc_us"), zone.alias("zone"), how.alias("zone_from"))
