@@ -171,7 +171,9 @@ class ItemIndex:
             return set()
         get = _hashes.get
         hashes = [get(w) or _hash(w) for w in words]
-        prints = fingerprints(pair_hashes(np.array(hashes, np.uint64)), self.width)
+        pairs = pair_hashes(np.array(hashes, np.uint64))
+        step = self.width - 2  # pieces of one long text overlap by what a window reaches over
+        prints = np.concatenate([fingerprints(pairs[a : a + CHUNK + step], self.width) for a in range(0, max(1, len(pairs) - step), CHUNK)])
         ends = np.cumsum([len(ws) for _, ws in todo])
         out = set()
         places, windows = self.candidates(prints)

@@ -122,6 +122,8 @@ def test_languages_of_held_out_sentences(spark, small):
     scores = languages.fit([tuple(r) for r in small.select("id", "source", "title", "content").where("content is not null").collect()])
     cases = {PROSE[0]: ["en"], TL: ["tl"], PROSE[0] + " " + TL: ["en", "tl"], "": [], "1234 567": [], "Привет мир, как дела сегодня": ["ru"], "Las obras siguen cerradas porque faltaban documentos para el hospital del distrito.": ["es"]}
     assert [sorted({x for x, _, _ in s}) for s in languages.segments(list(cases), scores)] == list(cases.values())
+    long = languages.segments([(PROSE[0] + " ") * 2000 + TL, "", TL], scores)
+    assert {x for x, _, _ in long[0]} == {"en", "tl"} and long[1] == [] and {x for x, _, _ in long[2]} == {"tl"}
 
 
 def test_empty_tables(spark):

@@ -171,6 +171,15 @@ def test_fingerprints_equal_plain():
     assert got.tolist() == want
 
 
+def test_a_long_text_is_searched_in_pieces(monkeypatch):
+    v = vocabulary()
+    items = [(i, " ".join(v[i * 12 : i * 12 + 12])) for i in range(20)]
+    text = " ".join(v)
+    whole = leaks.ItemIndex(items).search([text, text])
+    monkeypatch.setattr(leaks, "CHUNK", 7)
+    assert leaks.ItemIndex(items).search([text, text]) == whole and len(whole) == 40
+
+
 def test_part_indexes_agree():
     v = vocabulary()
     items = [(i, " ".join(v[i * 20 : i * 20 + 30])) for i in range(10)]
@@ -196,6 +205,7 @@ def test_automaton_equals_brute_force(strings, least, phrase):
                     m[i:j] = [True] * (j - i)
         want.append(m)
     assert spam.covered([list(s) for s in strings], least, phrase) == want
+    assert spam.covered_by_pairs([list(s) for s in strings], least, phrase) == want
 
 
 PROSE = "The board said that the bridge was not ready, and the vendors who had waited for it since the flood went on to ask for a new date. "
