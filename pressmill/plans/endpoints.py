@@ -132,7 +132,7 @@ def key_factors(spark, d):
     g = back.groupBy("source").agg(F.stddev_pop("score").alias("sd"), F.avg("score").alias("mean"), F.avg(F.when(F.col("back") <= 7, F.col("score"))).alias("recent"))
     t = stats.trend(w, ["source"], "pos", "score").select("source", "slope")
     factors = F.array_compact(F.array(F.when(F.col("sd") > 0.3, "high volatility"), F.when(F.col("slope") > 0.1, "upward trend").when(F.col("slope") < -0.1, "downward trend"), F.when(F.abs(F.col("recent") - F.col("mean")) > 0.2, "recent shift")))
-    return g.join(t, "source", "left").select("source", factors.alias("factors"))
+    return g.join(t, "source", "left").select("source", F.array_join(factors, "|").alias("factors"))
 
 
 @query(f"WITH {SQL_A} SELECT id, source FROM a WHERE moment >= TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}' - INTERVAL 48 HOUR AND moment < TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}'")
@@ -141,10 +141,10 @@ def recent_hours(spark, d):
     return articles(spark, d).where((F.col("at") >= now - F.expr("INTERVAL 48 HOURS")) & (F.col("at") < now)).select("id", "source")
 
 
-@query("""SELECT id, list_transform(string_split(coalesce(array_to_string(tags, ','), ''), ','), lambda x: lower(trim(x, ' ')))[1:3] AS head, md5(source || ':' || id::VARCHAR) AS digest FROM articles""")
+@query("""SELECT id, array_to_string(list_transform(string_split(coalesce(array_to_string(tags, ','), ''), ','), lambda x: lower(trim(x, ' ')))[1:3], '|') AS head, md5(source || ':' || id::VARCHAR) AS digest FROM articles""")
 def array_and_hash_scalars(spark, d):
     parts = F.transform(F.split(F.coalesce(F.array_join("tags", ","), F.lit("")), ","), lambda x: F.lower(F.trim(x)))
-    return table(spark, d, "articles").select("id", F.slice(parts, 1, 3).alias("head"), F.md5(F.concat_ws(":", "source", F.col("id").cast("string"))).alias("digest"))
+    return table(spark, d, "articles").select("id", F.array_join(F.slice(parts, 1, 3), "|").alias("head"), F.md5(F.concat_ws(":", "source", F.col("id").cast("string"))).alias("digest"))
 
 
 @query()

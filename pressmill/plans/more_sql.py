@@ -54,7 +54,7 @@ SQL = {
     "funds_gated": f"SELECT id, {_GATED} AS gated, c AS confidence, {_CANDIDATE} AS candidate FROM (SELECT id, t, {_SURE} AS c FROM (SELECT id, {_T} AS t FROM articles) q) q",
     "funds_eval": f"""SELECT COUNT(*) AS n, COUNT(*) FILTER (x AND y) AS both_yes, COUNT(*) FILTER (x AND NOT y) AS rule_only, COUNT(*) FILTER (NOT x AND y) AS gate_only, COUNT(*) FILTER (NOT x AND NOT y) AS both_no, ROUND(AVG((x = y)::INTEGER), 6) AS agreement
       FROM (SELECT {_RULE} AS x, {_GATED} AS y FROM (SELECT t, {_SURE} AS c FROM (SELECT {_T} AS t FROM articles) q) q WHERE {_CANDIDATE}) q""",
-    "funds_entities": f"""WITH {_E} SELECT x.id, agencies, amounts, total, p.primary_agency, ROUND(LEAST(CASE WHEN len(agencies) > 0 THEN 0.3 ELSE 0 END + CASE WHEN len(amounts) > 0 THEN 0.4 ELSE 0 END + CASE WHEN len(irregular) > 0 THEN 0.2 ELSE 0 END
+    "funds_entities": f"""WITH {_E} SELECT x.id, array_to_string(agencies, '|') AS agencies, array_to_string(amounts, '|') AS amounts, total, p.primary_agency, ROUND(LEAST(CASE WHEN len(agencies) > 0 THEN 0.3 ELSE 0 END + CASE WHEN len(amounts) > 0 THEN 0.4 ELSE 0 END + CASE WHEN len(irregular) > 0 THEN 0.2 ELSE 0 END
       + CASE WHEN len(projects) > 0 THEN 0.1 ELSE 0 END, 1.0), 6)::DOUBLE AS relevance FROM x LEFT JOIN p ON p.id = x.id""",
     "funds_agencies": f"WITH {_E} SELECT primary_agency, COUNT(*) AS n, ROUND(SUM(total) / 1e6, 2) AS total_millions FROM x JOIN p ON p.id = x.id GROUP BY primary_agency ORDER BY n DESC, primary_agency LIMIT 10",
     "funds_trends": f"""WITH {_E}, k AS (SELECT total, ROW_NUMBER() OVER (ORDER BY total) - 1 AS i, COUNT(*) OVER () AS n FROM x WHERE total IS NOT NULL)
@@ -72,7 +72,7 @@ SQL = {
     "forecast_bands": f"""WITH {_OLS} SELECT source, ROUND(r2, 6) AS r2, ROUND(sd, 6) AS residual_std, k::INTEGER AS step, intercept + slope * (last + k) AS value, intercept + slope * (last + k) - 1.96 * sd AS low, intercept + slope * (last + k) + 1.96 * sd AS high
       FROM l CROSS JOIN range(1, 8) t(k)""",
     "key_factors": f"""WITH {_OLS}, q AS (SELECT source, stddev_pop(score) AS sd, AVG(score) AS mean, AVG(score) FILTER (back <= 7) AS recent FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY pos DESC) AS back FROM s) z GROUP BY source)
-      SELECT q.source, list_filter([CASE WHEN q.sd > 0.3 THEN 'high volatility' END, CASE WHEN slope > 0.1 THEN 'upward trend' WHEN slope < -0.1 THEN 'downward trend' END, CASE WHEN ABS(recent - mean) > 0.2 THEN 'recent shift' END], lambda x: x IS NOT NULL) AS factors
+      SELECT q.source, array_to_string(list_filter([CASE WHEN q.sd > 0.3 THEN 'high volatility' END, CASE WHEN slope > 0.1 THEN 'upward trend' WHEN slope < -0.1 THEN 'downward trend' END, CASE WHEN ABS(recent - mean) > 0.2 THEN 'recent shift' END], lambda x: x IS NOT NULL), '|') AS factors
       FROM q LEFT JOIN l ON l.source = q.source""",
     "priority_discovery": """SELECT MIN(pos) AS pos FROM (SELECT 0 AS s, title AS k, id AS pos FROM articles WHERE source = 'Dagat Post' AND title IS NOT NULL UNION ALL SELECT 1, raw_html, id FROM raw_articles WHERE source = 'Dagat Post' AND raw_html IS NOT NULL) q
       GROUP BY k, s QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY s) = 1""",

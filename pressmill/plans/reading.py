@@ -224,6 +224,6 @@ def tag_counts(spark, d):
     return a.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("id").alias("articles"))
 
 
-@query("SELECT id, list_sort(list_distinct(tags)) AS tags FROM articles WHERE tags IS NOT NULL AND len(tags) > 0")
+@query("SELECT id, array_to_string(list_sort(list_distinct(tags)), '|') AS tags FROM articles WHERE tags IS NOT NULL AND len(tags) > 0")
 def distinct_tags(spark, d):
-    return table(spark, d, "articles").where(F.size("tags") > 0).select("id", F.sort_array(F.array_distinct("tags")).alias("tags"))
+    return table(spark, d, "articles").where(F.size("tags") > 0).select("id", F.array_join(F.sort_array(F.array_distinct("tags")), "|").alias("tags"))

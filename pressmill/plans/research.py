@@ -160,7 +160,7 @@ def orders_by_nation(spark, d):
     return j.join(n, "c_nationkey").groupBy("n_name").agg(F.sum("k").alias("orders"), F.round(F.sum("t"), 2).alias("total"))
 
 
-@query("""SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) q WHERE rank <= 3""")
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) q WHERE rank <= 3""")
 def top_lines_per_supplier(spark, d):
     x = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
     return top_k_per_key(x, ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 3).drop("l_extendedprice")

@@ -142,7 +142,8 @@ def _entities(spark, d):
 @query()
 def funds_entities(spark, d):
     e = _entities(spark, d)
-    return e.select("id", "agencies", "amounts", money.total_amount(F.col("amounts")).alias("total"), money.first_mode(F.col("agencies")).alias("primary_agency"), money.relevance(F.col("agencies"), F.col("amounts"), F.col("irregular"), F.col("projects")).alias("relevance"))
+    e = e.withColumns({"total": money.total_amount(F.col("amounts")), "primary_agency": money.first_mode(F.col("agencies")), "relevance": money.relevance(F.col("agencies"), F.col("amounts"), F.col("irregular"), F.col("projects"))})
+    return e.select("id", *[F.array_join(c, "|").alias(c) for c in ("agencies", "amounts")], "total", "primary_agency", "relevance")
 
 
 @query()
@@ -217,9 +218,9 @@ def lexicon_intersection(spark, d):
     return table(spark, d, "lexicon").select(F.lower("term").alias("term")).intersect(table(spark, d, "articles").select(F.explode("tags").alias("term")))
 
 
-@query("SELECT category, list_sort(list_distinct(list(lower(term)))) AS terms FROM lexicon GROUP BY category")
+@query("SELECT category, array_to_string(list_sort(list_distinct(list(lower(term)))), '|') AS terms FROM lexicon GROUP BY category")
 def lexicon_union(spark, d):
-    return table(spark, d, "lexicon").groupBy("category").agg(F.sort_array(F.collect_set(F.lower("term"))).alias("terms"))
+    return table(spark, d, "lexicon").groupBy("category").agg(F.array_join(F.sort_array(F.collect_set(F.lower("term"))), "|").alias("terms"))
 
 
 @query("SELECT id, source, 'a' AS part FROM articles WHERE is_funds UNION ALL SELECT id, source, 'b' AS part FROM articles WHERE category IS NULL")
