@@ -80,5 +80,10 @@ def relative_age(ts: Column, as_of: Column) -> Column:
     return reduce(lambda acc, x: acc.when(s >= x[0], say(*x)), steps[1:], F.when(s >= 86400, say(86400, "day"))).when(s.isNotNull(), "just now")
 
 
+def local_format(ts: Column, pattern: str = "MMM d, yyyy h:mm a", zone: str = MANILA) -> Column:
+    """A time as it is shown to readers in a zone."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), pattern)
+
+
 def weekday_name(d: Column) -> Column:
     return F.date_format(d, "EEEE")

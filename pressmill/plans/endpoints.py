@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressmill.functions import entities, money, text, urls
+from pressmill.functions.dates import local_format
 from pressmill.functions.lexicon import MOST_TERMS
-from pressmill.models import funds
+from pressmill.models import funds, rows
 from pressmill.operators.relational import latest_per_key
 from pressmill.plans.common import AS_OF, SQL_A, SQL_B, analyses, articles
 from pressmill.plans.research import weekly_scores
-from pressmill.session import table
+from pressmill.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -61,14 +62,15 @@ def funds_irregular_terms(spark, d):
 def funds_eval(spark, d):
     """Candidates only: the rule against the gate."""
     t, c = F.col("title"), F.col("content")
-    a = table(spark, d, "articles").where(funds.candidate(t, c)).select(funds.by_rule(t, c).alias("x"), funds.gated(t, c).alias("y"))
+    a = spread(table(spark, d, "articles").select("id", "title", "content"), "id").where(funds.candidate(t, c)).select(funds.by_rule(t, c).alias("x"), funds.gated(t, c).alias("y"))
     x, y = F.col("x"), F.col("y")
     return a.agg(F.count("*").alias("n"), F.count_if(x & y).alias("both_yes"), F.count_if(x & ~y).alias("rule_only"), F.count_if(~x & y).alias("gate_only"), F.count_if(~x & ~y).alias("both_no"), F.round(F.avg((x == y).cast("double")), 6).alias("agreement"))
 
 
 @query()
 def funds_entity_spans(spark, d):
-    s = table(spark, d, "articles").select("id", F.explode(entities.entity_spans(F.col("content"))).alias("s"))
+    a = spread(table(spark, d, "articles").select("id", "content"), "id")
+    s = a.select("id", F.explode(entities.entity_spans(F.col("content"))).alias("s"))
     return s.select("id", "s.*")
 
 
@@ -147,6 +149,20 @@ def array_and_hash_scalars(spark, d):
     return table(spark, d, "articles").select("id", F.array_join(F.slice(parts, 1, 3), "|").alias("head"), F.md5(F.concat_ws(":", "source", F.col("id").cast("string"))).alias("digest"))
 
 
+@query("""SELECT id, strftime(m, '%Y-%m-%d %H:%M') AS shown, strftime(m, '%b %Y') AS month FROM (SELECT id, make_timestamp(epoch_us(inserted_at)) + INTERVAL 8 HOUR AS m FROM articles) q""")
+def local_formats(spark, d):
+    t = F.col("inserted_at")
+    return table(spark, d, "articles").select("id", local_format(t, "yyyy-MM-dd HH:mm").alias("shown"), local_format(t, "MMM yyyy").alias("month"))
+
+
+@query()
+def analysis_rows(spark, d):
+    """Both models' rows for the articles that have none yet."""
+    a = table(spark, d, "articles").select("id", "title", "content")
+    new = a.join(table(spark, d, "bias_analysis").select(F.col("article_id").alias("id")), "id", "left_anti")
+    return rows.analysis_rows(new, [rows.sentiment_model(), rows.political_model(table(spark, d, "lexicon"))])
+
+
 @query()
 def dashboard_export(spark, d):
     """One JSON document per outlet, as the export writes them."""

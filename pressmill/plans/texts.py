@@ -8,9 +8,16 @@ from pressmill.functions import dates, html, lexicon, money, text, urls
 from pressmill.models import funds, political, sentiment
 from pressmill.operators.relational import append_absent, first_per_key, merge_latest
 from pressmill.plans.common import SQL_A, SQL_B, analyses, articles
-from pressmill.session import staged, table
+from pressmill.session import spread, staged, table
 from pressmill.sources.readers import discovered_links, stubs
 
+
+
+def _texts(spark, d, *columns):
+    """(id, title, content) of all articles, over all cores even where one row group holds them: what follows is heavy per row."""
+    return spread(table(spark, d, "articles").select("id", "title", "content", *columns), "id")
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -111,13 +118,13 @@ def relative_ages(spark, d):
     THEN false ELSE regexp_matches(t, '(?:fund|budget|appropriation|allocation|disbursement|audit|coa|billion|million|trillion|peso|pesos)') AND regexp_matches(t, '(?:philippine|ph|dpwh|dbm|coa|comelec|dilg|doh|deped|dotr|senate|house|congress|solon|lawmaker|bill|appropriation|budget|malacañang|palace|president|vice president|ombudsman)|(?:pork|kickback|anomaly|graft|plunder|misuse|overprice|scam|whistleblower)') END AS is_funds
   FROM (SELECT id, lower(trim(COALESCE(title, '') || chr(10) || COALESCE(content, ''), ' ')) AS t FROM articles) q""".replace("\\\\", "\\"))
 def funds_classify(spark, d):
-    return table(spark, d, "articles").select("id", funds.by_rule(F.col("title"), F.col("content")).alias("is_funds"))
+    return _texts(spark, d).select("id", funds.by_rule(F.col("title"), F.col("content")).alias("is_funds"))
 
 
 @query()
 def funds_gated(spark, d):
     t, c = F.col("title"), F.col("content")
-    return table(spark, d, "articles").select("id", funds.gated(t, c).alias("gated"), funds.gate(t, c)["confidence"].alias("confidence"), funds.candidate(t, c).alias("candidate"))
+    return _texts(spark, d).select("id", funds.gated(t, c).alias("gated"), funds.gate(t, c)["confidence"].alias("confidence"), funds.candidate(t, c).alias("candidate"))
 
 
 @query(r"""WITH n AS (SELECT unnest(regexp_extract_all(lower(COALESCE(title, '') || ' ' || COALESCE(content, '')), '(\d+(?:\.\d+)?)\s*(?:billion|million|b|m|php|peso|pesos)', 1))::DOUBLE AS x FROM articles WHERE is_funds)
@@ -136,7 +143,7 @@ def funds_term_docfreq(spark, d):
 
 def _entities(spark, d):
     t = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
-    return table(spark, d, "articles").withColumn("t", t).select("id", money.mentions(F.col("t"), money.AGENCY).alias("agencies"), money.mentions(F.col("t"), money.AMOUNT).alias("amounts"), money.mentions(F.col("t"), money.IRREGULAR).alias("irregular"), money.mentions(F.col("t"), money.PROJECT).alias("projects"), money.mentions(F.col("t"), money.PLACE).alias("places"))
+    return _texts(spark, d).withColumn("t", t).select("id", money.mentions(F.col("t"), money.AGENCY).alias("agencies"), money.mentions(F.col("t"), money.AMOUNT).alias("amounts"), money.mentions(F.col("t"), money.IRREGULAR).alias("irregular"), money.mentions(F.col("t"), money.PROJECT).alias("projects"), money.mentions(F.col("t"), money.PLACE).alias("places"))
 
 
 @query()
@@ -166,21 +173,21 @@ def funds_agencies(spark, d):
   ON CASE WHEN contains(l.term, ' ') THEN contains(a.t, l.term) ELSE regexp_matches(a.t, '\b' || l.term || '\b') END GROUP BY 1, 2""")
 def keyword_match_counts(spark, d):
     lex = table(spark, d, "lexicon").where(F.col("category").isin("agencies", "security"))
-    c = lexicon.category_counts(table(spark, d, "articles").select("id", "content"), F.col("content"), lex)
+    c = lexicon.category_counts(_texts(spark, d).select("id", "content"), F.col("content"), lex)
     return c.select("id", F.explode(F.array(*[F.struct(F.lit(x).alias("category"), F.col("n_" + x).alias("n")) for x in ("agencies", "security")])).alias("e")).where("e.n > 0").select("e.category", "id", "e.n")
 
 
 @query()
 def political_scores(spark, d):
     t = F.concat_ws(" ", "title", "content")
-    a = table(spark, d, "articles").select("id", t.alias("t")).withColumn("compound", sentiment.score(F.col("t")))
+    a = _texts(spark, d).select("id", t.alias("t")).withColumn("compound", sentiment.score(F.col("t")))
     c = political.components(a, F.col("t"), table(spark, d, "lexicon"), F.col("compound"))
     return c.select("id", "matches", F.round("bias_score", 6).alias("bias_score"), "direction", F.round("confidence", 6).alias("confidence"))
 
 
 @query()
 def sentiment_scores(spark, d):
-    s = table(spark, d, "articles").select("id", sentiment.score(F.concat_ws(" ", "title", "content")).alias("compound"))
+    s = _texts(spark, d).select("id", sentiment.score(F.concat_ws(" ", "title", "content")).alias("compound"))
     return s.withColumn("label", text.threshold_label(F.col("compound")))
 
 
@@ -204,7 +211,7 @@ def mined_names(spark, d):
 @query()
 def keyphrases(spark, d):
     runs = F.filter(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b((?:[A-Z][\w\-]+\s+){1,4}[A-Z][\w\-]+)\b"), F.lit(1))), lambda p: F.length(p).between(3, 80))
-    return table(spark, d, "articles").where(F.col("content").isNotNull()).select("id", F.slice(runs, 1, 10).alias("phrases"))
+    return _texts(spark, d).where(F.col("content").isNotNull()).select("id", F.slice(runs, 1, 10).alias("phrases"))
 
 
 @query("SELECT DISTINCT lower(term) AS term FROM lexicon EXCEPT SELECT DISTINCT unnest(tags) FROM articles")
