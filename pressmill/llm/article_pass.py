@@ -13,21 +13,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.functions.keys import letters_only
 from pressmill.llm import page_lines as pages
-from pressmill.llm import residue
-from pressmill.session import spread
+from pressmill.llm import repeated_lines, residue
+from pressmill.session import spread, staged
 
 CHUNK = 4_000_000
 
 
 class Article:
-    __slots__ = ("id", "source", "title", "lines", "kinds", "marks", "score", "label")
+    __slots__ = ("id", "source", "title", "lines", "kinds", "marks", "score")
 
-    def __init__(self, id, source, title, content, label=None):
-        self.id, self.source, self.title, self.label = id, source, title, label
+    def __init__(self, id, source, title, content, recurring=None):
+        self.id, self.source, self.title = id, source, title
         self.lines = content.split("\n") if content is not None else []
         self.kinds = [pages.kind(x) for x in self.lines]
-        self.marks = pages.label(self.lines, title, kinds=self.kinds)
+        self.marks = pages.label(self.lines, title, kinds=self.kinds, recurring=recurring)
         self.score = 0.0
 
     @property
@@ -35,7 +36,22 @@ class Article:
         return self.score > 0.5
 
 
-def _read(batches: Iterator[pa.RecordBatch], model: residue.ResidueModel | None) -> Iterator[list[Article]]:
+def source_key(source: str | None) -> str:
+    return pages.letters(source or "")
+
+
+def recurring(articles: DataFrame) -> dict[str, frozenset[str]] | DataFrame:
+    """The recurring lines of each source: a dictionary if they are few (bounded by repeated_lines.BROADCAST_ROWS), else a table (source_key, lines)."""
+    r = staged(repeated_lines.recurring_lines(articles), "recurring-letters")
+    if r.count() <= repeated_lines.BROADCAST_ROWS:
+        out: dict[str, set[str]] = {}
+        for s, x in r.collect():
+            out.setdefault(s, set()).add(x)
+        return {s: frozenset(x) for s, x in out.items()}
+    return r.groupBy("source_key").agg(F.collect_set("letters").alias("lines"))
+
+
+def _read(batches: Iterator[pa.RecordBatch], model: residue.ResidueModel | None, lines: dict[str, frozenset[str]] | None) -> Iterator[list[Article]]:
     def scored(chunk: list[Article]) -> list[Article]:
         if model is not None:
             full = [a for a in chunk if any(x.strip() for x in a.lines)]
@@ -48,7 +64,8 @@ def _read(batches: Iterator[pa.RecordBatch], model: residue.ResidueModel | None)
         columns = [c.to_pylist() for c in batch.columns]
         chunk, size = [], 0
         for row in zip(*columns):
-            chunk.append(Article(*row))
+            known = lines.get(source_key(row[1])) if lines is not None else frozenset(row[4] or ()) if len(row) > 4 else None
+            chunk.append(Article(*row[:4], known))
             size += len(row[3] or "")
             if size >= CHUNK:
                 yield scored(chunk)
@@ -57,16 +74,20 @@ def _read(batches: Iterator[pa.RecordBatch], model: residue.ResidueModel | None)
             yield scored(chunk)
 
 
-def mapped(articles: DataFrame, schema: str, arrow_schema: pa.Schema, each: Callable[[list[Article]], list[list]], model: residue.ResidueModel | None = None, extra: list[str] = ()) -> DataFrame:
-    """each(chunk) gives the columns of the rows for a chunk of articles."""
+def mapped(articles: DataFrame, schema: str, arrow_schema: pa.Schema, each: Callable[[list[Article]], list[list]], model: residue.ResidueModel | None = None, lines: dict[str, frozenset[str]] | DataFrame | None = None) -> DataFrame:
+    """each(chunk) gives the columns of the rows for a chunk of articles. lines: what `recurring` gives."""
+    held = lines if isinstance(lines, dict) else None
 
     def run(batches):
-        for chunk in _read(batches, model):
+        for chunk in _read(batches, model, held):
             columns = each(chunk)
             if columns and len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow_schema.types)], schema=arrow_schema)
 
-    a = spread(articles.select("id", "source", "title", "content", *extra), "id")
+    a = spread(articles.select("id", "source", "title", "content"), "id")
+    if isinstance(lines, DataFrame):  # too many sources to hold: each article brings its source's lines
+        key = F.coalesce(letters_only(F.col("source")), F.lit(""))
+        a = a.withColumn("source_key", key).join(lines, "source_key", "left").select("id", "source", "title", "content", "lines")
     return a.mapInArrow(run, schema)
 
 
@@ -82,7 +103,7 @@ def lines_outside(articles: DataFrame, model: residue.ResidueModel) -> DataFrame
                         ids.append(a.id), numbers.append(n)
         return [ids, numbers]
 
-    return mapped(articles, "article_id long, line_no int", pa.schema([("article_id", pa.int64()), ("line_no", pa.int32())]), each, model)
+    return mapped(articles, "article_id long, line_no int", pa.schema([("article_id", pa.int64()), ("line_no", pa.int32())]), each, model, recurring(articles))
 
 
 def report_text(articles: DataFrame) -> DataFrame:
@@ -91,7 +112,7 @@ def report_text(articles: DataFrame) -> DataFrame:
     def each(chunk):
         return [[a.id for a in chunk], ["\n".join(x for x, m in zip(a.lines, a.marks) if m != pages.FURNITURE) if a.lines else None for a in chunk]]
 
-    return mapped(articles, "article_id long, report string", pa.schema([("article_id", pa.int64()), ("report", pa.string())]), each)
+    return mapped(articles, "article_id long, report string", pa.schema([("article_id", pa.int64()), ("report", pa.string())]), each, None, recurring(articles))
 
 
 def residue_found(articles: DataFrame, model: residue.ResidueModel) -> DataFrame:

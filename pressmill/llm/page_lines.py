@@ -5,7 +5,8 @@ one line per block of text with the number of tags it came from; text whose
 markup is gone already has one tag, the line break, to each line. Each line has a
 text-to-tag ratio: the characters of its running text over its tags. Lines whose
 wording alone says what they are (prompts, notices, bylines, menus: `wording`)
-are settled first, running prose likewise. The ratios of what remains are smoothed
+are settled first, as are lines that recur throughout the source's pages (counted by
+the operator of problem 4); running prose likewise. The ratios of what remains are smoothed
 by a Gaussian over the neighbouring lines and split in two clusters; a short line
 amid prose (a subheading) lies in the upper one, one amid short lines (an entry of
 a list of other stories) in the lower one.
@@ -30,6 +31,7 @@ you might like|you may like|you may also like|recommended|recommended for you|mo
 mga kaugnay na balita|kaugnay na balita|pinakabasa|pinakabago|iba pang balita|labing gibasa|may kalabutan nga balita|mga may kalabutan nga balita|laing balita|kaaduan a nabasa|dagiti nainaig a damag|nainaig a damag|dadduma pay a damag
 lo más leído|lo mas leido|noticias relacionadas|te puede interesar|también te puede interesar|más noticias""".replace("\n", "|").split("|"))
 MENU = frozenset("""home|menu|search|nation|metro|regions|region|life|lifestyle|video|videos|audio|games|puzzles|e-paper|epaper|weather|world desk|world|careers|jobs|about|about us|contact|contact us|login|log in|sign in|sign up|register|archive|archives|views|opinion|money|business|screens|sports|news|local|politics|tech|technology|health|culture|arts|travel|food|style|subscribe|newsletters|newsletter|podcasts|podcast|photos|gallery|help|faq|terms|privacy|sitemap|more|share|print|mail|email|copy link|facebook|twitter|instagram|youtube|tiktok|viber|next|previous|back|top|back to top|skip to content|close|loading|inicio|buscar|iniciar sesión|balita|palakasan|isport|skip""".split("|"))
+_MENU_WORDS = frozenset(w for m in MENU for w in m.split())
 _NAME = r"[^\W\d_][\w.'’\-]*"
 _RULES = [
     r"^(?:\(c\)|©|copyright\b)|all rights reserved|\bterms - privacy\b|\bpublishing group$|printed on recycled|reservados todos|todos los derechos",
@@ -42,6 +44,8 @@ _RULES = [
     r"^(?:send us|share) (?:a|your) (?:tip|story|photo)|^report (?:an? )?(?:error|typo|correction)|^av[ií]sanos|un error en este texto|^i-report|^itudo|^may mali ba|^isumbong",
     r"^be the first to comment|^(?:leave|post|add|write) (?:a |your )?(?:comment|reply)|^\d+ comments?$|^comments?(?: \(\d+\))?$|^mag-iwan ng komento|^deja (?:un|tu) comentario|^pagbilin og komento|^mangibati iti komento|save my name|for the next time i comment|^log in to comment",
     r"^(?:you may also |you can )?listen to this|^audio version|^(?:story|article) continues|^continue reading|^read (?:more|the full story|full story)$|^ituloy ti agbasa|^ipagpatuloy ang pagbabasa|^padayon sa pagbasa|^sigue leyendo|^contin[uú]a leyendo|^scroll (?:down )?to continue",
+    r"^our standards\b|^how we (?:report|work)|^about (?:us|the author)\b|^editorial policy|^corrections?(?: policy)?$|^(?:la nota|el art[ií]culo|la historia) (?:sigue|contin[uú]a)\b",
+    r"^(?:pakaammo|abiso|anunsiyo|reklamo)$|,\s*(?:(?:staff|senior|special|contributing) )?(?:reporter|writer|correspondent|contributor|editor|reportero|correspondal|corresponsal)s?$",
     r"^(?:advertisement|advertising|advertorial|ads?|sponsored(?: content)?|promoted|patalastas|publicidad|anuncio|pahibalo|paanunsio|paid content)$",
     r"^\d{1,2} ?min(?:ute)?s? read$|^last updated\b|^updated (?:at|on)\b|^posted (?:at|on|by)\b|^published (?:at|on)\b",
     r"-?\d{1,3}\s?°|^(?:high|low) tide\b|^sunrise\b|^index \d|\b(?:usd|php|eur) \d|^(?:mon|tues|wednes|thurs|fri|satur|sun)day,? (?:january|february|march|april|may|june|july|august|september|october|november|december) \d{1,2}(?:, \d{4})?$",
@@ -105,6 +109,8 @@ def _kind(text: str) -> int:
     parts = [p for p in _SEP.split(core) if p] if "  " in core or any(c in core for c in _SEPARATORS) else [core]
     if len(parts) >= 3 and sum(p in MENU for p in parts) * 2 >= len(parts):
         return _FURN
+    if n >= 4 and all(w in _MENU_WORDS for w in words) and not _END.search(s):
+        return _FURN
     if low.startswith("#") and all(w.startswith("#") for w in low.split()):
         return _FURN
     if _BULLET.match(s):
@@ -144,6 +150,24 @@ def kind(text: str) -> int:
     return k
 
 
+#: Lines longer than this are never taken for recurring furniture.
+LONGEST = 300
+#: A sentence longer than this isn't either: reports may share one.
+SENTENCE = 60
+_LETTERS = re.compile(r"[\W\d_]+")
+_letters_memo: dict[str, str] = {}
+
+
+def letters(text: str) -> str:
+    """Letters only, in lower case: what makes two lines the same."""
+    k = _letters_memo.get(text)
+    if k is None:
+        if len(_letters_memo) > 300_000:
+            _letters_memo.clear()
+        k = _letters_memo[text] = _LETTERS.sub("", text.lower())
+    return k
+
+
 _GAUSS = [math.exp(-d * d / 2) for d in range(4)]
 
 
@@ -171,9 +195,16 @@ def _threshold(values: list[float]) -> float:
     return min(max((lo + hi) / 2, 45.0), 62.0)
 
 
-def label(lines: list[str], title: str | None = None, tags: list[int] | None = None, kinds: list[int] | None = None) -> list[int]:
-    """BLANK, REPORT or FURNITURE for each line. tags: the tags that each line came from, 1 each if not given; kinds: of the lines, if known."""
+def label(lines: list[str], title: str | None = None, tags: list[int] | None = None, kinds: list[int] | None = None, recurring: frozenset[str] | None = None) -> list[int]:
+    """BLANK, REPORT or FURNITURE for each line. tags: the tags that each line came from, 1 each if not given; kinds: of the lines, if known;
+    recurring: the letters of lines that recur throughout the source's pages, which are furniture whatever they say."""
     kinds = [kind(x) for x in lines] if kinds is None else list(kinds)
+    if recurring:
+        for i, x in enumerate(lines):
+            k = kinds[i]
+            if (k in (_OPEN, _ITEM) and len(x) <= LONGEST or k == _PROSE and len(x) <= SENTENCE) and letters(x) in recurring:
+                after = [j for j in kinds[i + 1 : i + 6] if j != _NONE][:2]
+                kinds[i] = _HEADER if k == _OPEN and len(after) == 2 and set(after) <= {_OPEN, _POINTER} else _FURN
     own = (title or "").strip().lower()
     out = [BLANK if k == _NONE else FURNITURE if k in (_FURN, _HEADER, _POINTER) else REPORT for k in kinds]
     if _OPEN not in kinds:

@@ -30,19 +30,21 @@ from pressmill.session import spread, staged
 BROADCAST_ROWS = 200_000
 
 
-def line_hashes(content: Column) -> Column:
-    """ARRAY<BIGINT>, one per line split at "\\n", NULL for a line without letters."""
+def line_hashes(content: Column, longest: int | None = None) -> Column:
+    """ARRAY<BIGINT>, one per line split at "\\n", NULL for a line without letters, or longer than `longest`."""
+
     def one(line: Column) -> Column:
         k = letters_only(line)
-        return F.when(k != "", F.xxhash64(k))
+        h = F.when(k != "", F.xxhash64(k))
+        return h if longest is None else F.when(F.length(line) <= longest, h)
 
     return F.transform(F.split(content, "\n", -1), one)
 
 
-def hashed(documents: DataFrame, doc_id: str, source: str, content: str) -> DataFrame:
+def hashed(documents: DataFrame, doc_id: str, source: str, content: str, longest: int | None = None) -> DataFrame:
     """(doc_id, source_key, lines ARRAY<BIGINT>), written once: three passes read it."""
     d = spread(documents.select(doc_id, source, content), doc_id)
-    return staged(d.select(F.col(doc_id).alias("doc_id"), F.coalesce(letters_only(F.col(source)), F.lit("")).alias("source_key"), line_hashes(F.col(content)).alias("lines")), "lines")
+    return staged(d.select(F.col(doc_id).alias("doc_id"), F.coalesce(letters_only(F.col(source)), F.lit("")).alias("source_key"), line_hashes(F.col(content), longest).alias("lines")), "lines")
 
 
 def frequent_nodes(h: DataFrame, min_docs: int, min_share: float) -> DataFrame:
@@ -100,6 +102,17 @@ def blocks(documents: DataFrame, doc_id: str = "id", source: str = "source", con
     return comp.join(nodes.select("source_key", "line", "support"), ["source_key", "line"]), h, small
 
 
+def recurring_lines(documents: DataFrame, doc_id: str = "id", source: str = "source", content: str = "content", min_docs: int = 6, min_share: float = 0.003, longest: int = 300) -> DataFrame:
+    """(source_key, letters): the lines of up to `longest` characters that recur in a source, as their letters."""
+    h = hashed(documents, doc_id, source, content, longest)
+    nodes = staged(frequent_nodes(h, min_docs, min_share), "recurring")
+    small = nodes.count() <= BROADCAST_ROWS
+    at = occurrences(h, nodes, small).groupBy("source_key", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("m")).select("source_key", F.col("m.doc_id").alias("doc_id"), F.col("m.line_no").alias("line_no"))
+    d = documents.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("content"))
+    j = d.join(F.broadcast(at) if small else at, "doc_id")
+    return j.select("source_key", letters_only(F.get(F.split("content", "\n", -1), F.col("line_no") - 1)).alias("letters"))
+
+
 def found(documents: DataFrame, **params) -> DataFrame:
     """p4_found: (article_id, line_no), each occurrence of a line of a block."""
     b, h, small = blocks(documents, **params)

@@ -145,3 +145,17 @@ def test_query_runs(spark, data, name):
 def test_validation_on_unseen_hosts(spark):
     r = residue.validation(spark.read.parquet("/root/testdata/sf0.01/articles.parquet")).first()
     assert r.pages > 300 and r.accuracy > 0.97
+
+
+def test_recurring_lines_are_furniture(spark, monkeypatch):
+    from pressmill.llm import repeated_lines
+
+    strange = "Zubro fenta mirlo"  # no list knows it
+    rows = [(i, "Alpha", "t", "\n".join([PROSE[0], strange if i % 2 else strange.upper() + "!", PROSE[1], f"Story number {'abcdefghij'[i % 10]}{'klmnop'[i % 6]}"]), None, None, None) for i in range(40)]
+    df = spark.createDataFrame(rows + [(100, None, None, None, None, None, None)], SCHEMA)
+    model = residue.ResidueModel.fit([], [], [])
+    got = {(r.article_id, r.line_no) for r in article_pass.lines_outside(df, model).collect()}
+    assert {(i, 2) for i in range(40)} <= got and not {(i, n) for i in range(40) for n in (1, 3)} & got
+    assert article_pass.recurring(df)["alpha"] >= {"zubrofentamirlo"}
+    monkeypatch.setattr(repeated_lines, "BROADCAST_ROWS", 0)  # as with too many sources to hold
+    assert {(r.article_id, r.line_no) for r in article_pass.lines_outside(df, model).collect()} == got
