@@ -127,3 +127,27 @@ def test_readers(spark, tmp_path):
     links = readers.discovered_links(pages, "id", "h", "base")
     assert sorted((r.pos, r.url) for r in links.collect()) == [(0, "https://h.com/b"), (1, "https://h.com/c")]
     assert [r.title for r in readers.stubs(links).collect()] == ["Some longer title"]
+
+
+def test_analysis_rows(spark):
+    from pressmill.models import rows
+
+    lex = spark.createDataFrame([("administration", "president", 1.0), ("opposition", "senator", 1.0)], "category string, term string, weight double")
+    a = spark.createDataFrame([(1, "A great win", "The president spoke"), (2, None, None)], "id long, title string, content string")
+    got = rows.analysis_rows(a, [rows.sentiment_model(), rows.political_model(lex)]).collect()
+    assert len(got) == 4 and {r.model_type for r in got} == {"sentiment", "political_bias"}
+    by = {(r.article_id, r.model_type): r for r in got}
+    assert by[1, "sentiment"].sentiment_label == "positive" and by[2, "sentiment"].sentiment_score == 0
+    assert by[1, "political_bias"].direction == "pro_government" and by[2, "political_bias"].direction == "neutral"
+
+
+def test_entity_spans(spark):
+    from pressmill.functions import entities
+
+    text = "x" * 60 + " The DPWH gave P5 billion to Manila. " + "y" * 60
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").coalesce(1).select(entities.entity_spans(F.col("t")).alias("s")).collect()
+    assert [(s.label, s.text) for s in got[0].s] == [("agency", "DPWH"), ("amount", "P5 billion"), ("location", "Manila")]
+    assert all(text[s.start : s.end] == s.text and s.text in s.context and len(s.context) <= len(s.text) + 100 for s in got[0].s)
+    assert got[1].s == [] == got[2].s
+    p = entities.dictionary({"k": ["bus depot", "bus"]})
+    assert spark.createDataFrame([("a bus depot, busy bus",)], "t string").select(entities.entity_spans(F.col("t"), p).alias("s")).first().s[0].text == "bus depot"
