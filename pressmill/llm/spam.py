@@ -9,9 +9,11 @@ maximal substrings that occur `least` times or more. A line that phrases of the
 page's own repertoire cover to a good part is stuffed, sentence or not. A page is
 spam if such lines are the greater part of its characters.
 
-The automaton is left out only where it can't matter: where the words that occur
-often enough, all of them together, couldn't cover enough. Pages of more than
-`AUTOMATON_WORDS` words get the same marks from counts (`covered_by_pairs`).
+The automaton is left out only where it can't matter: where no line has enough
+words that occur often enough, all of them together, to be stuffed; and, where only
+the verdict at a threshold is asked for (`found`), on pages that can't reach it.
+Pages of more than `AUTOMATON_WORDS` words get the same marks from counts
+(`covered_by_pairs`).
 
 Defined results: NULL and blank texts are no spam; copies are judged alike.
 """
@@ -148,8 +150,11 @@ def _strings(tokens: list[str]) -> list[list[int]]:
     return out
 
 
-def spam_share(text: str | None) -> float:
-    """The share of a text's characters that are there for search only."""
+def spam_share(text: str | None, threshold: float | None = None) -> float:
+    """The share of a text's characters that are there for search only.
+
+    With a threshold only whether the share exceeds it is sure: a page that can't is not read to the end.
+    """
     if not text or not text.strip():
         return 0.0
     total = spam = 0
@@ -175,7 +180,7 @@ def spam_share(text: str | None) -> float:
             spam += size
             continue
         rest.append((size, tokens))
-    if 2 * (spam + sum(n for n, _ in rest)) <= total:
+    if threshold is not None and (spam + sum(n for n, _ in rest)) / total <= threshold:
         return spam / total
     words = Counter(t for _, ts in rest for t in ts)
     least = max(LEAST, sum(words.values()) // PER_WORDS)
@@ -189,13 +194,14 @@ def spam_share(text: str | None) -> float:
         lines.append((size, ts, is_loose, frequent))
         if is_loose or frequent >= STUFFED * size:
             bound += size
-    if 2 * (spam + bound) <= total:
+    if threshold is not None and (spam + bound) / total <= threshold:
         return spam / total
     strings, place = [], []
-    for k, (_, ts, _, _) in enumerate(lines):
-        for s in _strings(ts):
-            strings.append([ts[i] for i in s])
-            place.append(k)
+    if any(frequent >= STUFFED * size for size, _, _, frequent in lines):
+        for k, (_, ts, _, _) in enumerate(lines):
+            for s in _strings(ts):
+                strings.append([ts[i] for i in s])
+                place.append(k)
     cover = [0] * len(lines)
     cover_by = covered if sum(map(len, strings)) <= AUTOMATON_WORDS else covered_by_pairs
     for s, marks, k in zip(strings, cover_by(strings, least, PHRASE), place):
@@ -212,11 +218,11 @@ def spam_share(text: str | None) -> float:
     return spam / total
 
 
-def _scored(documents: DataFrame, schema: str, keep):
+def _scored(documents: DataFrame, schema: str, keep, threshold: float | None = None):
     def run(batches):
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = keep(ids, [spam_share(t) for t in texts])
+            rows = keep(ids, [spam_share(t, threshold) for t in texts])
             if rows[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=[x.split()[0] for x in schema.split(", ")])
 
@@ -225,7 +231,7 @@ def _scored(documents: DataFrame, schema: str, keep):
 
 def found(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """p10_found: (doc_id) of the documents the greater part of which is spam."""
-    return _scored(documents, "doc_id long", lambda ids, s: [[i for i, x in zip(ids, s) if x > threshold]])
+    return _scored(documents, "doc_id long", lambda ids, s: [[i for i, x in zip(ids, s) if x > threshold]], threshold)
 
 
 def shares(documents: DataFrame) -> DataFrame:

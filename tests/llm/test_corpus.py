@@ -243,3 +243,14 @@ def test_spam_found(spark):
     assert sorted(r[0] for r in spam.found(df).collect()) == [0, *range(len(SPAM))]
     assert spam.shares(df).count() == len(rows) and spam.found(df.limit(0)).count() == 0
     assert re.match("doc_id", spam.shares(df).columns[0])
+
+
+def test_shares_below_one_half_are_counted(spark):
+    stuffed = "cheap phone case best rice cooker " * 12
+    prose = "".join(f"The {w} of the town said that it had not been ready before the flood. " for w in "board clerk mayor judge nurse guard pilot coach baker miner".split())[: len(stuffed.strip()) * 3 // 2]
+    page = prose.strip() + "\n" + stuffed
+    share = spam.spam_share(page)
+    assert 0.35 < share < 0.45 and spam.spam_share(page, 0.5) <= 0.5 < spam.spam_share(stuffed, 0.5)
+    df = spark.createDataFrame([(1, page, None, None, None), (2, prose, None, None, None)], DOCS)
+    assert {r.doc_id: r.share for r in spam.shares(df).collect()} == {1: share, 2: 0.0}
+    assert [r[0] for r in spam.found(df, 0.3).collect()] == [1] and spam.found(df).count() == 0
