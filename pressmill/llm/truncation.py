@@ -1,12 +1,12 @@
 """Texts cut off by field limits (problem 5).
 
-The last line of the report is read by a stack automaton (quotes and brackets
-still open, a tag, an entity, an escape or a multibyte sequence that was begun)
-and for its end: a terminator, a sign-off after one, or an entry of a list that
-ends as such entries do. An end that is broken, or a mark or cue that says so
-("...", "(more)"), is sure; a mere missing terminator counts only where the
-source sets terminators, that is in fewer than `baseline` of its articles it is
-missing.
+The report is read by a stack automaton (`unclosed`: quotes, brackets, elements and
+a tag still open at its end), its last line for an entity, an escape or a multibyte
+sequence that was begun, and for its end: a terminator, a sign-off after one, or an
+entry of a list that ends as such entries do. Something left open or broken, or a
+mark or cue that says so ("...", "(more)"), is sure, whatever the end looks like; a
+mere missing terminator counts only where the source sets terminators, that is in
+fewer than `baseline` of its articles it is missing.
 
 Defined results: NULL and blank contents, and contents that are no report, are
 never cases; an article without a line of its own isn't either.
@@ -33,25 +33,64 @@ _BROKEN = re.compile(r"�+$|&#?\w{0,8}$|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2
 # Marks and cues of a cut.
 _CUT = re.compile(r"(?:\.{3,}|…|\[(?:\.{2,}|…)\]|\((?:more|continued|cont'?d?\.?|itutuloy|sundan|continúa)\)|[-–—]+\s*more\s*[-–—]*|\[\+?\d+ ?(?:chars?|characters|more)\]|(?:read|see|show) (?:more|full)\b.{0,20}|continue reading.{0,12}|>>+|→)\s*$", re.IGNORECASE)
 _QUOTED = re.compile(r"(?:\.{3}|…)[\"”’'»)\]]+$")
+_MARK = re.compile(r'["()\[\]{}«»“”<]')
+_TAG = re.compile(r"""<(/?)([A-Za-z][\w-]*)((?:\s+(?:[^\s"'<>=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?|/))*)\s*(/?)>|<!--.*?-->|<![A-Za-z][^<>]*>""", re.DOTALL)
+_BEGUN = re.compile(r"""<(?:/?[A-Za-z][\w-]*|/|!(?:--.*)?)?(?:\s[^<>]*=[^<>]*)?$""", re.DOTALL)
+# Elements whose end tag HTML demands.
+_PAIRED = frozenset("a abbr article b big blockquote button cite code del div em figcaption figure font form h1 h2 h3 h4 h5 h6 i ins label mark ol pre q s section small span strike strong sub sup table tt u ul".split())
 _ENTRY = re.compile(r"^\s*(?:[-*•–·]|\d{1,2}[.)]|\w\))\s+\S")
 
 
 def unclosed(text: str) -> list[str]:
-    """The stack of quotes and brackets still open at the end of a text."""
+    """The stack of quotes, brackets and elements still open at the end of a text, each as what would close it; ">" is a tag that was begun.
+
+    A quote that a later line opens again goes on; inch marks and faces made of a bracket open nothing.
+    """
     stack: list[str] = []
-    for c in text:
-        if c in _OPENERS:
-            stack.append(_OPENERS[c])
+    after = 0
+    for m in _MARK.finditer(text):
+        i, c = m.start(), m.group()
+        if i < after:
+            continue  # inside a tag
+        before = text[i - 1] if i else "\n"
+        if c == "<":
+            if t := _TAG.match(text, i):
+                after, name = t.end(), (t[2] or "").lower()
+                if t[1]:
+                    _close(stack, f"</{name}>")
+                elif name in _PAIRED and not t[4]:
+                    stack.append(f"</{name}>")
+            elif _BEGUN.match(text, i):
+                return stack + [">"]
         elif c == '"':
-            if stack and stack[-1] == '"':
-                stack.pop()
-            else:
+            if stack and stack[-1] in ('"', "”"):
+                if before != "\n":
+                    stack.pop()
+            elif not before.isdigit():
                 stack.append('"')
-        elif stack and c == stack[-1]:
+        elif c in _OPENERS:
+            if not (c == "“" and stack and stack[-1] == "”" and before == "\n") and not (c == "(" and before in ":;=" and text[i + 1 : i + 2].strip() == ""):
+                stack.append(_OPENERS[c])
+        elif c == "”" and stack and stack[-1] == '"':
             stack.pop()
+        else:
+            _close(stack, c)
     return stack
 
 
+def _close(stack: list[str], c: str) -> None:
+    """Takes what c closes off the stack, and what was opened within and never closed."""
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k] == c:
+            del stack[k:]
+            return
+
+
+def report_ending(lines: list[str], entry_ends: frozenset[str]) -> int:
+    """WHOLE, MISSING or BROKEN, of the lines of a report: what is still open at its end comes before how it ends."""
+    return BROKEN if unclosed("\n".join(lines)) else ending(lines[-1], entry_ends)
+
+
 def ending(line: str, entry_ends: frozenset[str]) -> int:
     """WHOLE, MISSING (no terminator) or BROKEN, of the last line of a report."""
     s = line.translate(pages._ODD).rstrip()
@@ -102,7 +141,7 @@ def endings(articles: DataFrame, sample: int = residue.SAMPLE) -> DataFrame:
         for a in chunk:
             own = [x for x, m in zip(a.lines, a.marks) if m == pages.REPORT and x.strip()]
             if own and not a.residue:
-                ids.append(a.id), sources.append(a.source), marks.append(ending(own[-1], ends))
+                ids.append(a.id), sources.append(a.source), marks.append(report_ending(own, ends))
         return [ids, sources, marks]
 
     schema = pa.schema([("article_id", pa.int64()), ("source", pa.string()), ("ending", pa.int32())])

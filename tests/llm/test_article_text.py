@@ -159,3 +159,16 @@ def test_recurring_lines_are_furniture(spark, monkeypatch):
     assert article_pass.recurring(df)["alpha"] >= {"zubrofentamirlo"}
     monkeypatch.setattr(repeated_lines, "BROADCAST_ROWS", 0)  # as with too many sources to hold
     assert {(r.article_id, r.line_no) for r in article_pass.lines_outside(df, model).collect()} == got
+
+
+def test_what_is_left_open_breaks_a_report(spark):
+    none, long = frozenset(), "x" * 300
+    whole = ['"We wait.\n"We go on."', "“We wait.\n“We go on.”", 'A pipe of 5" was laid.', "He left :( and came back.", "a) The first.", '<p>Read <a href="/a(b">this</a>.', "<b>Bold</b> (and <i>more</i>).", "<br>It ended.", "([a) It ended.", "<!-- x ( -->It ended.", '“Mixed," they said.']
+    assert [truncation.report_ending(x.split("\n"), none) for x in whole] == [truncation.WHOLE] * len(whole)
+    broken = ['"We wait.\nWe go on.', "They said (as told.\nIt went on.", '"we were told', "It was [as\nthey said", "It <strong>was so.", f'As told <a href="https://a.test/{long}', "<div>It ended.", "He said «no.\nThey left."]
+    assert [truncation.report_ending(x.split("\n"), none) for x in broken] == [truncation.BROKEN] * len(broken)
+    assert truncation.unclosed("") == [] and truncation.unclosed("x" * 500_000 + "(" * 2000 + ")" * 1999) == [")"]
+    # an outlet that sets no terminators: an open quote is reported all the same
+    bare = "The board said that the plan for the bridge was ready and that the work would go on for the year"
+    rows = [(i, "Alpha", "t", PROSE[i % 2] + f"\n{bare} {'abcdefghij'[i]}" + (', "as we told' if i == 3 else ""), None, None, None) for i in range(10)]
+    assert [r[0] for r in truncation.found(spark.createDataFrame(rows, SCHEMA)).collect()] == [3]
