@@ -25,7 +25,7 @@ from pressmill.functions.keys import letters_only
 from pressmill.llm import article_pass
 from pressmill.llm import page_lines as pages
 from pressmill.llm import residue
-from pressmill.session import staged
+from pressmill.session import spread, staged
 
 WHOLE, MISSING, BROKEN = 0, 1, 2
 _OPENERS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”"}
@@ -121,20 +121,39 @@ def _last(s: str) -> str:
     return words[-1] if words else ""
 
 
-def entry_ends(rows: list[tuple], least: int = 5) -> frozenset[str]:
-    """The words that entries of bulleted lists end in, in sampled rows; numbered lines are mostly other stories."""
+#: A word ends entries as a rule if one in so many of all entries of the table ends in it, and so many entries at least.
+ENTRIES, LEAST = 250, 5
+
+
+def _entry_words(content: str) -> Counter:
+    """The words that entries of bulleted lists end in; numbered lines are mostly other stories."""
     n = Counter()
-    for _, _, _, content in rows:
-        for x in content.split("\n"):
-            if pages._BULLET.match(x.strip()) or (len(x) < 400 and pages._LABELLED.match(x)):
-                n[_last(pages._SIGNOFF.sub("", x))] += 1
-    return frozenset(w for w, k in n.items() if k >= least)
+    for x in content.split("\n"):
+        if pages._BULLET.match(x.strip()) or (len(x) < 400 and pages._LABELLED.match(x)):
+            n[_last(pages._SIGNOFF.sub("", x))] += 1
+    return n
+
+
+def entry_ends(articles: DataFrame) -> frozenset[str]:
+    """The words that entries of lists end in, of all articles: summed where the rows lie, then by word; at most `ENTRIES` come out."""
+
+    def run(batches):
+        n = Counter()
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                n.update(_entry_words(x))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+    held = spread(articles.select("id", "content"), "id").where(F.col("content").isNotNull()).select("content")
+    n = staged(held.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "entry-words")
+    total = n.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r[0] for r in n.where((F.col("n") >= LEAST) & (F.col("n") * ENTRIES >= total)).select("word").collect())
 
 
 def endings(articles: DataFrame, sample: int = residue.SAMPLE) -> DataFrame:
     """(article_id, source_key, ending) of the articles that have a report."""
     rows = residue._sampled(articles, sample)
-    ends, model = entry_ends(rows), residue.ResidueModel.fit(*residue._training(rows)[:3])
+    ends, model = entry_ends(articles), residue.ResidueModel.fit(*residue._training(rows)[:3])
 
     def each(chunk):
         ids, sources, marks = [], [], []

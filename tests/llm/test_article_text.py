@@ -172,3 +172,16 @@ def test_what_is_left_open_breaks_a_report(spark):
     bare = "The board said that the plan for the bridge was ready and that the work would go on for the year"
     rows = [(i, "Alpha", "t", PROSE[i % 2] + f"\n{bare} {'abcdefghij'[i]}" + (', "as we told' if i == 3 else ""), None, None, None) for i in range(10)]
     assert [r[0] for r in truncation.found(spark.createDataFrame(rows, SCHEMA)).collect()] == [3]
+
+
+def test_entry_ends_are_counted_over_all_articles(spark, monkeypatch):
+    monkeypatch.setattr(residue, "SAMPLE_CHARS", 100)  # the sample holds none of the lists
+    lists = PROSE[0] + "\n* Salinaw: 9 teachers\n* Verona: 7 nurses"
+    rows = [(i, "Alpha", "t", lists if i < 8 else PROSE[i % 2], None, None, None) for i in range(60)]
+    rows += [(100, "Alpha", "t", PROSE[0] + "\n* Salinaw: 9 teach", None, None, None), (101, "Alpha", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert truncation.entry_ends(df) == {"teachers", "nurses"} and truncation.entry_ends(df.limit(0)) == frozenset()
+    assert [r[0] for r in truncation.found(df).collect()] == [100]
+    # relative: words that few of many entries end in are none, however many rows there are
+    many = spark.createDataFrame([(i, "Alpha", "t", "\n".join(["* Salinaw: 9 teachers"] * 400 + ["* Verona: 9 teach"] * (i < 6)), None, None, None) for i in range(20)], SCHEMA)
+    assert truncation.entry_ends(many) == {"teachers"}
