@@ -10,7 +10,7 @@ from pressmill.functions.lexicon import MOST_TERMS
 from pressmill.models import funds, rows
 from pressmill.operators.relational import latest_per_key
 from pressmill.plans.common import AS_OF, SQL_A, SQL_B, analyses, articles
-from pressmill.plans.research import weekly_scores
+from pressmill.plans.research import daily_scores, weekly_scores
 from pressmill.session import spread, table
 
 QUERIES: dict = {}
@@ -125,14 +125,23 @@ def research_summary(spark, d):
 @query()
 def key_factors(spark, d):
     """What stands out in each outlet's series: volatility, trend, a recent shift; an empty array for nothing."""
+    return _factors(weekly_scores(spark, d), 1)
+
+
+@query()
+def outlet_daily_factors(spark, d):
+    """The same by day, of every spelling of an outlet's name; the trend is that of seven days."""
+    return _factors(daily_scores(spark, d), 7)
+
+
+def _factors(w, span):
     from pyspark.sql import Window
 
     from pressmill.operators import stats
 
-    w = weekly_scores(spark, d)
     back = w.withColumn("back", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("pos"))))
     g = back.groupBy("source").agg(F.stddev_pop("score").alias("sd"), F.avg("score").alias("mean"), F.avg(F.when(F.col("back") <= 7, F.col("score"))).alias("recent"))
-    t = stats.trend(w, ["source"], "pos", "score").select("source", "slope")
+    t = stats.trend(w, ["source"], "pos", "score").select("source", (F.col("slope") * span).alias("slope"))
     factors = F.array_compact(F.array(F.when(F.col("sd") > 0.3, "high volatility"), F.when(F.col("slope") > 0.1, "upward trend").when(F.col("slope") < -0.1, "downward trend"), F.when(F.abs(F.col("recent") - F.col("mean")) > 0.2, "recent shift")))
     return g.join(t, "source", "left").select("source", F.array_join(factors, "|").alias("factors"))
 

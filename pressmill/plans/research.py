@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pressmill.functions.dates import local_date
+from pressmill.functions.keys import letters_only
 from pressmill.operators import stats
 from pressmill.operators.relational import top_k_per_key, union_in_priority
 from pressmill.plans.common import SQL_A, SQL_B, analyses, articles, by_article
@@ -48,20 +49,32 @@ def sentiment_weekly_scores(spark, d):
   SELECT source, n, ROUND(slope, 6) AS slope, ROUND(intercept, 6) AS intercept, CASE WHEN slope * 7 > 0.1 THEN 'up' WHEN slope * 7 < -0.1 THEN 'down' ELSE 'stable' END AS direction,
     ROUND(intercept + slope * (last + 1), 6) AS next_value FROM r""")
 def daily_score_ols(spark, d):
-    t = stats.trend(weekly_scores(spark, d), ["source"], "pos", "score")
+    return _ols(weekly_scores(spark, d))
+
+
+def _ols(w):
+    t = stats.trend(w, ["source"], "pos", "score")
     return t.select("source", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "direction", F.round(F.col("forecast")[0]["value"], 6).alias("next_value"))
 
 
 @query()
 def forecast_bands(spark, d):
-    t = stats.trend(weekly_scores(spark, d), ["source"], "pos", "score")
+    return _bands(weekly_scores(spark, d))
+
+
+def _bands(w):
+    t = stats.trend(w, ["source"], "pos", "score")
     return t.select("source", F.round("r2", 6).alias("r2"), F.round("residual_std", 6).alias("residual_std"), F.explode("forecast").alias("f")).select("source", "r2", "residual_std", "f.*")
 
 
 @query(f"""WITH {_WEEK} SELECT source, ROUND(SUM(p - n)::DOUBLE / NULLIF(SUM(p + n + u), 0), 6) AS bias, ROUND(1 - stddev_pop(score), 6) AS consistency, SUM(p + n + u)::BIGINT AS n,
   CASE WHEN SUM(p - n)::DOUBLE / NULLIF(SUM(p + n + u), 0) > 0.2 THEN 'positive' WHEN SUM(p - n)::DOUBLE / NULLIF(SUM(p + n + u), 0) < -0.2 THEN 'negative' ELSE 'balanced' END AS positioning FROM s GROUP BY source""")
 def source_bias(spark, d):
-    w = weekly_scores(spark, d).groupBy("source").agg(F.sum(F.col("p") - F.col("n")).alias("k"), F.sum(F.col("p") + F.col("n") + F.col("u")).alias("n"), F.stddev_pop("score").alias("sd"))
+    return _bias(weekly_scores(spark, d))
+
+
+def _bias(w):
+    w = w.groupBy("source").agg(F.sum(F.col("p") - F.col("n")).alias("k"), F.sum(F.col("p") + F.col("n") + F.col("u")).alias("n"), F.stddev_pop("score").alias("sd"))
     bias = F.try_divide(F.col("k"), F.col("n"))
     return w.select("source", F.round(bias, 6).alias("bias"), F.round(1 - F.col("sd"), 6).alias("consistency"), "n", F.when(bias > 0.2, "positive").when(bias < -0.2, "negative").otherwise("balanced").alias("positioning"))
 
@@ -70,24 +83,39 @@ def source_bias(spark, d):
   FROM s x CROSS JOIN (VALUES (0), (1), (2), (3)) l(lag) JOIN s y ON y.pos = x.pos + l.lag AND x.source < y.source GROUP BY 1, 2, 3)
   SELECT a, b, lag, n, ROUND(c / (sx * sy), 6) AS r FROM c WHERE n > 1 AND sx * sy > 0""")
 def lagged_correlation(spark, d):
-    return stats.lagged_correlation(weekly_scores(spark, d), "source", "pos", "score").withColumn("r", F.round("r", 6))
+    return _correlation(weekly_scores(spark, d)).withColumn("r", F.round("r", 6))
+
+
+def _correlation(w):
+    return stats.lagged_correlation(w, "source", "pos", "score")
 
 
 @query()
 def propagation_edges(spark, d):
-    return stats.edges(stats.strongest_lag(stats.lagged_correlation(weekly_scores(spark, d), "source", "pos", "score"))).withColumn("r", F.round("r", 6))
+    return _edges(weekly_scores(spark, d))
+
+
+def _edges(w):
+    return stats.edges(stats.strongest_lag(_correlation(w))).withColumn("r", F.round("r", 6))
 
 
 @query()
 def influence_scores(spark, d):
-    w = weekly_scores(spark, d)
-    i = stats.influence(stats.edges(stats.strongest_lag(stats.lagged_correlation(w, "source", "pos", "score"))), w, "source")
+    return _influence(weekly_scores(spark, d))
+
+
+def _influence(w):
+    i = stats.influence(stats.edges(stats.strongest_lag(_correlation(w))), w, "source")
     return i.withColumn("influence", F.round("influence", 6))
 
 
 @query()
 def propagation_pattern(spark, d):
-    e = propagation_edges(spark, d).agg(F.count_if(F.col("relation") == "leads").alias("leads"), F.count_if(F.col("relation") == "follows").alias("follows"))
+    return _pattern(propagation_edges(spark, d))
+
+
+def _pattern(e):
+    e = e.agg(F.count_if(F.col("relation") == "leads").alias("leads"), F.count_if(F.col("relation") == "follows").alias("follows"))
     return e.withColumn("pattern", F.when(F.col("leads") > F.col("follows"), "hierarchical").otherwise("distributed"))
 
 
@@ -95,7 +123,11 @@ def propagation_pattern(spark, d):
   SELECT source, ROUND(AVG(score) FILTER (back <= 7), 6) AS recent, ROUND(AVG(score), 6) AS overall, ROUND(stddev_pop(score), 6) AS volatility,
     ABS(AVG(score) FILTER (back <= 7) - AVG(score)) > 0.2 AS shifted, stddev_pop(score) > 0.3 AS volatile FROM q GROUP BY source""")
 def recent_against_overall(spark, d):
-    q = weekly_scores(spark, d).withColumn("back", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("pos"))))
+    return _recent(weekly_scores(spark, d))
+
+
+def _recent(w):
+    q = w.withColumn("back", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("pos"))))
     recent = F.avg(F.when(F.col("back") <= 7, F.col("score")))
     g = q.groupBy("source").agg(recent.alias("recent"), F.avg("score").alias("overall"), F.stddev_pop("score").alias("volatility"))
     return g.select("source", F.round("recent", 6).alias("recent"), F.round("overall", 6).alias("overall"), F.round("volatility", 6).alias("volatility"), (F.abs(F.col("recent") - F.col("overall")) > 0.2).alias("shifted"), (F.col("volatility") > 0.3).alias("volatile"))
@@ -103,8 +135,73 @@ def recent_against_overall(spark, d):
 
 @query(f"WITH {_WEEK} SELECT source, week, ROUND(score - LAG(score) OVER (PARTITION BY source ORDER BY pos), 6) AS change FROM s")
 def weekly_change(spark, d):
-    w = weekly_scores(spark, d)
-    return w.select("source", "week", F.round(F.col("score") - F.lag("score").over(Window.partitionBy("source").orderBy("pos")), 6).alias("change"))
+    return _change(weekly_scores(spark, d), "week")
+
+
+def _change(w, day):
+    return w.select("source", day, F.round(F.col("score") - F.lag("score").over(Window.partitionBy("source").orderBy("pos")), 6).alias("change"))
+
+
+# The same by day, of every spelling of an outlet's name; the queries above go by week and by exact name, as their SQL does.
+
+
+def daily_scores(spark, d):
+    """(source, day, p, n, u, score, pos) of the outlets, by Manila day; names that fold alike are one outlet, under its name in `outlets`."""
+    o = table(spark, d, "outlets").groupBy(letters_only(F.col("source")).alias("key")).agg(F.min("source").alias("source"))
+    a = articles(spark, d).select(F.col("id").alias("article_id"), letters_only(F.col("source")).alias("key"), "day")
+    b = by_article(analyses(spark, d).where(F.col("model_type") == "sentiment"))
+    w = b.join(a.join(o, "key"), "article_id").groupBy("source", "day").agg(*[F.sum("l_" + x).alias(y) for x, y in (("positive", "p"), ("negative", "n"), ("neutral", "u"))])
+    return stats.positions(w.withColumn("score", stats.daily_score(F.col("p"), F.col("n"), F.col("u"))), ["source"], "day")
+
+
+@query()
+def outlet_daily_scores(spark, d):
+    return daily_scores(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query()
+def outlet_daily_ols(spark, d):
+    return _ols(daily_scores(spark, d))
+
+
+@query()
+def outlet_daily_bands(spark, d):
+    return _bands(daily_scores(spark, d))
+
+
+@query()
+def outlet_daily_bias(spark, d):
+    return _bias(daily_scores(spark, d))
+
+
+@query()
+def outlet_daily_correlation(spark, d):
+    return _correlation(daily_scores(spark, d)).withColumn("r", F.round("r", 6))
+
+
+@query()
+def outlet_daily_edges(spark, d):
+    return _edges(daily_scores(spark, d))
+
+
+@query()
+def outlet_daily_influence(spark, d):
+    return _influence(daily_scores(spark, d))
+
+
+@query()
+def outlet_daily_pattern(spark, d):
+    return _pattern(_edges(daily_scores(spark, d)))
+
+
+@query()
+def outlet_daily_recent(spark, d):
+    return _recent(daily_scores(spark, d))
+
+
+@query()
+def outlet_daily_change(spark, d):
+    return _change(daily_scores(spark, d), "day")
 
 
 @query("SELECT source, COUNT(*) AS n, ROUND(1.96 * 0.5 / sqrt(COUNT(*)), 6) AS margin, CASE WHEN COUNT(*) > 1000 THEN 0.95 WHEN COUNT(*) > 100 THEN 0.8 ELSE 0.5 END::DOUBLE AS power FROM articles GROUP BY source")

@@ -48,3 +48,24 @@ def test_filters_reach_the_scan(spark, data):
     df = registry.QUERIES["articles_filtered"](spark, data)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "EqualTo(source,Isla Dispatch)" in plan and "content" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_outlets_by_day_and_in_any_spelling(spark, data, duck):
+    """Against plain Python: every analysis of an outlet counts, however its name is spelled, and a day is a point."""
+    from collections import Counter
+
+    from pressmill.plans.common import analyses, articles
+
+    fold = lambda s: "".join(c for c in s.lower() if c.isalpha())
+    names = {fold(r[0]): r[0] for r in duck.execute("SELECT source FROM outlets WHERE source IS NOT NULL ORDER BY source DESC").fetchall()}
+    at = {r.id: (names.get(fold(r.source or "")), r.day) for r in articles(spark, data).select("id", "source", "day").collect()}
+    want = {}
+    for r in analyses(spark, data).where("model_type = 'sentiment'").select("article_id", "sentiment_label").collect():
+        if at.get(r.article_id, (None,))[0]:
+            want.setdefault(at[r.article_id], Counter())[r.sentiment_label] += 1
+    got = {(r.source, r.day): r for r in registry.QUERIES["outlet_daily_scores"](spark, data).collect()}
+    assert {k: (r.p, r.n, r.u) for k, r in got.items()} == {k: (c["positive"], c["negative"], c["neutral"]) for k, c in want.items()}
+    assert any(s is not None and s not in names.values() and fold(s) in names for (s,) in duck.execute("SELECT source FROM articles").fetchall())
+    days = Counter(s for s, _ in got)
+    assert {r.source: r.n for r in registry.QUERIES["outlet_daily_ols"](spark, data).collect()} == {s: n for s, n in days.items() if n >= 14}
+    assert {r.source for r in registry.QUERIES["outlet_daily_factors"](spark, data).collect()} == set(days)
