@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pressmill.functions.keys import letters_only
 from pressmill.llm import page_lines as pages
 from pressmill.llm import repeated_lines, residue
+from pressmill.llm.tokens import Tokens, Vocabulary
 from pressmill.session import spread, staged
 
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 class Article:
@@ -40,46 +41,66 @@ def source_key(source: str | None) -> str:
     return pages.letters(source or "")
 
 
-def recurring(articles: DataFrame) -> dict[str, frozenset[str]] | DataFrame:
+class Chunk(list):
+    """Articles, with the tokens of all their titles and lines (a title is line 0 of its article) where the pass needs them."""
+
+    tokens: Tokens | None = None
+
+
+def recurring(articles: DataFrame) -> dict[str, pages.Recurring] | DataFrame:
     """The recurring lines of each source: a dictionary if they are few (bounded by repeated_lines.BROADCAST_ROWS), else a table (source_key, lines)."""
-    r = staged(repeated_lines.recurring_lines(articles), "recurring-letters")
+    r = staged(repeated_lines.recurring_lines(articles), "recurring-lines")
     if r.count() <= repeated_lines.BROADCAST_ROWS:
-        out: dict[str, set[str]] = {}
-        for s, x in r.collect():
-            out.setdefault(s, set()).add(x)
-        return {s: frozenset(x) for s, x in out.items()}
-    return r.groupBy("source_key").agg(F.collect_set("letters").alias("lines"))
+        out: dict[str, dict[int, bool]] = {}
+        for s, x, strong in r.collect():
+            out.setdefault(s, {})[x] = strong
+        return {s: pages.Recurring(x) for s, x in out.items()}
+    return r.groupBy("source_key").agg(F.map_from_entries(F.collect_list(F.struct("line", "strong"))).alias("lines"))
+
 
+def _read(batches: Iterator[pa.RecordBatch], model: residue.ResidueModel | None, lines: dict[str, pages.Recurring] | None, row) -> Iterator[Chunk]:
+    vocabulary = Vocabulary(row)
 
-def _read(batches: Iterator[pa.RecordBatch], model: residue.ResidueModel | None, lines: dict[str, frozenset[str]] | None) -> Iterator[list[Article]]:
-    def scored(chunk: list[Article]) -> list[Article]:
+    def scored(chunk: Chunk) -> Chunk:
+        if model is not None or row is not None:
+            chunk.tokens = Tokens([[(a.title or "").replace("\n", " "), *a.lines] for a in chunk], vocabulary)
         if model is not None:
-            full = [a for a in chunk if any(x.strip() for x in a.lines)]
-            scores = model.scores([residue.body(a.lines, a.title, a.kinds) for a in full], [a.title for a in full])
-            for a, s in zip(full, scores):
-                a.score = float(s)
+            bodies = [residue.body(a.lines, a.title, a.kinds) for a in chunk]
+            for b in bodies:
+                b.at = [n + 1 for n in b.at]
+            for a, s in zip(chunk, model.scores(bodies, [a.title for a in chunk], chunk.tokens)):
+                if any(x.strip() for x in a.lines):
+                    a.score = float(s)
         return chunk
 
+    own: tuple = (None, None)
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns]
-        chunk, size = [], 0
-        for row in zip(*columns):
-            known = lines.get(source_key(row[1])) if lines is not None else frozenset(row[4] or ()) if len(row) > 4 else None
-            chunk.append(Article(*row[:4], known))
-            size += len(row[3] or "")
+        chunk, size = Chunk(), 0
+        for r in zip(*columns):
+            if lines is not None:
+                known = lines.get(source_key(r[1]))
+            elif len(r) > 4 and r[4]:
+                if own[0] != r[4]:  # rows of a source mostly follow each other
+                    own = r[4], pages.Recurring(dict(r[4]))
+                known = own[1]
+            else:
+                known = None
+            chunk.append(Article(*r[:4], known))
+            size += len(r[3] or "")
             if size >= CHUNK:
                 yield scored(chunk)
-                chunk, size = [], 0
+                chunk, size = Chunk(), 0
         if chunk:
             yield scored(chunk)
 
 
-def mapped(articles: DataFrame, schema: str, arrow_schema: pa.Schema, each: Callable[[list[Article]], list[list]], model: residue.ResidueModel | None = None, lines: dict[str, frozenset[str]] | DataFrame | None = None) -> DataFrame:
-    """each(chunk) gives the columns of the rows for a chunk of articles. lines: what `recurring` gives."""
+def mapped(articles: DataFrame, schema: str, arrow_schema: pa.Schema, each: Callable[[Chunk], list], model: residue.ResidueModel | None = None, lines: dict[str, pages.Recurring] | DataFrame | None = None, row: Callable[[str], int] | None = None) -> DataFrame:
+    """each(chunk) gives the columns of the rows for a chunk of articles. lines: what `recurring` gives; row: numbers words for `each`, which then has the chunk's tokens."""
     held = lines if isinstance(lines, dict) else None
 
     def run(batches):
-        for chunk in _read(batches, model, held):
+        for chunk in _read(batches, model, held, row):
             columns = each(chunk)
             if columns and len(columns[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow_schema.types)], schema=arrow_schema)

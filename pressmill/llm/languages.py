@@ -1,17 +1,20 @@
 """Language of documents and of their mixed-language passages (problem 3).
 
-Script ranges narrow the candidates of a word; among the languages written in
-Latin letters, each word has a score per language, the log of its relative
-frequency there over the mean of all. A Viterbi path over the words of a line,
-with a penalty for each switch, labels spans; a line is written in a language if
-a span of at least `min_span` words (or the better part of a shorter line) is.
-Words that sentences of all languages share (names, loan words) score about
-nothing in any, so they change no label.
+Script ranges narrow the candidates of a word: a word of another script leaves only
+that script's language. Among the languages written in Latin letters, each word has
+a score per language, the log of its relative frequency there over the mean of all.
+A Viterbi path over all words of a document, title first, with a penalty for each
+switch, labels its passages: a short line that any of several languages could have
+goes with its neighbours. A document is written in a language if a passage of at
+least `min_span` words (or the better part of the lines it touches, of `LEAST_WORDS`
+words or more; or all of a shorter document) is. Words that sentences of all
+languages share (names, loan words) score about nothing in any, so they change no
+label. Passages come out line by line (`passages`), with their confidence.
 
 The scores are learned from a bounded sample: documents are labelled by function
 words first, their words counted, each sentence labelled by the counts, and the
-words counted again. Paths of
-all lines of a batch are found at once, word by word, in NumPy.
+words counted again. Paths of all documents of a batch are found at once, word by
+word, in NumPy; no path is ever cut.
 
 Defined results: a text without known words has no language; NULL and empty
 texts have none.
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from pressmill.llm import article_pass
 from pressmill.llm import page_lines as pages
 from pressmill.llm import residue
+from pressmill.llm.tokens import Tokens, Vocabulary
 
 #: The languages, with words that hold sentences together in each and in few of the others.
 SEEDS = {
@@ -42,8 +46,8 @@ SEEDS = {
 LANGS = tuple(SEEDS)
 #: Documents of the sample that the scores are learned from, about.
 LEARNED_FROM = 5_000
-#: Words of one path at most.
-PATH = 2_000
+#: Words of a passage at least, unless the document has no more.
+LEAST_WORDS = 4
 #: Other spellings of the codes.
 SPELLINGS = {"eng": "en", "english": "en", "fil": "tl", "tgl": "tl", "tagalog": "tl", "filipino": "tl", "cebuano": "ceb", "bisaya": "ceb", "iloko": "ilo", "ilocano": "ilo", "ilokano": "ilo", "spa": "es", "spanish": "es", "espanol": "es", "español": "es"}
 #: Scripts other than Latin, the languages they leave as candidates, first code point, last.
@@ -52,9 +56,6 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»']?\s+")
 
 
-_OTHER = re.compile(r"[\u0370-\u1fff\u2e80-\ud7ff]")
-
-
 def normal_code(label: str | None) -> str | None:
     """The code a label stands for; None for a missing one (NULL, blank, "und")."""
     s = re.split(r"[-_\s]", (label or "").strip().lower())[0]
@@ -70,19 +71,30 @@ def script_of(word: str) -> str | None:
     return next((lang for lang, lo, hi in SCRIPTS if lo <= c <= hi), None)
 
 
-class _Rows(dict):
-    """Word -> row; unknown words share the last."""
-
-    def __missing__(self, word: str) -> int:
-        return self.none
+#: All labels of a path: the languages, then those that a script alone leaves.
+LABELS = (*LANGS, *(x for x, _, _ in SCRIPTS))
+#: The score of a word in the only language it can be of, and less that in all others.
+CERTAIN = 4.0
 
 
 class WordScores:
-    """Word -> row of a matrix of scores, the last row being that of unknown words."""
+    """Word -> row of a matrix of scores by label; the last rows are those of unknown words and of each script's."""
 
     def __init__(self, rows: dict[str, int], matrix: np.ndarray):
-        self.rows, self.matrix = _Rows(rows), matrix
-        self.rows.none = len(matrix) - 1
+        """matrix: scores of the known words by language, then a row of zeros for unknown ones."""
+        self.rows, self.none = rows, len(matrix) - 1
+        n = len(SCRIPTS)
+        latin = np.hstack([matrix, np.full((len(matrix), n), -CERTAIN, np.float32)])
+        script = np.full((n, len(LABELS)), -CERTAIN, np.float32)
+        script[np.arange(n), len(LANGS) + np.arange(n)] = CERTAIN
+        self.matrix = np.vstack([latin, script]).astype(np.float32)
+
+    def row(self, word: str) -> int:
+        k = self.rows.get(word)
+        if k is None:
+            s = script_of(word)
+            k = self.none if s is None else self.none + 1 + next(i for i, x in enumerate(SCRIPTS) if x[0] == s)
+        return k
 
     @classmethod
     def fit(cls, documents: list[list[list[str]]], rounds: int = 2, least: int = 3) -> WordScores:
@@ -113,7 +125,7 @@ class WordScores:
         return scores
 
     def _best(self, words: list[str]) -> int | None:
-        z = self.matrix[list(map(self.rows.__getitem__, words))].sum(axis=0) if words else np.zeros(len(LANGS))
+        z = self.matrix[[self.rows.get(w, self.none) for w in words], : len(LANGS)].sum(axis=0) if words else np.zeros(len(LANGS))
         order = np.sort(z)
         return int(z.argmax()) if order[-1] - order[-2] > 3 else None
 
@@ -139,7 +151,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
             switch = best > v
             back[idx] = np.where(switch, arg[:, None].astype(np.int8), own)
             v = np.where(switch, best, v)
-        value[:a] = v + scores[idx]
+        v = v + scores[idx]
+        value[:a] = v if t % 64 else v - v.max(axis=1, keepdims=True)  # sums of very long texts stay small
     path = np.zeros(n, np.int8)
     state = value.argmax(axis=1).astype(np.int8) if len(lengths) else np.zeros(0, np.int8)
     for t in range(most - 1, -1, -1):
@@ -151,47 +164,62 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return path
 
 
-def segments(texts: list[str], model: WordScores, penalty: float = 6.0, min_span: int = 5, min_margin: float = 0.35, whole_margin: float = 0.2) -> list[list[tuple[str, int, float]]]:
-    """For each text its languages: (language, words in it, confidence), from the spans of its path. A span that is the whole text needs less of a margin than one within it, which may be a name."""
-    row = model.rows.__getitem__
-    ids: list[int] = []
-    sizes: list[int] = []
-    owner: list[int] = []
-    foreign: dict[int, Counter] = {}
-    total_words = np.zeros(len(texts), np.int64)
-    for i, x in enumerate(texts):
-        words = _WORD.findall(x.lower())
-        if _OTHER.search(x):
-            other = Counter(s for s in map(script_of, words) if s)
-            if other:
-                foreign[i] = other
-        ids += map(row, words)
-        total_words[i] = n = len(words)
-        while n:  # a text of very many words is a few paths
-            sizes.append(min(n, PATH))
-            owner.append(i)
-            n -= sizes[-1]
-    lengths, of = np.array(sizes, np.int64), np.array(owner, np.int64)
+def passages(rows: np.ndarray, line: np.ndarray, doc: np.ndarray, model: WordScores, penalty: float = 6.0, min_span: int = 5, min_margin: float = 0.35, whole_margin: float = 0.2) -> dict[str, np.ndarray]:
+    """The passages of documents, cut at the ends of lines: arrays doc, line, first, last (words of the line, from 1), lang (number of its label), confidence.
+
+    rows, line and doc are those of each word, in order. A passage that is the whole document, or stands over whole lines,
+    needs less of a margin than one within a line, which may be a name.
+    """
+    none = {k: np.zeros(0, np.int64) for k in ("doc", "line", "first", "last", "lang", "confidence")}
+    if not len(rows):
+        return none
+    other = np.zeros(int(doc[-1]) + 1, bool)
+    other[doc[rows > model.none]] = True
+    parts = [k for k in (np.flatnonzero(~other[doc]), np.flatnonzero(other[doc])) if len(k)]
+    path = np.empty(len(rows), np.int8)
+    for k, width in zip(parts, [len(LANGS) if not other[doc[k[0]]] else len(LABELS) for k in parts]):
+        d = doc[k]
+        begins = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        path[k] = viterbi(model.matrix[rows[k], :width], np.diff(np.r_[begins, len(k)]), penalty)
+    new_doc = np.r_[True, doc[1:] != doc[:-1]]
+    new_line = new_doc | np.r_[True, line[1:] != line[:-1]]
+    n = len(rows)
+    # islands: words in a row of one document and label
+    edge = np.flatnonzero(new_doc | np.r_[True, path[1:] != path[:-1]])
+    size, lang = np.diff(np.r_[edge, n]), path[edge].astype(np.int64)
+    total = np.add.reduceat(model.matrix[rows], edge, axis=0)
+    at = np.arange(len(edge))
+    mine = total[at, lang]
+    total[at, lang] = -np.inf
+    margin = (mine - total.max(axis=1)) / size
+    held = np.minimum(size, 8)
+    line_begins = np.flatnonzero(new_line)
+    line_ends = np.r_[line_begins[1:], n]
+    of_line = np.cumsum(new_line) - 1
+    begin, end = line_begins[of_line[edge]], line_ends[of_line[edge + size - 1]]
+    whole = size == end - begin
+    doc_begins = np.flatnonzero(new_doc)
+    doc_size = np.diff(np.r_[doc_begins, n])[np.cumsum(new_doc)[edge] - 1]
+    enough = (size >= min_span) | ((2 * size >= end - begin) & (size >= LEAST_WORDS)) | (2 * size >= doc_size) & (doc_size < 2 * LEAST_WORDS)
+    keep = enough & (margin * held >= 8 * np.where(whole, whole_margin, min_margin))
+    sure = 1 / (1 + np.exp(-np.clip(2 * margin * np.sqrt(held), -30, 30)))
+    # passages: islands cut at the ends of lines
+    cut = np.flatnonzero(new_line | np.isin(np.arange(n), edge))
+    island = np.searchsorted(edge, cut, side="right") - 1
+    cut_size = np.diff(np.r_[cut, n])
+    k = keep[island]
+    first = cut - line_begins[of_line[cut]] + 1
+    return {"doc": doc[cut][k], "line": line[cut][k], "first": first[k], "last": (first + cut_size - 1)[k], "lang": lang[island][k], "confidence": sure[island][k]}
+
+
+def segments(texts: list[str], model: WordScores, **params) -> list[list[tuple[str, int, float]]]:
+    """For each text its passages: (language, words in it, confidence)."""
+    t = Tokens([(x or "").split("\n") for x in texts], Vocabulary(model.row))
+    doc = np.searchsorted(t.first, t.line, side="right") - 1
+    p = passages(t.row[t.word], t.line[t.word], doc[t.word], model, **params)
     out: list[list[tuple[str, int, float]]] = [[] for _ in texts]
-    if len(lengths):
-        scores = model.matrix[np.array(ids, np.int64)]
-        path = viterbi(scores, lengths, penalty)
-        text_of = np.repeat(np.arange(len(lengths)), lengths)
-        edge = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (text_of[1:] != text_of[:-1])])
-        total = np.add.reduceat(scores, edge, axis=0)
-        size, lang, part = np.diff(np.r_[edge, len(path)]), path[edge], text_of[edge]
-        mine = total[np.arange(len(edge)), lang]
-        total[np.arange(len(edge)), lang] = -np.inf
-        margin = (mine - total.max(axis=1)) / size
-        held = np.minimum(size, 8)
-        keep = ((size >= min_span) | (2 * size >= lengths[part])) & (margin * held >= 8 * np.where(size == lengths[part], whole_margin, min_margin))
-        sure = 1 / (1 + np.exp(-np.minimum(2 * margin * np.sqrt(held), 30)))
-        for i, k, n, c in zip(of[part[keep]].tolist(), lang[keep].tolist(), size[keep].tolist(), sure[keep].tolist()):
-            out[i].append((LANGS[k], n, c))
-    for i, other in foreign.items():
-        lang, n = other.most_common(1)[0]
-        if 2 * n >= total_words[i]:
-            out[i] = [(lang, n, 0.9)]
+    for i, k, a, b, c in zip(*(p[x].tolist() for x in ("doc", "lang", "first", "last", "confidence"))):
+        out[i].append((LABELS[k], b - a + 1, c))
     return out
 
 
@@ -205,32 +233,56 @@ def fit(rows: list[tuple]) -> WordScores:
     return WordScores.fit(documents)
 
 
-def languages(articles: DataFrame, sample: int = residue.SAMPLE) -> DataFrame:
-    """(article_id, lang, words, confidence) of the title and the report's own lines; none for contents that are no report."""
+def _labelled(articles: DataFrame, sample: int, columns: str, each) -> DataFrame:
     rows = residue._sampled(articles, sample)
     scores, model = fit(rows[:: max(1, len(rows) // LEARNED_FROM)]), residue.ResidueModel.fit(*residue._training(rows)[:3])
 
-    def each(chunk):
-        texts, owner = [], []
-        for a in chunk:
-            if a.residue:
-                continue
-            for x in [a.title or "", *(x for x, m in zip(a.lines, a.marks) if m == pages.REPORT)]:
-                texts.append(x), owner.append(a.id)
-        found: dict[tuple, list] = {}
-        for i, spans in zip(owner, segments(texts, scores)):
-            for lang, n, sure in spans:
-                f = found.setdefault((i, lang), [0, 0.0])
-                f[0] += n
-                f[1] += n * sure
-        return [[k[0] for k in found], [k[1] for k in found], [v[0] for v in found.values()], [v[1] / v[0] for v in found.values()]]
-
-    schema = pa.schema([("article_id", pa.int64()), ("lang", pa.string()), ("words", pa.int64()), ("confidence", pa.float64())])
-    return article_pass.mapped(articles, "article_id long, lang string, words long, confidence double", schema, each, model, article_pass.recurring(articles))
+    def labels(chunk: article_pass.Chunk) -> list:
+        t = chunk.tokens
+        own = np.zeros(int(t.first[-1]) + 1, bool)
+        for k, a in enumerate(chunk):
+            if not a.residue:
+                at = int(t.first[k])
+                own[at] = True
+                own[at + 1 : at + 1 + len(a.marks)] = np.array(a.marks, np.int8) == pages.REPORT
+        keep = t.word & own[t.line]
+        line = t.line[keep]
+        doc = np.searchsorted(t.first, line, side="right") - 1
+        p = passages(t.row[keep], line, doc, scores)
+        ids = np.array([a.id for a in chunk], np.int64)
+        return each(p | {"id": ids[p["doc"]], "line_no": p["line"] - t.first[p["doc"]]})
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in columns.split(", "))])
+    return article_pass.mapped(articles, columns, schema, labels, model, article_pass.recurring(articles), scores.row)
+
+
+_NAMES = np.array(LABELS, object)
+
+
+def segments_of(articles: DataFrame, sample: int = residue.SAMPLE) -> DataFrame:
+    """(article_id, line_no, first_word, last_word, lang, confidence): the passages of each article; line 0 is its title, words count from 1."""
+    return _labelled(articles, sample, "article_id long, line_no int, first_word int, last_word int, lang string, confidence double",
+                     lambda p: [p["id"], p["line_no"].astype(np.int32), p["first"].astype(np.int32), p["last"].astype(np.int32), _NAMES[p["lang"].astype(np.int64)], p["confidence"]])
+
+
+def languages(articles: DataFrame, sample: int = residue.SAMPLE) -> DataFrame:
+    """(article_id, lang, words, confidence) of the title and the report's own lines; none for contents that are no report."""
+
+    def each(p: dict) -> list:
+        n = p["last"] - p["first"] + 1
+        key, at = np.unique(p["doc"] * len(LABELS) + p["lang"], return_index=True)
+        place = np.searchsorted(key, p["doc"] * len(LABELS) + p["lang"])
+        words = np.bincount(place, weights=n, minlength=len(key))
+        sure = np.bincount(place, weights=n * p["confidence"], minlength=len(key))
+        return [p["id"][at], _NAMES[p["lang"][at].astype(np.int64)], words.astype(np.int64), sure / np.maximum(words, 1)]
+
+    return _labelled(articles, sample, "article_id long, lang string, words long, confidence double", each)
 
 
 def found(articles: DataFrame, labels: DataFrame) -> DataFrame:
     """p3_found: (article_id, lang) of the articles whose label is missing or wrong, or that are in several languages."""
+    # copies of a row count once: an article has at most as many rows as there are languages
     spoken = languages(articles).groupBy("article_id").agg(F.collect_set("lang").alias("langs"))
     code = F.lower(F.regexp_extract(F.trim("lang"), r"^([^-_\s]*)", 1))
     pairs = [F.lit(x) for kv in SPELLINGS.items() for x in kv]

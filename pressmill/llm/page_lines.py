@@ -21,6 +21,8 @@ import math
 import re
 from html.parser import HTMLParser
 
+import xxhash
+
 BLANK, REPORT, FURNITURE = 0, 1, 2
 #: kinds before smoothing
 _NONE, _PROSE, _ITEM, _FURN, _HEADER, _POINTER, _OPEN = range(7)
@@ -31,7 +33,7 @@ you might like|you may like|you may also like|recommended|recommended for you|mo
 mga kaugnay na balita|kaugnay na balita|pinakabasa|pinakabago|iba pang balita|labing gibasa|may kalabutan nga balita|mga may kalabutan nga balita|laing balita|kaaduan a nabasa|dagiti nainaig a damag|nainaig a damag|dadduma pay a damag
 lo más leído|lo mas leido|noticias relacionadas|te puede interesar|también te puede interesar|más noticias""".replace("\n", "|").split("|"))
 MENU = frozenset("""home|menu|search|nation|metro|regions|region|life|lifestyle|video|videos|audio|games|puzzles|e-paper|epaper|weather|world desk|world|careers|jobs|about|about us|contact|contact us|login|log in|sign in|sign up|register|archive|archives|views|opinion|money|business|screens|sports|news|local|politics|tech|technology|health|culture|arts|travel|food|style|subscribe|newsletters|newsletter|podcasts|podcast|photos|gallery|help|faq|terms|privacy|sitemap|more|share|print|mail|email|copy link|facebook|twitter|instagram|youtube|tiktok|viber|next|previous|back|top|back to top|skip to content|close|loading|inicio|buscar|iniciar sesión|balita|palakasan|isport|skip""".split("|"))
-_MENU_WORDS = frozenset(w for m in MENU for w in m.split())
+_MENU_WORDS = frozenset(w for m in MENU for w in re.split(r"[\s-]+", m))
 _NAME = r"[^\W\d_][\w.'’\-]*"
 _RULES = [
     r"^(?:\(c\)|©|copyright\b)|all rights reserved|\bterms - privacy\b|\bpublishing group$|printed on recycled|reservados todos|todos los derechos",
@@ -51,14 +53,39 @@ _RULES = [
     r"-?\d{1,3}\s?°|^(?:high|low) tide\b|^sunrise\b|^index \d|\b(?:usd|php|eur) \d|^(?:mon|tues|wednes|thurs|fri|satur|sun)day,? (?:january|february|march|april|may|june|july|august|september|october|november|december) \d{1,2}(?:, \d{4})?$",
     r"^(?:tags?|topics?|filed under|keywords?|labels|categories|mga paksa|etiquetas|temas)\b\s*[:|]?\s*\S",
 ]
-_FURNITURE = re.compile("|".join(f"(?:{r})" for r in _RULES))
+
+
+def _alternatives(rule: str) -> list[str]:
+    """The alternatives of a pattern, those within groups left together."""
+    out, depth = [""], 0
+    for c in re.findall(r"\\.|\[(?:\\.|[^\]])*\]|.", rule):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
+
+
+_ALL = [a for r in _RULES for a in _alternatives(r)]
+# those bound to a line's beginning are tried there only
+_FIRST = re.compile("|".join(a for a in _ALL if a.startswith("^")))
+_ANYWHERE = re.compile("|".join(a for a in _ALL if not a.startswith("^")))
+
+
+def _furniture(low: str) -> bool:
+    return bool(_FIRST.match(low) or _ANYWHERE.search(low))
+
+
 _BYLINE = re.compile(rf"^(?:(?:words|text|story|report|reporting|written|analysis|photos?) )?(?:by|ni|nina|por|ti|sinulat ni|gisulat ni|insurat ni)\s+{_NAME}(?:\s+{_NAME}){{0,3}}(?:\s*(?:,|\||and|at|y|ug|ken)\s*{_NAME}(?:\s+{_NAME}){{0,3}})?$")
 _CREDIT = re.compile(rf"^{_NAME}(?:\s+{_NAME}){{1,3}}\s+\|\s+{_NAME}(?:\s+{_NAME}){{0,3}}$")
 _CONSENT = re.compile(r"\b(?:we|our|us|vendors?|partners?|advertisers|third parties|accept|agree|reject|consent|settings|privacy|the editors)\b")
 _POINT = re.compile(r"^(?:read(?: more| also| next)?|also see|see also|also read|related(?: story| stories)?|basahin(?: rin| din)?|basaha(?: usab)?|basaen|lee? (?:también|además)|lea también|watch|panoorin|more|next|up next|don't miss|just in|breaking|exclusive)\s*[:|–—]\s*\S|^(?:»|›|>>|>|→|▸)\s*\S")
 _NUMBERED = re.compile(r"^\d{1,2}[.)]\s+\S")
 _BULLET = re.compile(r"^[-*•–·]\s+\S")
-_LABELLED = re.compile(r"^[^:]{2,40}:\s.*\d[\d,.]*\s+[^\W\d_]+,.*\d[\d,.]*\s+[^\W\d_]+$")
+_LABEL = re.compile(r"[^:\n]{2,40}:\s")
+_COUNTED = re.compile(r"\d[\d,.]*\s+[^\W\d_]+(?=,)")
+_LAST_COUNTED = re.compile(r"\d[\d,.]*\s+[^\W\d_]+$")
 _NUMBER = re.compile(r"\d[\d,.:]*")
 _SEP = re.compile(r"\s*[|/·•›»>]\s*|\s{2,}|\s+-\s+")
 _SEPARATORS = ("|", "/", "·", "•", "›", "»", ">", " - ")
@@ -75,6 +102,13 @@ el la los las de del en y que un una por para con se su no es al lo como más pe
 _memo: dict[str, int] = {}
 
 
+def labelled(s: str) -> bool:
+    """ "Place: 3 teachers, 4 nurses": a label, then counts of things, the last at the end."""
+    head = _LABEL.match(s)
+    last = head and s[-1:].isalpha() and _LAST_COUNTED.search(s, head.end())
+    return bool(last and _COUNTED.search(s, head.end(), last.start()))
+
+
 def _tags(words: list[str], text: str) -> bool:
     """A bare list of tags: no capital, no word that a sentence needs."""
     return len(words) >= 3 and text == text.lower() and not any(w in FUNCTION for w in words)
@@ -100,7 +134,7 @@ def _kind(text: str) -> int:
     long = n >= 24
     if _consent(low) and _CONSENT.search(low) and not low.startswith(('"', "“", "«")) and ("agree" in low or "accept" in low or "ok to" in low or "settings" in low or "polic" in low or n < 16):
         return _FURN
-    if n <= 16 and _FURNITURE.search(plain):
+    if n <= 16 and _furniture(plain):
         return _FURN
     if n <= 9 and not (_END.search(low) and not _END.search(core[:-1]) and n > 6) and (_BYLINE.match(plain) or _CREDIT.match(plain)):
         return _FURN
@@ -121,7 +155,7 @@ def _kind(text: str) -> int:
         return _FURN
     if _tags(words, s):
         return _FURN
-    if long or (n >= 6 and _LABELLED.match(s)):
+    if long or (n >= 6 and labelled(s)):
         return _PROSE
     if n <= 14 and len(_NUMBER.findall(s)) >= 3 and sum(w in FUNCTION for w in words) <= 2:
         return _FURN  # a ticker of prices, tides, scores
@@ -150,22 +184,41 @@ def kind(text: str) -> int:
     return k
 
 
-#: Lines longer than this are never taken for recurring furniture.
-LONGEST = 300
-#: A sentence longer than this isn't either: reports may share one.
-SENTENCE = 60
 _LETTERS = re.compile(r"[\W\d_]+")
-_letters_memo: dict[str, str] = {}
+#: Letters at a line's beginning that a `line_id` tells apart at a glance.
+HEAD = 6
 
 
 def letters(text: str) -> str:
-    """Letters only, in lower case: what makes two lines the same."""
-    k = _letters_memo.get(text)
-    if k is None:
-        if len(_letters_memo) > 300_000:
-            _letters_memo.clear()
-        k = _letters_memo[text] = _LETTERS.sub("", text.lower())
-    return k
+    """Letters only, in lower case: what makes two lines the same, here as in `keys.letters_only`."""
+    k = _LETTERS.sub("", text.lower())
+    return k if k.isascii() else "".join(c for c in k if c.isalpha())
+
+
+def _hash(k: str) -> int:
+    return xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass"), 42)
+
+
+class Recurring:
+    """The lines that recur throughout a source's pages, by `repeated_lines.line_ids`; strong: in so many pages that they can't be the reports' own."""
+
+    def __init__(self, ids: dict[int, bool]):
+        self.ids = {k & 0xFFFFFFFFFFFFFFFF: v for k, v in ids.items()}
+        self.heads = frozenset(k & 0xFFFF for k in self.ids)
+
+    def head(self, text: str) -> int:
+        """The low bits of a line's id, from its first letters."""
+        k = letters(text[:40])[:HEAD]
+        if len(k) < HEAD and len(text) > 40:
+            k = letters(text)[:HEAD]
+        return _hash(k) & 0xFFFF
+
+    def of(self, text: str) -> bool | None:
+        """True for strong, False for weak, None for a line that doesn't recur."""
+        if self.head(text) not in self.heads:
+            return None
+        k = letters(text)
+        return self.ids.get((_hash(k) & ~0xFFFF) | (_hash(k[:HEAD]) & 0xFFFF)) if k else None
 
 
 _GAUSS = [math.exp(-d * d / 2) for d in range(4)]
@@ -195,14 +248,17 @@ def _threshold(values: list[float]) -> float:
     return min(max((lo + hi) / 2, 45.0), 62.0)
 
 
-def label(lines: list[str], title: str | None = None, tags: list[int] | None = None, kinds: list[int] | None = None, recurring: frozenset[str] | None = None) -> list[int]:
-    """BLANK, REPORT or FURNITURE for each line. tags: the tags that each line came from, 1 each if not given; kinds: of the lines, if known;
-    recurring: the letters of lines that recur throughout the source's pages, which are furniture whatever they say."""
+def label(lines: list[str], title: str | None = None, tags: list[int] | None = None, kinds: list[int] | None = None, recurring: Recurring | None = None) -> list[int]:
+    """BLANK, REPORT or FURNITURE for each line. tags: the tags that each line came from, counted by the parser if not given; kinds: of the lines, if known;
+    recurring: the lines that recur throughout the source's pages, which are furniture whatever they say; sentences must recur strongly for that."""
     kinds = [kind(x) for x in lines] if kinds is None else list(kinds)
-    if recurring:
-        for i, x in enumerate(lines):
+    if recurring and recurring.ids:
+        known = [recurring.of(x) if k in (_OPEN, _ITEM, _PROSE) else None for x, k in zip(lines, kinds)]
+        # a report has prose of its own: where all of it recurs, the story has been taken in again and again
+        own_prose = any(k == _PROSE and not s for k, s in zip(kinds, known))
+        for i, strong in enumerate(known):
             k = kinds[i]
-            if (k in (_OPEN, _ITEM) and len(x) <= LONGEST or k == _PROSE and len(x) <= SENTENCE) and letters(x) in recurring:
+            if strong is not None and (k != _PROSE or (strong and own_prose)):
                 after = [j for j in kinds[i + 1 : i + 6] if j != _NONE][:2]
                 kinds[i] = _HEADER if k == _OPEN and len(after) == 2 and set(after) <= {_OPEN, _POINTER} else _FURN
     own = (title or "").strip().lower()
@@ -226,7 +282,9 @@ def label(lines: list[str], title: str | None = None, tags: list[int] | None = N
     if not any(kinds[i] == _OPEN for i in rest):
         return out
     # running text per tag: a line that is no prose has none of its own but its words
-    ratio = [min(max(len(lines[i]), 120), 200) / (tags[i] if tags else 1) if kinds[i] == _PROSE else 120.0 if kinds[i] == _ITEM else min(len(lines[i]), 60) / 2 for i in rest]
+    if tags is None:
+        tags = [tag_count(x) if "<" in x else 1 for x in lines]
+    ratio = [min(max(len(lines[i]), 120), 200) / tags[i] if kinds[i] == _PROSE else 120.0 if kinds[i] == _ITEM else min(len(lines[i]), 60) / 2 for i in rest]
     smooth = _smooth(ratio)
     cut = _threshold(smooth)
     last_prose = max((p for p, i in enumerate(rest) if kinds[i] in (_PROSE, _ITEM)), default=-1)
@@ -253,7 +311,7 @@ class _Lines(HTMLParser):
         self.lines: list[str] = []
         self.tags: list[int] = []
         self.away: list[bool] = []
-        self._text, self._n, self._skip, self._depth = [], 1, 0, 0
+        self._text, self._n, self._skip, self._depth, self.seen = [], 1, 0, 0, 1
 
     def _flush(self):
         text = re.sub(r"\s+", " ", "".join(self._text)).strip()
@@ -267,6 +325,7 @@ class _Lines(HTMLParser):
         if tag in _BLOCK:
             self._flush()
         self._n += 1
+        self.seen += 1
         self._skip += tag in _SKIP
         self._depth += tag in _AWAY
 
@@ -281,6 +340,16 @@ class _Lines(HTMLParser):
             self._text.append(data)
 
 
+def tag_count(line: str) -> int:
+    """The tags of a line of text, its break included, from the parser's events."""
+    p = _Lines()
+    try:
+        p.feed(line)
+    except Exception:  # noqa: BLE001 - a broken-off tag is none
+        pass
+    return max(1, p.seen)
+
+
 def html_lines(html: str) -> tuple[list[str], list[int], list[bool]]:
     """(lines, tags per line, whether each stands in a menu, sidebar, footer or form) of a page, broken-off ones included, by streaming parser events."""
     p = _Lines()

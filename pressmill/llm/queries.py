@@ -45,6 +45,11 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.languages(table(spark, sf_dir, "articles"))
 
 
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, line_no, first_word, last_word, lang, confidence): the passages of every article by language; line 0 is the title."""
+    return languages.segments_of(table(spark, sf_dir, "articles"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(article_id) of the articles whose content breaks off."""
     return truncation.found(table(spark, sf_dir, "articles"))
@@ -128,7 +133,7 @@ _P9 = rf"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text I
   SELECT DISTINCT doc_id, item_id FROM dg JOIN own ON own.g = dg.g"""
 
 _ALL = (
-    p1_found, p1_unmatched, p3_found, p3_languages, p4_found, p4_blocks, p4_clean, p5_found, p5_shares, p6_found, p6_validation,
+    p1_found, p1_unmatched, p3_found, p3_languages, p3_segments, p4_found, p4_blocks, p4_clean, p5_found, p5_shares, p6_found, p6_validation,
     p7_found, p7_reports, p7_pages, p8_packs, p8_report, p9_found, p9_items, p10_found, p10_shares,
 )
 QUERIES = {f.__name__: f for f in _ALL}

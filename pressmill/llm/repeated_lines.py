@@ -24,27 +24,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.functions.keys import letters_only
+from pressmill.llm.page_lines import HEAD
 from pressmill.session import spread, staged
 
 #: Rows of a node table that is broadcast at most (about 40 bytes each).
 BROADCAST_ROWS = 200_000
 
 
-def line_hashes(content: Column, longest: int | None = None) -> Column:
-    """ARRAY<BIGINT>, one per line split at "\\n", NULL for a line without letters, or longer than `longest`."""
+def line_hashes(content: Column) -> Column:
+    """ARRAY<BIGINT>, one per line split at "\\n", NULL for a line without letters."""
 
     def one(line: Column) -> Column:
         k = letters_only(line)
-        h = F.when(k != "", F.xxhash64(k))
-        return h if longest is None else F.when(F.length(line) <= longest, h)
+        return F.when(k != "", F.xxhash64(k))
 
     return F.transform(F.split(content, "\n", -1), one)
 
 
-def hashed(documents: DataFrame, doc_id: str, source: str, content: str, longest: int | None = None) -> DataFrame:
-    """(doc_id, source_key, lines ARRAY<BIGINT>), written once: three passes read it."""
+def line_ids(content: Column) -> Column:
+    """The same, the low 16 bits of each being those of the hash of its first HEAD letters: most lines that don't recur are told by these alone."""
+
+    def one(line: Column) -> Column:
+        k = letters_only(line)
+        return F.when(k != "", F.xxhash64(k).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(F.xxhash64(F.substring(k, 1, HEAD)).bitwiseAND(F.lit(0xFFFF))))
+
+    return F.transform(F.split(content, "\n", -1), one)
+
+
+def hashed(documents: DataFrame, doc_id: str, source: str, content: str, ids=line_hashes) -> DataFrame:
+    """(doc_id, source_key, lines ARRAY<BIGINT>)."""
     d = spread(documents.select(doc_id, source, content), doc_id)
-    return staged(d.select(F.col(doc_id).alias("doc_id"), F.coalesce(letters_only(F.col(source)), F.lit("")).alias("source_key"), line_hashes(F.col(content), longest).alias("lines")), "lines")
+    return d.select(F.col(doc_id).alias("doc_id"), F.coalesce(letters_only(F.col(source)), F.lit("")).alias("source_key"), ids(F.col(content)).alias("lines"))
 
 
 def frequent_nodes(h: DataFrame, min_docs: int, min_share: float) -> DataFrame:
@@ -90,7 +100,7 @@ def blocks(documents: DataFrame, doc_id: str = "id", source: str = "source", con
 
     An edge is kept where it occurs at least min_docs times and it is at least edge_share of the rarer of its lines.
     """
-    h = hashed(documents, doc_id, source, content)
+    h = staged(hashed(documents, doc_id, source, content), "lines")  # three passes read it
     nodes = staged(frequent_nodes(h, min_docs, min_share), "nodes")
     small = nodes.count() <= BROADCAST_ROWS
     pairs = occurrences(h, nodes, small).where(F.col("next").isNotNull()).groupBy("source_key", "line", "next").agg(F.count("*").alias("w")).where(F.col("w") >= min_docs)
@@ -102,15 +112,20 @@ def blocks(documents: DataFrame, doc_id: str = "id", source: str = "source", con
     return comp.join(nodes.select("source_key", "line", "support"), ["source_key", "line"]), h, small
 
 
-def recurring_lines(documents: DataFrame, doc_id: str = "id", source: str = "source", content: str = "content", min_docs: int = 6, min_share: float = 0.003, longest: int = 300) -> DataFrame:
-    """(source_key, letters): the lines of up to `longest` characters that recur in a source, as their letters."""
-    h = hashed(documents, doc_id, source, content, longest)
-    nodes = staged(frequent_nodes(h, min_docs, min_share), "recurring")
-    small = nodes.count() <= BROADCAST_ROWS
-    at = occurrences(h, nodes, small).groupBy("source_key", "line").agg(F.min(F.struct("doc_id", "line_no")).alias("m")).select("source_key", F.col("m.doc_id").alias("doc_id"), F.col("m.line_no").alias("line_no"))
-    d = documents.select(F.col(doc_id).alias("doc_id"), F.col(content).alias("content"))
-    j = d.join(F.broadcast(at) if small else at, "doc_id")
-    return j.select("source_key", letters_only(F.get(F.split("content", "\n", -1), F.col("line_no") - 1)).alias("letters"))
+def recurring_lines(documents: DataFrame, doc_id: str = "id", source: str = "source", content: str = "content", min_docs: int = 6, min_share: float = 0.003, strong_share: float = 0.02) -> DataFrame:
+    """(source_key, line, strong): the lines, as their `line_ids`, that recur in a source; strong: in strong_share of its texts or more.
+
+    Copies of a text count once, so that the lines of a story taken in many times aren't taken for the site's.
+    """
+    h = hashed(documents, doc_id, source, content, line_ids).where(F.col("lines").isNotNull())
+    each = h.withColumn("whole", F.xxhash64("lines")).dropDuplicates(["source_key", "whole"])
+    docs = F.struct(F.lit(None).cast("bigint").alias("line"))
+    lines = F.transform(F.array_distinct(F.filter("lines", lambda x: x.isNotNull())), lambda x: F.struct(x.alias("line")))
+    # the number of a source's texts is counted as the support of a line NULL: one pass
+    n = each.select("source_key", F.explode(F.concat(F.array(docs), lines)).alias("l")).groupBy("source_key", "l.line").agg(F.count("*").alias("n"))
+    n = staged(n.where(F.col("line").isNull() | (F.col("n") >= min_docs)), "recurring")
+    total = n.where(F.col("line").isNull()).select("source_key", F.col("n").alias("docs"))
+    return n.where(F.col("line").isNotNull()).join(total, "source_key").where(F.col("n") >= F.col("docs") * F.lit(min_share)).select("source_key", "line", (F.col("n") >= F.col("docs") * F.lit(strong_share)).alias("strong"))
 
 
 def found(documents: DataFrame, **params) -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.llm import page_lines as pages
+from pressmill.llm.page_lines import _FURN, _HEADER, _ITEM, _OPEN, _POINTER, _PROSE
+from pressmill.llm.tokens import Tokens, Vocabulary
 
 #: Rows of the training sample, about.
 SAMPLE = 12_000
@@ -41,8 +43,6 @@ _WEAK = re.compile(
     r"|javascript|scripts? (?:enabled|to read|in your browser)|without scripts|checking your browser|complete the check|enable cookies|are you (?:a )?(?:human|robot)|request has been blocked|unusual traffic|under maintenance|down for maintenance|being upgraded|domain has expired|page you are looking for|could not find that|nothing was found|link is broken|server is too busy|try again (?:in|later)|^oops|have been blocked|^forbidden\b|verifying that you|too many requests|maintenance in progress|incident id|^\(?(?:session |ray id:? ?|trace:? ?)?[0-9a-f]{6,}\)?$"
     r"|hindi makita ang pahina|may problema sa server|wala makit-i ang panid|saan a nasarakan|p[áa]gina no encontrada|servicio no disponible|buksan ang javascript|habilit[ae] javascript",
     re.IGNORECASE)
-_TOKEN = re.compile(r"[^\W\d_]+|\d+|[{}<>%$\[\]@#=|\\]+|[.:;/]{2,}|\n")
-
 
 _weak_memo: dict[str, bool] = {}
 
@@ -60,28 +60,35 @@ def _weak(line: str) -> bool:
 
 
 class Body(list):
-    """The lines of a page that are neither blank, nor furniture by their wording, nor the headline; `prose` counts those of running prose."""
+    """The lines of a page that are neither blank, nor furniture by their wording, nor the headline; `prose` counts those of running prose, `at` has their places."""
 
     prose = 0
 
+    def __init__(self, lines=(), at=None):
+        super().__init__(lines)
+        self.at = list(range(len(self))) if at is None else at
+
 
 def body(lines: list[str], title: str | None, kinds: list[int] | None = None) -> Body:
     own = (title or "").strip().lower()
+    size = len(own)
     out, widget = Body(), False
-    for x, k in zip(lines, [pages.kind(x) for x in lines] if kinds is None else kinds):
+    for n, (x, k) in enumerate(zip(lines, [pages.kind(x) for x in lines] if kinds is None else kinds)):
         s = x.strip()
-        if not s or (len(s) == len(own) and s.lower() == own):
+        if not s or (len(s) == size and s.lower() == own):
             continue
-        if k == pages._HEADER:
+        if k == _PROSE:
+            widget = False
+            out.prose += len(s) > 60
+        elif k == _HEADER:
             widget = True
             continue
-        if k in (pages._PROSE, pages._ITEM):
+        elif k == _ITEM:
             widget = False
-        elif k in (pages._FURN, pages._POINTER) or (widget and k == pages._OPEN):
-            if not _weak(s):
-                continue
+        elif (k == _FURN or k == _POINTER or (widget and k == _OPEN)) and not _weak(s):
+            continue
         out.append(s)
-        out.prose += k == pages._PROSE and len(s) > 60
+        out.at.append(n)
     return out
 
 
@@ -106,50 +113,54 @@ def weak_label(lines: list[str]) -> int | None:
     return 1 if (residue and words < 25) or filler else None
 
 
-class _Hashes(dict):
-    """Token -> hash; digits count only by their number."""
-
-    def __missing__(self, t: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[t] = zlib.crc32(("0" * len(t) if t.isdigit() else t).encode("utf-8", "surrogatepass")) & 0x7FFFFFFF
-        return h
-
+_vocabulary = Vocabulary()
 
-_hashes = _Hashes()
 
-
-def _indexes(bodies: list[Body], titles: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(feature indexes, page of each), all pages of a batch at once."""
-    hashed = _hashes.__getitem__
-    flat, extra, lengths = [], [], np.zeros(len(bodies), np.int64)
-    for k, (b, t) in enumerate(zip(bodies, titles)):
-        n = len(flat)
-        flat += map(hashed, _TOKEN.findall("\n".join(b).lower()))
-        lengths[k] = n = len(flat) - n
-        first = b[0].lower() if b else ""
-        extra.append([min(n.bit_length(), 15), 16 + min(b.prose, 7), 24 + min(len(b), 15), 40 + any(len(w) > 4 and w in first for w in (t or "").lower().split())])
-    flat = np.array(flat, np.int64)
-    follow = np.empty_like(flat)
+def _indexes(tokens: Tokens, bodies: list[Body], titles: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature indexes, page of each), all pages of a batch at once. A body's lines stand in the tokens behind each other or, with `at`, where the page has them."""
+    page_of = np.full(int(tokens.first[-1]) + 1, -1, np.int64)
+    for k, b in enumerate(bodies):
+        page_of[int(tokens.first[k]) + np.array(b.at, np.int64)] = k
+    page = page_of[tokens.line]
+    keep = page >= 0
+    flat, page = tokens.hash[keep], page[keep]
+    lengths = np.bincount(page, minlength=len(bodies))
+    follow = np.full_like(flat, 7)
     if len(flat):
-        follow[:-1], follow[-1] = flat[1:], 7
+        same = page[1:] == page[:-1]
+        follow[:-1][same] = flat[1:][same]
     uni = flat % (_SIZE - _EXTRA) + _EXTRA
     bi = (flat * 1_000_003 + follow * 31 + 5) % (_SIZE - _EXTRA) + _EXTRA
-    page = np.repeat(np.arange(len(bodies)), lengths)
+    extra = []
+    for n, b, t in zip(lengths.tolist(), bodies, titles):
+        first = b[0].lower() if b else ""
+        extra.append([min(n.bit_length(), 15), 16 + min(b.prose, 7), 24 + min(len(b), 15), 40 + any(len(w) > 4 and w in first for w in (t or "").lower().split())])
     return np.concatenate([uni, bi, np.array(extra, np.int64).ravel()]), np.concatenate([page, page, np.repeat(np.arange(len(bodies)), 4)])
 
 
+def _alone(bodies: list[Body]) -> tuple[Tokens, list[Body]]:
+    """The tokens of bodies without their pages."""
+    out = []
+    for b in bodies:
+        c = Body(b)
+        c.prose = b.prose
+        out.append(c)
+    return Tokens(list(map(list, bodies)), _vocabulary), out
+
+
 class ResidueModel:
     """Weights over hashed features; a page's features are weighed by one over the root of their number."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
-    def scores(self, bodies: list[list[str]], titles: list[str | None]) -> np.ndarray:
-        """The probability of each page to be residue."""
+    def scores(self, bodies: list[Body], titles: list[str | None], tokens: Tokens | None = None) -> np.ndarray:
+        """The probability of each page to be residue. tokens: those of the pages that the bodies were taken from, if known."""
         if not bodies:
             return np.zeros(0)
-        idx, owner = _indexes(bodies, titles)
+        if tokens is None:
+            tokens, bodies = _alone(bodies)
+        idx, owner = _indexes(tokens, bodies, titles)
         n = np.bincount(owner, minlength=len(bodies))
         z = np.bincount(owner, weights=self.weights[idx], minlength=len(bodies)) / np.sqrt(np.maximum(n, 1)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -158,7 +169,7 @@ class ResidueModel:
     def fit(cls, bodies: list[list[str]], titles: list[str | None], labels: list[int], l2: float = 1e-6, steps: int = 120, rate: float = 0.05) -> ResidueModel:
         if not bodies:
             return cls(np.zeros(_SIZE, np.float32), -5.0)
-        idx, owner = _indexes(bodies, titles)
+        idx, owner = _indexes(*_alone(bodies), titles)
         y = np.array(labels, float)
         n = len(bodies)
         value = 1 / np.sqrt(np.bincount(owner, minlength=n))[owner]

@@ -29,7 +29,8 @@ from pressmill.session import spread, staged
 
 WHOLE, MISSING, BROKEN = 0, 1, 2
 _OPENERS = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”"}
-_BROKEN = re.compile(r"�+$|&#?\w{0,8}$|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2})?$|<[^<>]*$|%[0-9A-F]?$")
+# what a cut leaves of a multibyte sequence, an entity, an escape; each is of bounded length
+_BROKEN = re.compile(r"�$|&#?\w{0,8}$|\\(?:u[0-9a-fA-F]{0,4}|x[0-9a-fA-F]{0,2})?$|%[0-9A-F]?$")
 # Marks and cues of a cut.
 _CUT = re.compile(r"(?:\.{3,}|…|\[(?:\.{2,}|…)\]|\((?:more|continued|cont'?d?\.?|itutuloy|sundan|continúa)\)|[-–—]+\s*more\s*[-–—]*|\[\+?\d+ ?(?:chars?|characters|more)\]|(?:read|see|show) (?:more|full)\b.{0,20}|continue reading.{0,12}|>>+|→)\s*$", re.IGNORECASE)
 _QUOTED = re.compile(r"(?:\.{3}|…)[\"”’'»)\]]+$")
@@ -94,7 +95,8 @@ def report_ending(lines: list[str], entry_ends: frozenset[str]) -> int:
 def ending(line: str, entry_ends: frozenset[str]) -> int:
     """WHOLE, MISSING (no terminator) or BROKEN, of the last line of a report."""
     s = line.translate(pages._ODD).rstrip()
-    if _BROKEN.search(s, max(0, len(s) - 200)):
+    tag = s.rfind("<")
+    if _BROKEN.search(s, max(0, len(s) - 12)) or (tag >= 0 and ">" not in s[tag:] and _BEGUN.match(s, tag)):
         return BROKEN
     if _QUOTED.search(s[-12:]) and not s.endswith("]") and not unclosed(s):
         return WHOLE  # the ellipsis is part of what is quoted
@@ -111,7 +113,7 @@ def ending(line: str, entry_ends: frozenset[str]) -> int:
         if not pages._END.search(cut):
             break
         s = cut
-    if _ENTRY.match(s) or (len(s) < 400 and pages._LABELLED.match(s)):
+    if _ENTRY.match(s) or pages.labelled(s):
         return WHOLE if _last(s) in entry_ends else MISSING
     return MISSING
 
@@ -129,7 +131,7 @@ def _entry_words(content: str) -> Counter:
     """The words that entries of bulleted lists end in; numbered lines are mostly other stories."""
     n = Counter()
     for x in content.split("\n"):
-        if pages._BULLET.match(x.strip()) or (len(x) < 400 and pages._LABELLED.match(x)):
+        if pages._BULLET.match(x.strip()) or pages.labelled(x):
             n[_last(pages._SIGNOFF.sub("", x))] += 1
     return n
 

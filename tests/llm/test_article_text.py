@@ -126,6 +126,57 @@ def test_languages_of_held_out_sentences(spark, small):
     assert {x for x, _, _ in long[0]} == {"en", "tl"} and long[1] == [] and {x for x, _, _ in long[2]} == {"tl"}
 
 
+def test_passages(spark, small):
+    scores = languages.fit([tuple(r) for r in small.select("id", "source", "title", "content").where("content is not null").collect()])
+    # a short line that could be of either language goes with its neighbours; its own words come out by place
+    text = TL + "\nTinig ng mga taga-Bayan\n" + PROSE[0] + " " + PROSE[1]
+    got = languages.segments([text], scores)[0]
+    assert [x for x, _, _ in got] == ["tl", "tl", "en"] and all(0.5 < c <= 1 for _, _, c in got)
+    n = lambda x: len(residue.pages._WORD.findall(x))
+    assert [k for _, k, _ in got][0] == n(TL)
+    # no path is cut: the second language begins after thousands of words of one line
+    long = languages.segments([(PROSE[0] + " ") * 400 + TL], scores)[0]
+    assert [x for x, _, _ in long] == ["en", "tl"] and sum(k for _, k, _ in long) == 400 * n(PROSE[0]) + n(TL)
+    # another script leaves one candidate, within a text as well
+    assert [x for x, _, _ in languages.segments(["Привет мир, как дела сегодня. " + PROSE[0]], scores)[0]] == ["ru", "en"]
+    # of two documents the paths are apart
+    assert [[x for x, _, _ in s] for s in languages.segments([TL, PROSE[0], ""], scores)] == [["tl"], ["en"], []]
+    rows = [(1, "s", PROSE[0][:60], PROSE[0] + "\n" + TL), (2, None, None, None), (3, "s", "t", "")]
+    out = languages.segments_of(small.select("id", "source", "title", "content").unionByName(spark.createDataFrame(rows, "id long, source string, title string, content string").withColumn("id", F.col("id") - 100)))
+    mine = [tuple(r)[1:5] for r in out.where("article_id = -99").orderBy("line_no").collect()]
+    assert mine == [(0, 1, n(PROSE[0][:60]), "en"), (1, 1, n(PROSE[0]), "en"), (2, 1, n(TL), "tl")] and out.where("article_id in (-98, -97)").count() == 0
+
+
+def test_lines_are_compared_alike_here_and_in_the_engine(spark):
+    from pressmill.functions.keys import letters_only
+    from pressmill.llm import repeated_lines
+
+    lines = ["Share this!", "SHARE  this 12", "Ñandú — uno", "Ⅷ ² ok", "straße", "é combining", "abc", "a", "x" * 5000, "日本語 text", "12 34", ""]
+    row = spark.createDataFrame([("\n".join(lines),)], "c string").select(repeated_lines.line_ids(F.col("c")).alias("i"), F.transform(F.split("c", "\n"), letters_only).alias("k")).first()
+    assert [page_lines.letters(x) for x in lines] == row.k
+    assert [page_lines.Recurring({i: True}).of(x) if i is not None else None for x, i in zip(lines, row.i)] == [True] * 10 + [None] * 2
+    assert page_lines.Recurring({row.i[0]: False}).of("share this") is False and page_lines.Recurring({row.i[0]: False}).of("share thus") is None
+
+
+def test_recurrence_has_no_limit_of_length_and_copies_count_once(spark):
+    notice = "Zubro fenta mirlo " * 40 + "end of it."  # 720 characters, a sentence, no wording that a list knows
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    rows = [(i, "Alpha", "t", f"{PROSE[0]} {word(i)}.\n{notice}\n{PROSE[1]} {word(i)}.") for i in range(60)]
+    rows += [(1000 + i, "Alpha", "t", PROSE[1] + "\n" + TL) for i in range(60)]  # one story, taken in sixty times
+    df = spark.createDataFrame(rows, "id long, source string, title string, content string")
+    got = {(r.article_id, r.line_no) for r in article_pass.lines_outside(df, residue.ResidueModel.fit([], [], [])).collect()}
+    assert got == {(i, 2) for i in range(60)}
+
+
+def test_endings_have_no_window():
+    none, far = frozenset(), "x" * 900
+    assert truncation.ending(f'As told <a href="https://a.test/{far}', none) == truncation.BROKEN
+    listed = "Salinaw: 9 teachers, " + ", ".join(f"{i} nurses" for i in range(2, 90)) + ", 7 teachers"
+    assert truncation.ending(listed, frozenset(["teachers"])) == truncation.WHOLE and len(listed) > 800
+    assert truncation.ending("It was 5 < 6 that day.", none) == truncation.WHOLE
+    assert not page_lines.labelled("a: " + "1 2 " * 100_000) and page_lines.labelled("Rain: 3 teachers, 4 nurses")
+
+
 def test_empty_tables(spark):
     e = spark.createDataFrame([], SCHEMA)
     model = residue.train(e)
@@ -156,7 +207,7 @@ def test_recurring_lines_are_furniture(spark, monkeypatch):
     model = residue.ResidueModel.fit([], [], [])
     got = {(r.article_id, r.line_no) for r in article_pass.lines_outside(df, model).collect()}
     assert {(i, 2) for i in range(40)} <= got and not {(i, n) for i in range(40) for n in (1, 3)} & got
-    assert article_pass.recurring(df)["alpha"] >= {"zubrofentamirlo"}
+    assert article_pass.recurring(df)["alpha"].of(strange.upper() + " 7") is True and article_pass.recurring(df)["alpha"].of("Zubro fenta") is None
     monkeypatch.setattr(repeated_lines, "BROADCAST_ROWS", 0)  # as with too many sources to hold
     assert {(r.article_id, r.line_no) for r in article_pass.lines_outside(df, model).collect()} == got
 
