@@ -62,12 +62,15 @@ def _read(batches: Iterator[pa.RecordBatch], model: residue.ResidueModel | None,
     vocabulary = Vocabulary(row)
 
     def scored(chunk: Chunk) -> Chunk:
-        if model is not None or row is not None:
-            chunk.tokens = Tokens([[(a.title or "").replace("\n", " "), *a.lines] for a in chunk], vocabulary)
         if model is not None:
             bodies = [residue.body(a.lines, a.title, a.kinds) for a in chunk]
-            for b in bodies:
+            texts = []
+            for a, b in zip(chunk, bodies):
                 b.at = [n + 1 for n in b.at]
+                # only lines that the model or `each` looks at; the others keep their numbers
+                used = {*b.at, *(n for n, m in enumerate(a.marks, 1) if m == pages.REPORT)} if row else set(b.at)
+                texts.append([(a.title or "").replace("\n", " "), *(x if n in used else "" for n, x in enumerate(a.lines, 1))])
+            chunk.tokens = Tokens(texts, vocabulary)
             for a, s in zip(chunk, model.scores(bodies, [a.title for a in chunk], chunk.tokens)):
                 if any(x.strip() for x in a.lines):
                     a.score = float(s)

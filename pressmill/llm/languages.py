@@ -88,6 +88,7 @@ class WordScores:
         script = np.full((n, len(LABELS)), -CERTAIN, np.float32)
         script[np.arange(n), len(LANGS) + np.arange(n)] = CERTAIN
         self.matrix = np.vstack([latin, script]).astype(np.float32)
+        self.latin = np.ascontiguousarray(self.matrix[:, : len(LANGS)])
 
     def row(self, word: str) -> int:
         k = self.rows.get(word)
@@ -175,19 +176,23 @@ def passages(rows: np.ndarray, line: np.ndarray, doc: np.ndarray, model: WordSco
         return none
     other = np.zeros(int(doc[-1]) + 1, bool)
     other[doc[rows > model.none]] = True
-    parts = [k for k in (np.flatnonzero(~other[doc]), np.flatnonzero(other[doc])) if len(k)]
-    path = np.empty(len(rows), np.int8)
-    for k, width in zip(parts, [len(LANGS) if not other[doc[k[0]]] else len(LABELS) for k in parts]):
-        d = doc[k]
-        begins = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        path[k] = viterbi(model.matrix[rows[k], :width], np.diff(np.r_[begins, len(k)]), penalty)
     new_doc = np.r_[True, doc[1:] != doc[:-1]]
+    sizes = np.diff(np.r_[np.flatnonzero(new_doc), len(rows)])
+    if not other.any():  # as a rule
+        scores = model.latin[rows]
+        path = viterbi(scores, sizes, penalty)
+    else:
+        scores = model.matrix[rows]
+        odd, of = other[doc], other[doc[new_doc]]
+        path = np.empty(len(rows), np.int8)
+        path[~odd] = viterbi(scores[~odd, : len(LANGS)], sizes[~of], penalty)
+        path[odd] = viterbi(scores[odd], sizes[of], penalty)
     new_line = new_doc | np.r_[True, line[1:] != line[:-1]]
     n = len(rows)
     # islands: words in a row of one document and label
     edge = np.flatnonzero(new_doc | np.r_[True, path[1:] != path[:-1]])
     size, lang = np.diff(np.r_[edge, n]), path[edge].astype(np.int64)
-    total = np.add.reduceat(model.matrix[rows], edge, axis=0)
+    total = np.add.reduceat(scores, edge, axis=0)
     at = np.arange(len(edge))
     mine = total[at, lang]
     total[at, lang] = -np.inf
@@ -198,13 +203,13 @@ def passages(rows: np.ndarray, line: np.ndarray, doc: np.ndarray, model: WordSco
     of_line = np.cumsum(new_line) - 1
     begin, end = line_begins[of_line[edge]], line_ends[of_line[edge + size - 1]]
     whole = size == end - begin
-    doc_begins = np.flatnonzero(new_doc)
-    doc_size = np.diff(np.r_[doc_begins, n])[np.cumsum(new_doc)[edge] - 1]
+    doc_size = sizes[np.cumsum(new_doc)[edge] - 1]
     enough = (size >= min_span) | ((2 * size >= end - begin) & (size >= LEAST_WORDS)) | (2 * size >= doc_size) & (doc_size < 2 * LEAST_WORDS)
     keep = enough & (margin * held >= 8 * np.where(whole, whole_margin, min_margin))
     sure = 1 / (1 + np.exp(-np.clip(2 * margin * np.sqrt(held), -30, 30)))
     # passages: islands cut at the ends of lines
-    cut = np.flatnonzero(new_line | np.isin(np.arange(n), edge))
+    new_line[edge] = True
+    cut = np.flatnonzero(new_line)
     island = np.searchsorted(edge, cut, side="right") - 1
     cut_size = np.diff(np.r_[cut, n])
     k = keep[island]

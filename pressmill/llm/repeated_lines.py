@@ -31,24 +31,20 @@ from pressmill.session import spread, staged
 BROADCAST_ROWS = 200_000
 
 
-def line_hashes(content: Column) -> Column:
-    """ARRAY<BIGINT>, one per line split at "\\n", NULL for a line without letters."""
+def _keys(content: Column) -> Column:
+    """The letters of each line split at "\\n". Hashes are made of them by a transform of their own, so that a line is read once however often its letters are named."""
+    return F.transform(F.split(content, "\n", -1), letters_only)
 
-    def one(line: Column) -> Column:
-        k = letters_only(line)
-        return F.when(k != "", F.xxhash64(k))
 
-    return F.transform(F.split(content, "\n", -1), one)
+def line_hashes(content: Column) -> Column:
+    """ARRAY<BIGINT>, one per line split at "\\n", NULL for a line without letters."""
+    return F.transform(_keys(content), lambda k: F.when(k != "", F.xxhash64(k)))
 
 
 def line_ids(content: Column) -> Column:
     """The same, the low 16 bits of each being those of the hash of its first HEAD letters: most lines that don't recur are told by these alone."""
-
-    def one(line: Column) -> Column:
-        k = letters_only(line)
-        return F.when(k != "", F.xxhash64(k).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(F.xxhash64(F.substring(k, 1, HEAD)).bitwiseAND(F.lit(0xFFFF))))
-
-    return F.transform(F.split(content, "\n", -1), one)
+    head = lambda k: F.xxhash64(F.substring(k, 1, HEAD)).bitwiseAND(F.lit(0xFFFF))
+    return F.transform(_keys(content), lambda k: F.when(k != "", F.xxhash64(k).bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(head(k))))
 
 
 def hashed(documents: DataFrame, doc_id: str, source: str, content: str, ids=line_hashes) -> DataFrame:
@@ -117,7 +113,7 @@ def recurring_lines(documents: DataFrame, doc_id: str = "id", source: str = "sou
 
     Copies of a text count once, so that the lines of a story taken in many times aren't taken for the site's.
     """
-    h = hashed(documents, doc_id, source, content, line_ids).where(F.col("lines").isNotNull())
+    h = hashed(documents.where(F.col(content).isNotNull()), doc_id, source, content, line_ids)
     each = h.withColumn("whole", F.xxhash64("lines")).dropDuplicates(["source_key", "whole"])
     docs = F.struct(F.lit(None).cast("bigint").alias("line"))
     lines = F.transform(F.array_distinct(F.filter("lines", lambda x: x.isNotNull())), lambda x: F.struct(x.alias("line")))

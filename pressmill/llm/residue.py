@@ -37,25 +37,28 @@ _SIZE = 1 << BITS
 _EXTRA = 64  # weights kept for length and title features
 
 # Wording of responses and of what templates leave behind.
-_WEAK = re.compile(
+_WEAK = (
     r"\{\{.*?\}\}|\{\{|\{%|<%|%%\w+%%|\$\{|\[\[\w+\]\]|\{[a-z_]+\}.*\{[a-z_]+\}|\[(?:insert|reporter|publication|link|headline|name|date|photo|caption)\b[^\]]*\]|\btk(?:tk)+\b|^tk\b|\blorem\b|\bipsum\b|dummy (?:copy|text)|(?:text|copy|content|story) goes here|sample (?:paragraph|text)|placeholder|type your (?:story|text)|^(?:asdf|qwer|x{3,})|(?:headline ){2}"
     r"|^(?:undefined|null|nan|none|loading)\b[\s.]*(?:undefined|null|nan)?$|\[object object\]|\b(?:http )?(?:error )?[45]\d\d\b.{0,30}(?:error|not found|forbidden|unavailable|gateway|time-?out|bad request|too many)|(?:error|http)\s*[:#]?\s*[45]\d\d|access denied|permission to view|fatal error|uncaught|traceback|^\s*at \w[\w.]* \(.*\)|warning: \w+\(|\"error\"\s*:|database connection|tablespace|too many connections"
     r"|javascript|scripts? (?:enabled|to read|in your browser)|without scripts|checking your browser|complete the check|enable cookies|are you (?:a )?(?:human|robot)|request has been blocked|unusual traffic|under maintenance|down for maintenance|being upgraded|domain has expired|page you are looking for|could not find that|nothing was found|link is broken|server is too busy|try again (?:in|later)|^oops|have been blocked|^forbidden\b|verifying that you|too many requests|maintenance in progress|incident id|^\(?(?:session |ray id:? ?|trace:? ?)?[0-9a-f]{6,}\)?$"
-    r"|hindi makita ang pahina|may problema sa server|wala makit-i ang panid|saan a nasarakan|p[áa]gina no encontrada|servicio no disponible|buksan ang javascript|habilit[ae] javascript",
-    re.IGNORECASE)
+    r"|hindi makita ang pahina|may problema sa server|wala makit-i ang panid|saan a nasarakan|p[áa]gina no encontrada|servicio no disponible|buksan ang javascript|habilit[ae] javascript"
+)
+_WEAK_FIRST = re.compile("|".join(a for a in pages._alternatives(_WEAK) if a.startswith("^")))
+_WEAK_ANYWHERE = re.compile("|".join(a for a in pages._alternatives(_WEAK) if not a.startswith("^")))
 
 _weak_memo: dict[str, bool] = {}
 
 
 def _weak(line: str) -> bool:
-    """Whether a line's wording is that of a response or a template; short lines, which recur, are remembered."""
-    if len(line) > 130:
-        return bool(_WEAK.search(line))
+    """Whether a line's wording is that of a response or a template; lines that aren't long, which recur, are remembered."""
     k = _weak_memo.get(line)
     if k is None:
-        if len(_weak_memo) > 300_000:
-            _weak_memo.clear()
-        k = _weak_memo[line] = bool(_WEAK.search(line))
+        low = line.lower()
+        k = bool(_WEAK_FIRST.match(low) or _WEAK_ANYWHERE.search(low))
+        if len(line) <= 400:
+            if len(_weak_memo) > 300_000:
+                _weak_memo.clear()
+            _weak_memo[line] = k
     return k
 
 
@@ -74,8 +77,8 @@ def body(lines: list[str], title: str | None, kinds: list[int] | None = None) ->
     size = len(own)
     out, widget = Body(), False
     for n, (x, k) in enumerate(zip(lines, [pages.kind(x) for x in lines] if kinds is None else kinds)):
-        s = x.strip()
-        if not s or (len(s) == size and s.lower() == own):
+        s = x if k == _PROSE else x.strip()
+        if not s or (size <= len(s) <= size + 16 and s.strip().lower() == own):
             continue
         if k == _PROSE:
             widget = False
@@ -102,7 +105,7 @@ def weak_label(lines: list[str]) -> int | None:
     words, rest, residue = 0, [], False
     for x in lines:
         tokens = pages._WORD.findall(x.lower())
-        if _WEAK.search(x):
+        if _weak(x):
             residue = True
         elif _prose(tokens):
             return 0
