@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,6 +98,15 @@ class Trie:
                 if min(new) <= k or min(row) <= k - 1:
                     stack.append((child, tuple(new), row, c))
 
+    def near(self, typed: str) -> dict[int, int]:
+        """entry -> least distance, of every entry that any reading of the value is within the distance allowed of."""
+        out: dict[int, int] = {}
+        for form in readings(typed):
+            for d, entry, length in self.within(form, allowed(len(form))):
+                if d <= allowed(min(length, len(form))):
+                    out[entry] = min(d, out.get(entry, d))
+        return out
+
     def best(self, typed: str) -> tuple[int, int]:
         """(entry, distance), (0, -1) if none is within the distance allowed."""
         found: list[tuple[int, int]] = []
@@ -154,11 +164,40 @@ def match_values(df: DataFrame, value: Column, reference: DataFrame, id_col: str
     return df.withColumn("_best", best).withColumn(into, F.struct(F.col("_best.entry").alias("entry"), F.col("_best.distance").alias("distance"))).drop("_best")
 
 
-def article_sections(articles: DataFrame, category_list: DataFrame) -> DataFrame:
-    """(article_id, typed, category_id, distance): typed is raw_category, or category where that is NULL or blank; category_id 0 = fits none."""
+def candidates(values: DataFrame, value_col: str, reference: DataFrame, id_col: str, name_col: str, alias_col: str) -> DataFrame:
+    """(value, entry, distance): every entry within the distance allowed, of each different value; values near to none have no row."""
+    ref = reference.where(F.col(name_col).isNotNull()).select(F.col(id_col).cast("int"), name_col, alias_col)
+    shards = max(1, -(-ref.count() // SHARD))
+    different = values.where(F.col(value_col).isNotNull()).select(F.col(value_col).alias("value")).distinct()
+
+    def searched(names: list[tuple[str, int]]):
+        state: dict = {}
+
+        @F.pandas_udf("array<struct<entry:int,distance:int>>")
+        def near(column: pd.Series) -> pd.Series:
+            if not state:
+                state["trie"] = Trie(names)
+            return pd.Series([[{"entry": e, "distance": d} for e, d in sorted(state["trie"].near(v).items())] for v in column])
+
+        return near
+
+    parts = []
+    for k in range(shards):
+        rows = ref.where(F.pmod(F.hash(name_col), F.lit(shards)) == k).collect()  # at most about SHARD rows
+        parts.append(different.select("value", F.explode(searched(_names([tuple(r) for r in rows]))("value")).alias("e")).select("value", "e.entry", "e.distance"))
+    return parts[0] if shards == 1 else reduce(DataFrame.unionByName, parts).groupBy("value", "entry").agg(F.min("distance").alias("distance"))
+
+
+def typed_sections(articles: DataFrame) -> DataFrame:
+    """(article_id, typed): typed is raw_category, or category where that is NULL or blank."""
     blank = lambda c: c.isNull() | F.regexp_replace(c, r"[\s\p{Z}\p{Cf}]+", "").eqNullSafe("")
     raw, cat = F.col("raw_category"), F.col("category")
-    a = articles.select(F.col("id").alias("article_id"), F.when(~blank(raw), raw).when(~blank(cat), cat).alias("typed"))
+    return articles.select(F.col("id").alias("article_id"), F.when(~blank(raw), raw).when(~blank(cat), cat).alias("typed"))
+
+
+def article_sections(articles: DataFrame, category_list: DataFrame) -> DataFrame:
+    """(article_id, typed, category_id, distance): category_id 0 = fits none."""
+    a = typed_sections(articles)
     m = match_values(a, F.col("typed"), category_list, "category_id", "category_name", "known_as")
     return m.select("article_id", "typed", F.col("match.entry").alias("category_id"), F.col("match.distance").alias("distance"))
 

@@ -9,10 +9,11 @@ block at least, so looking up each block finds all of them. A candidate is
 verified by the weighted similarity of the pairs of both windows, rare pairs
 weighing more, and then letter by letter.
 
-Windows that several items have in common stand for none of them. The items are a
-list of bounded size (`MAX_WINDOWS` windows at a time; longer lists are searched
-in several passes over each document), the documents are read once, in Arrow
-batches, without a shuffle.
+Windows that several items have in common stand for none of them. The items' windows
+are counted first: up to `MAX_WINDOWS` the documents are read once, in Arrow batches,
+without a shuffle. A longer list is searched in several passes, of which each holds
+the index of its own items only; which windows items share is then found by a
+grouping of all windows.
 
 Defined results: NULL and empty texts, and items shorter than a window, match
 nothing; copies of a document are judged alike; an item that stands in the list
@@ -25,13 +26,14 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.session import spread
+from pressmill.session import spread, staged
 
 WIDTH = 12
 RADIUS = 3
@@ -86,21 +88,23 @@ def fingerprints(pairs: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(total * 2 > n, axis=1).reshape(-1).view(np.uint64)
 
 
+def window_hash(g: tuple[str, ...]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(g).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 class ItemIndex:
     """Windows of the items, their fingerprints in tables by block."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH):
+    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH, shared: frozenset[int] = frozenset()):
+        """shared: hashes (`window_hash`) of windows that items beyond these have too."""
         self.width = width
         texts = {i: words_of(t) for i, t in items if t}
         owners: dict[tuple, set] = {}
-        seen: dict[tuple, list] = {}
         for i, w in texts.items():
             for j in range(len(w) - width + 1):
                 g = tuple(w[j : j + width])
                 owners.setdefault(g, set()).add(i)
-                seen.setdefault(g, []).append((i, j))
-        double = Counter(tuple(w) for w in texts.values())
-        self.windows = [(i, g) for g, own in owners.items() if len(own) == 1 for i in own if double[tuple(texts[i])] == 1]
+        self.windows = [(i, g) for g, own in owners.items() if len(own) == 1 and not (shared and window_hash(g) in shared) for i in own]
         pairs = Counter(p for w in texts.values() for p in set(zip(w, w[1:])))
         n = max(1, len(texts))
         self.weight = {p: math.log(1 + n / k) for p, k in pairs.items()}
@@ -187,37 +191,54 @@ class ItemIndex:
         return out
 
 
-def found(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """p9_found: (doc_id, item_id), one row for each document and each item whose wording it carries."""
-    rows = [(r[0], r[1]) for r in items.where(F.col("text").isNotNull()).select("item_id", "text").collect()]  # held-out items: a list of bounded size
-    total = sum(max(0, t.count(" ") - width) for _, t in rows)
-    parts = max(1, -(-total // MAX_WINDOWS))
+def _windows(items: DataFrame, width: int) -> DataFrame:
+    """(item_id, window): the hashes of each item's windows."""
+
+    def run(batches):
+        for b in batches:
+            ids, hashes = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w = words_of(t)
+                own = {window_hash(tuple(w[j : j + width])) for j in range(len(w) - width + 1)}
+                ids += [i] * len(own)
+                hashes += own
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], names=["item_id", "window"])
+
+    return items.mapInArrow(run, "item_id long, window long")
+
+
+def _search(documents: DataFrame, rows: list[tuple[int, str]], width: int, shared: frozenset[int]) -> DataFrame:
     state: dict = {}
 
     def run(batches):
-        if "indexes" not in state:
-            # the shared wording is that of the whole list, whatever the part
-            state["indexes"] = [ItemIndex(rows, width)] if parts == 1 else [_part(rows, width, k, parts) for k in range(parts)]
+        if not state:
+            state["index"] = ItemIndex(rows, width, shared)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            hits = sorted({h for x in state["indexes"] for h in x.search(texts)})
+            hits = state["index"].search(texts)
             if hits:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k, _ in hits], pa.int64()), pa.array([i for _, i in hits], pa.int64())], names=["doc_id", "item_id"])
 
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id long, item_id long")
+    return documents.mapInArrow(run, "doc_id long, item_id long")
 
 
-def _part(rows: list[tuple[int, str]], width: int, k: int, parts: int) -> ItemIndex:
-    full = ItemIndex(rows, width)
-    keep = [n for n, (i, _) in enumerate(full.windows) if i % parts == k]
-    part = ItemIndex([], width)
-    part.windows, part.prints, part.item = [full.windows[n] for n in keep], full.prints[keep], full.item[keep]
-    part.squashed, part.weight, part.most, part.tables = [full.squashed[n] for n in keep], full.weight, full.most, []
-    for b in range(4):
-        key = ((part.prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-        order = np.argsort(key, kind="stable").astype(np.int32)
-        part.tables.append((np.searchsorted(key[order], np.arange(65537)).astype(np.int32), order))
-    return part
+def found(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """p9_found: (doc_id, item_id), one row for each document and each item whose wording it carries."""
+    it = items.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    docs = spread(documents.select("doc_id", "text"), "doc_id")
+    total = it.agg(F.sum(F.length("text") - F.length(F.regexp_replace("text", r"\s+", "")))).first()[0] or 0  # at least as many as windows
+    parts = max(1, -(-total // MAX_WINDOWS))
+    if parts == 1:
+        return _search(docs, [(r[0], r[1]) for r in it.collect()], width, frozenset())
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts))
+    w = staged(_windows(it, width), "windows")
+    several = w.groupBy("window").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where(F.col("a") < F.col("b")).select("window")
+    shared = staged(w.join(several, "window").select(part.alias("part"), "window").distinct(), "shared")
+    passes = []
+    for k in range(parts):  # about MAX_WINDOWS windows each
+        known = frozenset(r[0] for r in shared.where(F.col("part") == k).select("window").collect())
+        passes.append(_search(docs, [(r[0], r[1]) for r in it.where(part == k).collect()], width, known))
+    return reduce(DataFrame.unionByName, passes)
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:

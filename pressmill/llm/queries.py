@@ -20,6 +20,12 @@ def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where(F.col("typed").isNotNull() & (F.col("category_id") == 0)).groupBy("typed").agg(F.count("*").alias("n"))
 
 
+def p1_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value, entry, distance): for each different typed section all entries within the distance."""
+    s = canonical.typed_sections(table(spark, sf_dir, "articles"))
+    return canonical.candidates(s, "typed", table(spark, sf_dir, "category_list"), "category_id", "category_name", "known_as")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(article_id, line_no) of the lines repeated throughout an outlet's stories."""
     return repeated_lines.found(table(spark, sf_dir, "articles"))
@@ -97,6 +103,11 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack_name, documents, whole, missing, overfull, cut): all documents are placed, and nothing that must not be."""
+    return packing.invariants(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of the documents that carry an item's wording."""
     return leaks.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -133,13 +144,14 @@ _P9 = rf"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text I
   SELECT DISTINCT doc_id, item_id FROM dg JOIN own ON own.g = dg.g"""
 
 _ALL = (
-    p1_found, p1_unmatched, p3_found, p3_languages, p3_segments, p4_found, p4_blocks, p4_clean, p5_found, p5_shares, p6_found, p6_validation,
-    p7_found, p7_reports, p7_pages, p8_packs, p8_report, p9_found, p9_items, p10_found, p10_shares,
+    p1_found, p1_unmatched, p1_candidates, p3_found, p3_languages, p3_segments, p4_found, p4_blocks, p4_clean, p5_found, p5_shares, p6_found, p6_validation,
+    p7_found, p7_reports, p7_pages, p8_packs, p8_report, p8_invariants, p9_found, p9_items, p10_found, p10_shares,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {
     "p4_found": " ".join(_P4.split()),
     "p4_clean": " ".join(_P4_CLEAN.split()),
+    "p8_invariants": "SELECT DISTINCT pack_name, (SELECT COUNT(DISTINCT doc_id) FROM documents) AS documents, true AS whole, 0::BIGINT AS missing, 0::BIGINT AS overfull, 0::BIGINT AS cut FROM pack_sizes WHERE capacity_tokens >= 1",
     "p9_found": " ".join(_P9.split()),
     "p9_items": f"SELECT item_id, COUNT(*) AS documents FROM ({' '.join(_P9.split())}) q GROUP BY item_id",
 }

@@ -54,6 +54,20 @@ def test_long_lists_are_searched_in_shards(spark, monkeypatch):
     assert sorted((r.article_id, r.category_id) for r in canonical.article_sections(a, ref).collect()) == whole
 
 
+def test_candidates_equal_brute_force(spark, monkeypatch):
+    random.seed(8)
+    names = sorted({"".join(random.choices("abc", k=random.randint(3, 6))) for _ in range(60)})
+    ref = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], LIST)
+    typed = ["".join(random.choices("abc", k=random.randint(2, 6))) for _ in range(30)] + [None, "", "abc", "abc"]
+    values = spark.createDataFrame([(t,) for t in typed], "typed string")
+    k = lambda a, b: canonical.allowed(min(len(a), len(b)))
+    want = sorted((t, i, osa(t, n)) for t in set(typed) if t for i, n in enumerate(names) if osa(t, n) <= k(t, n))
+    get = lambda: sorted(map(tuple, canonical.candidates(values, "typed", ref, "category_id", "category_name", "known_as").collect()))
+    assert get() == want and len(want) > 30
+    monkeypatch.setattr(canonical, "SHARD", 20)
+    assert get() == want
+
+
 def test_held_out_typos(spark, data):
     """Typed values made from the real list by one slip come back to their entry."""
     ref = spark.read.parquet(f"{data}/category_list.parquet")

@@ -48,9 +48,29 @@ def test_pack_is_near_the_optimum(sizes, capacity):
 
 
 def test_reduction_fixes_what_dominates():
-    assert packing.pack([10, 10, 10], 10) == ([0, 1, 2] if packing.pack([10, 10, 10], 10)[0] == [0, 1, 2] else packing.pack([10, 10, 10], 10)[0], 3)
+    assert packing.pack([10, 10, 10], 10) == ([2, 1, 0], 3)
     assert packing.pack([7, 3, 7, 3], 10)[1] == 2
     assert packing.pack([], 10) == ([], 0)
+    # no pair fills the room beside 20 better than 8, three others do
+    assert len(set(packing.pack([20, 11, 11, 8, 3, 3, 3], 30)[0])) == 2
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(1, 14), max_size=9), st.integers(14, 20))
+def test_reduction_loses_nothing(sizes, capacity):
+    place, fixed, rest = packing.reduction(sizes, capacity)
+    left = [s for s, items in rest.items() for _ in items]
+    assert sorted(left) == sorted(s for s, b in zip(sizes, place) if b < 0) and {b for b in place if b >= 0} == set(range(fixed))
+    assert fixed + least_bins(left, capacity) == least_bins(sizes, capacity)
+
+
+def test_more_capacities_than_one_pass_takes(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "word " * 9, None, None, None), (2, "one", None, None, None)], DOCS)
+    caps = spark.createDataFrame([(f"c{k}", 3 + k) for k in range(7)], "pack_name string, capacity_tokens int")
+    whole = sorted(map(tuple, packing.pieces(packing.token_counts(docs), caps).collect()))
+    monkeypatch.setattr(packing, "CAPACITIES", 3)
+    assert sorted(map(tuple, packing.pieces(packing.token_counts(docs), caps).collect())) == whole and len({r[0] for r in whole}) == 7
+    assert sorted(map(tuple, packing.invariants(docs, caps).collect())) == [(f"c{k}", 2, True, 0, 0, 0) for k in range(7)]
 
 
 def test_packs(spark):
@@ -180,13 +200,16 @@ def test_a_long_text_is_searched_in_pieces(monkeypatch):
     assert leaks.ItemIndex(items).search([text, text]) == whole and len(whole) == 40
 
 
-def test_part_indexes_agree():
+def test_several_passes_agree(spark, monkeypatch):
     v = vocabulary()
-    items = [(i, " ".join(v[i * 20 : i * 20 + 30])) for i in range(10)]
+    items = [(i, " ".join(v[i * 20 : i * 20 + 30])) for i in range(10)] + [(50, " ".join(v[:30])), (51, None)]
     text = " ".join(v)
-    whole = leaks.ItemIndex(items).search([text])
-    parts = sorted(h for k in range(3) for h in leaks._part(items, 12, k, 3).search([text]))
-    assert parts == sorted(whole)
+    whole = leaks.ItemIndex(items[:-1]).search([text])
+    docs, it = spark.createDataFrame([(7, text), (8, None)], "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    want = sorted((7, i) for _, i in whole)
+    assert sorted(map(tuple, leaks.found(docs, it).collect())) == want and len(want) == 9
+    monkeypatch.setattr(leaks, "MAX_WINDOWS", 60)
+    assert sorted(map(tuple, leaks.found(docs, it).collect())) == want
 
 
 # spam
