@@ -5,21 +5,23 @@ words that hold sentences together) that report nothing (no counts) are keyword
 lists; lines of links, product tags and hashtags are known by their marks. For the
 rest, and to tell repetition from variety, a suffix automaton is built over the
 page's words, function words and numbers ending a string: the characters covered by
-maximal substrings that occur `least` times or more. A line that phrases of the
-page's own repertoire cover to a good part is stuffed, sentence or not. A page is
-spam if such lines are the greater part of its characters.
+maximal substrings that occur often enough for their length. (A phrase of `PHRASE`
+words must occur `least` times, a longer one fewer times in proportion, `LEAST` at
+least; so coverage is more than counts of neighbouring words could tell.) A line
+that phrases of the page's own repertoire cover to a good part is stuffed, sentence
+or not. A page is spam if such lines are the greater part of its characters.
 
 The automaton is left out only where it can't matter: where no line has enough
-words that occur often enough, all of them together, to be stuffed; and, where only
-the verdict at a threshold is asked for (`found`), on pages that can't reach it.
-Pages of more than `AUTOMATON_WORDS` words get the same marks from counts
-(`covered_by_pairs`).
+words that occur `LEAST` times, all of them together, to be stuffed; and, where only
+the verdict at a threshold is asked for (`found`), on pages that can't reach it. It
+holds some 0.5 KB a word of the page at hand, whatever the number of pages.
 
 Defined results: NULL and blank texts are no spam; copies are judged alike.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -35,10 +37,13 @@ _CITED = re.compile(r"^\s*(?:\d{1,3}[.)]|\[\d{1,3}\]|[-*•])\s+\S.*[,:;.]\s*(?:
 _PRODUCT = re.compile(r"\bsku\b|\btags?:|\bbuy now\b|\badd to cart\b|\bin stock\b|(?:[₱$€]|\bp)\d[\d,.]*\s+\w*-?\d{3,}", re.IGNORECASE)
 _HASH = re.compile(r"#\w+")
 
-#: Words of a page that its automaton holds at most.
-AUTOMATON_WORDS = 200_000
-#: Occurrences that make a phrase repeated, and one in so many words of the page at least; words of a phrase at least; share of a line's characters that stuffs it.
-LEAST, PER_WORDS, PHRASE, STUFFED = 4, 80, 2, 0.30
+#: Occurrences that make a phrase repeated at least; words of a phrase at least; share of a line's characters that stuffs it.
+LEAST, PHRASE, STUFFED = 4, 2, 0.30
+
+
+def occurrences_wanted(words: int) -> int:
+    """How often a phrase of PHRASE words must occur on a page of so many: as their root, since names recur in any long text."""
+    return max(LEAST, math.isqrt(words) // 3)
 
 
 class SuffixAutomaton:
@@ -87,8 +92,8 @@ class SuffixAutomaton:
         return clone
 
 
-def covered(strings: list[list[str]], least: int, phrase: int) -> list[list[bool]]:
-    """For each word of each string, whether a maximal substring of `phrase` words or more that occurs `least` times covers it."""
+def covered(strings: list[list[str]], least: int, phrase: int, floor: int | None = None) -> list[list[bool]]:
+    """For each word of each string, whether a maximal substring of n >= `phrase` words covers it that occurs `least` times; with a floor, least * phrase / n times, `floor` at least."""
     sam, ends = SuffixAutomaton(), []
     for s in strings:
         state, path = 0, []
@@ -100,10 +105,12 @@ def covered(strings: list[list[str]], least: int, phrase: int) -> list[list[bool
     count, link, length = sam.count, sam.link, sam.length
     for v in reversed(order):
         count[link[v]] += count[v]
-    # the longest suffix of each state that occurs often enough
+    # the longest suffix of each state that occurs often enough: of the substrings of one state, which occur alike, the longest
     top = [0] * len(sam.next)
     for v in order:
-        top[v] = length[v] if count[v] >= least else top[link[v]]
+        n = length[v]
+        wanted = least if floor is None else max(floor, -(-least * phrase // n))
+        top[v] = n if n >= phrase and count[v] >= wanted else top[link[v]]
     out = []
     for path in ends:
         marks = [False] * len(path)
@@ -118,23 +125,6 @@ def covered(strings: list[list[str]], least: int, phrase: int) -> list[list[bool
     return out
 
 
-def covered_by_pairs(strings: list[list[str]], least: int, phrase: int) -> list[list[bool]]:
-    """The same as `covered`, from counts of `phrase` words in a row: a longer substring that occurs often is made of such.
-
-    For texts of more words than an automaton should hold in a worker's memory.
-    """
-    grams = lambda s: zip(*(s[i:] for i in range(phrase)))
-    n = Counter(g for s in strings for g in grams(s))
-    out = []
-    for s in strings:
-        marks = [False] * len(s)
-        for i, g in enumerate(grams(s)):
-            if n[g] >= least:
-                marks[i : i + phrase] = [True] * phrase
-        out.append(marks)
-    return out
-
-
 def _strings(tokens: list[str]) -> list[list[int]]:
     """Places of the words between function words and numbers."""
     out, cur = [], []
@@ -167,8 +157,13 @@ def spam_share(text: str | None, threshold: float | None = None) -> float:
         low = line.lower()
         links = sum(m.end() - m.start() for m in _LINK.finditer(line)) if "http" in low or "www." in low or "](" in low else 0
         if links:
-            spam += links if _CITED.match(line) else size if links * 5 >= size else links
-            continue
+            cited = _CITED.match(line)
+            if cited or links * 5 >= size:
+                spam += links if cited else size
+                continue
+            spam += links  # what stands around the links is judged as any line
+            line = _LINK.sub(" ", line)
+            low, size = line.lower(), size - links
         tags = _HASH.findall(line) if "#" in line else []
         if len(tags) >= 3 and sum(map(len, tags)) * 2 > size:
             spam += size
@@ -183,12 +178,12 @@ def spam_share(text: str | None, threshold: float | None = None) -> float:
     if threshold is not None and (spam + sum(n for n, _ in rest)) / total <= threshold:
         return spam / total
     words = Counter(t for _, ts in rest for t in ts)
-    least = max(LEAST, sum(words.values()) // PER_WORDS)
+    least = occurrences_wanted(sum(words.values()))
     # upper bound: the characters of all words that occur often enough to be part of a repeated phrase
     bound = 0
     lines = []
     for size, ts in rest:
-        frequent = sum(len(t) + 1 for t in ts if words[t] >= least and t not in FUNCTION and not t[0].isdigit())
+        frequent = sum(len(t) + 1 for t in ts if words[t] >= LEAST and t not in FUNCTION and not t[0].isdigit())
         held = sum(t in FUNCTION for t in ts)
         is_loose = held * 8 < len(ts)
         lines.append((size, ts, is_loose, frequent))
@@ -203,8 +198,7 @@ def spam_share(text: str | None, threshold: float | None = None) -> float:
                 strings.append([ts[i] for i in s])
                 place.append(k)
     cover = [0] * len(lines)
-    cover_by = covered if sum(map(len, strings)) <= AUTOMATON_WORDS else covered_by_pairs
-    for s, marks, k in zip(strings, cover_by(strings, least, PHRASE), place):
+    for s, marks, k in zip(strings, covered(strings, least, PHRASE, LEAST), place):
         cover[k] += sum(len(w) + 1 for w, m in zip(s, marks) if m)
     for (size, ts, is_loose, _), c in zip(lines, cover):
         share = c / size

@@ -219,16 +219,32 @@ def test_several_passes_agree(spark, monkeypatch):
 @given(st.lists(st.text("ab", max_size=9), min_size=1, max_size=4), st.integers(2, 4), st.integers(1, 3))
 def test_automaton_equals_brute_force(strings, least, phrase):
     n = Counter(s[i:j] for s in strings for i in range(len(s)) for j in range(i + 1, len(s) + 1))
-    want = []
-    for s in strings:
-        m = [False] * len(s)
-        for i in range(len(s)):
-            for j in range(i + phrase, len(s) + 1):
-                if n[s[i:j]] >= least:
-                    m[i:j] = [True] * (j - i)
-        want.append(m)
-    assert spam.covered([list(s) for s in strings], least, phrase) == want
-    assert spam.covered_by_pairs([list(s) for s in strings], least, phrase) == want
+    for floor in (None, 2, 3):
+        want = []
+        for s in strings:
+            m = [False] * len(s)
+            for i in range(len(s)):
+                for j in range(i + phrase, len(s) + 1):
+                    if n[s[i:j]] >= (least if floor is None else max(floor, least * phrase / (j - i))):
+                        m[i:j] = [True] * (j - i)
+            want.append(m)
+        assert spam.covered([list(s) for s in strings], least, phrase, floor) == want
+
+
+def test_longer_phrases_need_fewer_occurrences():
+    """What counts of neighbouring words alone can't tell: the same pairs, as often, in one long phrase or in many short ones."""
+    long = ["abcdefgh"] * 3
+    short = [x for k in range(7) for x in ["abcdefgh"[k : k + 2]] * 3]
+    assert all(all(m) for m in spam.covered([list(s) for s in long], 8, 2, 3)) and not any(any(m) for m in spam.covered([list(s) for s in short], 8, 2, 3))
+
+
+def test_words_around_links_and_long_pages():
+    stuffed = "cheap phone case best rice cooker " * 40 + "see https://x.example/a for more"
+    assert spam.spam_share(stuffed) > 0.9 and spam.spam_share(PROSE * 8 + "See https://x.example/a for more.") < 0.05
+    random.seed(4)
+    phrases = [" ".join(random.choices(vocabulary(), k=3)) for _ in range(60)]
+    page = ". ".join(f"ask about {p} and buy {p}, compare {p} near you" for _ in range(40) for p in random.sample(phrases, 60))
+    assert len(page.split()) > 25_000 and spam.spam_share(page) > 0.9
 
 
 PROSE = "The board said that the bridge was not ready, and the vendors who had waited for it since the flood went on to ask for a new date. "
