@@ -26,8 +26,8 @@ from pressmill.session import staged
 
 #: Outlets whose zones are broadcast at most.
 BROADCAST_ROWS = 200_000
-#: Candidate zones at most; the IANA database has no more.
-MOST_ZONES = 600
+#: Candidate zones that are tried in one pass over the rows; more are tried in several.
+ZONES = 600
 # Month names in English, Filipino and Spanish, as their first three or more letters.
 MONTHS = {
     1: ("january", "jan", "enero", "ene"), 2: ("february", "feb", "pebrero", "peb", "febrero"), 3: ("march", "mar", "marso", "marzo"),
@@ -44,6 +44,9 @@ _ZONE = r"\s*(z|utc|gmt|(?:utc|gmt)?\s?[+-]\d{1,2}(?::?\d{2})?|[a-z]{2,5})?(?:\s
 _BETWEEN = r"(?:\s*[,|\-–—·•]\s*|\s*,?\s+(?:at|ng|nang|a las)\s+|\s+|:)"
 _AFTER = rf"(?:{_BETWEEN}{_TIME}{_ZONE})?$"
 
+#: What counts as a space.
+SPACES = r"[\s\x{a0}\x{200b}\x{202f}]+"
+
 #: name -> (pattern over lower-case text, its fields as `kind|year|month|day|hour|minute|second|fraction|half|zone`)
 _T = lambda at: "|".join(f"${at + i}" for i in range(6))
 _LAYOUTS = {
@@ -59,7 +62,7 @@ _EPOCH = (r"^(-?\d{9,10}|\d{13}|\d{16})(?:\.(\d{1,9}))?$", "epoch|$1||||||$2||")
 
 def cleaned(text: Column) -> Column:
     """Lower case, spaces folded, lead words ("Updated", "Posted on") and weekday names cut."""
-    c = F.trim(F.regexp_replace(F.lower(text), r"[\s ​ ]+", " "))
+    c = F.trim(F.regexp_replace(F.lower(text), SPACES, " "))
     return F.regexp_replace(F.regexp_replace(c, _LEAD, ""), _DAYNAME, "")
 
 
@@ -108,14 +111,14 @@ def to_instant(local_us: Column, offset_s: Column, zone: Column) -> Column:
     return F.when(offset_s.isNotNull(), local_us - offset_s.cast("bigint") * 1000000).otherwise(in_zone)
 
 
-def read_local(articles: DataFrame, outlets: DataFrame) -> DataFrame:
-    """(article_id, outlet, site_zone, published_at, ingested_us, local_us, offset_s), one row per article. outlets is a table of fixed size (one row an outlet)."""
+def read_local(articles: DataFrame, outlets: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(article_id, outlet, site_zone, published_at, ingested_us, local_us, offset_s, then the columns of `keep`), one row per article. outlets is a table of fixed size (one row an outlet)."""
     o = outlets.select(letters_only(F.col("source")).alias("outlet"), F.col("site_zone"), (F.upper("date_order") == "MDY").alias("_mdy"))
     o = o.groupBy("outlet").agg(F.min("site_zone").alias("site_zone"), F.max("_mdy").alias("_mdy"))
-    a = articles.select(F.col("id").alias("article_id"), letters_only(F.col("source")).alias("outlet"), "published_at", F.unix_micros("inserted_at").alias("ingested_us"))
+    a = articles.select(F.col("id").alias("article_id"), letters_only(F.col("source")).alias("outlet"), "published_at", F.unix_micros("inserted_at").alias("ingested_us"), *keep)
     j = a.join(o, "outlet", "left")
     p = with_local_time(j.withColumn("_fields", fields(F.col("published_at"))), "_fields", F.coalesce("_mdy", F.lit(False)))
-    return p.select("article_id", "outlet", "site_zone", "published_at", "ingested_us", "local_us", "offset_s")
+    return p.select("article_id", "outlet", "site_zone", "published_at", "ingested_us", "local_us", "offset_s", *keep)
 
 
 def estimate_zones(local: DataFrame, candidates: DataFrame, tolerance_s: int = 300, horizon_s: int = 6 * 3600, margin: float = 0.25) -> DataFrame:
@@ -128,25 +131,28 @@ def estimate_zones(local: DataFrame, candidates: DataFrame, tolerance_s: int = 3
     rows = local.where(F.col("local_us").isNotNull() & F.col("offset_s").isNull() & F.col("ingested_us").isNotNull())
     delay = F.col("ingested_us") - to_instant(F.col("local_us"), F.lit(None).cast("int"), F.col("zone"))
     cost = F.when(delay < -tolerance_s * us, 1.0).otherwise(F.least(F.greatest(delay, F.lit(0)) / (horizon_s * us), F.lit(1.0)))
-    # the candidates, a fixed few, ride along each row as a literal: no join
-    zones = sorted(r[0] for r in candidates.where(F.col("zone").isNotNull()).select("zone").distinct().limit(MOST_ZONES).collect())
-    each = rows.select("outlet", "site_zone", "ingested_us", "local_us", F.explode(F.array(*[F.lit(z) for z in zones]).cast("array<string>")).alias("zone"))
-    per = each.groupBy("outlet", "zone").agg(F.max("site_zone").alias("declared"), F.count("*").alias("n"), F.avg(cost).alias("cost"))
+    # the candidates, a few, ride along each row as a literal: no join; the database of zones has some 600 names
+    zones = sorted(r[0] for r in candidates.where(F.col("zone").isNotNull()).select("zone").distinct().collect())
+
+    def tried(some: list[str]) -> DataFrame:
+        each = rows.select("outlet", "site_zone", "ingested_us", "local_us", F.explode(F.array(*[F.lit(z) for z in some]).cast("array<string>")).alias("zone"))
+        return each.groupBy("outlet", "zone").agg(F.max("site_zone").alias("declared"), F.count("*").alias("n"), F.avg(cost).alias("cost"))
+
+    per = reduce(DataFrame.unionByName, [tried(zones[k : k + ZONES]) for k in range(0, max(1, len(zones)), ZONES)])
     best = per.groupBy("outlet").agg(F.max("declared").alias("declared"), F.max("n").alias("n"), F.min(F.struct("cost", "zone")).alias("b"),
                                      F.min(F.when(F.col("zone") == F.col("declared"), F.col("cost"))).alias("declared_cost"))
     keep = F.col("declared").isNotNull() & (F.coalesce("declared_cost", F.lit(1.0)) <= F.col("b.cost") + margin)
     return best.select("outlet", "declared", F.col("b.zone").alias("estimated"), F.when(keep, F.col("declared")).otherwise(F.col("b.zone")).alias("zone"), "n", F.col("b.cost").alias("cost"), "declared_cost")
 
 
-def utc_instants(articles: DataFrame, outlets: DataFrame, staging=staged) -> DataFrame:
-    """(article_id, outlet, published_at, utc_us, zone, zone_from): one row per article; utc_us is NULL where the text denotes no instant.
+def utc_instants(articles: DataFrame, outlets: DataFrame, staging=staged, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(article_id, outlet, published_at, utc_us, zone, zone_from, then the columns of `keep`): one row per article; utc_us is NULL where the text denotes no instant.
 
     The parsed fields are written once, so that the two passes over them read the small table.
     """
-    local = read_local(articles, outlets)
-    local = staging(local, "local")
+    local = staging(read_local(articles, outlets, keep), "local")
     est = staging(estimate_zones(local, outlets.select(F.col("site_zone").alias("zone"))).select("outlet", F.col("zone").alias("_z")), "zones")
     j = local.join(F.broadcast(est) if est.count() <= BROADCAST_ROWS else est, "outlet", "left")  # one row an outlet
     zone = F.coalesce("_z", "site_zone", F.lit("UTC"))
     how = F.when(F.col("offset_s").isNotNull(), "text").when(F.col("_z") == F.col("site_zone"), "declared").when(F.col("_z").isNotNull(), "estimated").otherwise("declared")
-    return j.select("article_id", "outlet", "published_at", F.when(F.col("local_us").isNotNull(), to_instant(F.col("local_us"), F.col("offset_s"), zone)).alias("utc_us"), zone.alias("zone"), how.alias("zone_from"))
+    return j.select("article_id", "outlet", "published_at", F.when(F.col("local_us").isNotNull(), to_instant(F.col("local_us"), F.col("offset_s"), zone)).alias("utc_us"), zone.alias("zone"), how.alias("zone_from"), *keep)

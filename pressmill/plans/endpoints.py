@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from pressmill.functions import entities, money, text, urls
 from pressmill.functions.dates import local_format
-from pressmill.functions.lexicon import MOST_TERMS
 from pressmill.models import funds, rows
 from pressmill.operators.relational import latest_per_key
-from pressmill.plans.common import AS_OF, SQL_A, SQL_B, analyses, articles
-from pressmill.plans.research import daily_scores, weekly_scores
+from pressmill.plans.common import AS_OF, SQL_A, SQL_B, analyses, articles, between
+from pressmill.plans.research import daily_scores
 from pressmill.session import spread, table
 
 QUERIES: dict = {}
@@ -38,9 +39,10 @@ def bias_explain(spark, d):
     return latest_per_key(b, ["article_id"], ["created_at", "id"]).join(a, "article_id", "left").select("article_id", "title", "source", "direction", "keyword_score", "version")
 
 
-@query("""SELECT substr(published_at, 1, 10) AS day, COUNT(*) AS n FROM articles WHERE is_funds AND published_at IS NOT NULL AND published_at <> '' GROUP BY 1""")
+@query(f"""WITH {SQL_A} SELECT day, COUNT(*) AS n FROM a WHERE is_funds AND trim(published_at, ' ') <> '' GROUP BY 1""")
 def funds_date_distribution(spark, d):
-    return table(spark, d, "articles").where(F.col("is_funds") & (F.col("published_at") != "")).groupBy(F.substring("published_at", 1, 10).alias("day")).agg(F.count("*").alias("n"))
+    """By the Manila day of publication; texts that denote no instant count for the day of ingestion."""
+    return articles(spark, d).where(F.col("is_funds") & (F.trim("published_at") != "")).groupBy("day").agg(F.count("*").alias("n"))
 
 
 @query("""WITH s AS (SELECT 'source' AS kind, source AS value, COUNT(*) AS n FROM articles WHERE is_funds GROUP BY source ORDER BY n DESC, value LIMIT 10),
@@ -78,7 +80,7 @@ def funds_entity_spans(spark, d):
 def lexicon_entity_spans(spark, d):
     """Terms of the lexicon, by category, where they stand in titles."""
     terms: dict[str, list[str]] = {}
-    for c, t in table(spark, d, "lexicon").where(F.col("term").isNotNull()).select("category", "term").limit(MOST_TERMS).collect():
+    for c, t in table(spark, d, "lexicon").where(F.col("term").isNotNull()).select("category", "term").collect():  # a table of fixed size
         terms.setdefault(c, []).append(t)
     s = table(spark, d, "articles").select("id", F.explode(entities.entity_spans(F.col("title"), entities.dictionary(terms))).alias("s"))
     return s.select("id", "s.label", "s.text", "s.start", "s.end")
@@ -124,32 +126,22 @@ def research_summary(spark, d):
 
 @query()
 def key_factors(spark, d):
-    """What stands out in each outlet's series: volatility, trend, a recent shift; an empty array for nothing."""
-    return _factors(weekly_scores(spark, d), 1)
-
-
-@query()
-def outlet_daily_factors(spark, d):
-    """The same by day, of every spelling of an outlet's name; the trend is that of seven days."""
-    return _factors(daily_scores(spark, d), 7)
-
-
-def _factors(w, span):
+    """What stands out in each outlet's series: volatility, the trend of seven days, a recent shift; an empty text for nothing."""
     from pyspark.sql import Window
 
     from pressmill.operators import stats
 
+    w = daily_scores(spark, d)
     back = w.withColumn("back", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("pos"))))
     g = back.groupBy("source").agg(F.stddev_pop("score").alias("sd"), F.avg("score").alias("mean"), F.avg(F.when(F.col("back") <= 7, F.col("score"))).alias("recent"))
-    t = stats.trend(w, ["source"], "pos", "score").select("source", (F.col("slope") * span).alias("slope"))
+    t = stats.trend(w, ["source"], "pos", "score").select("source", (F.col("slope") * 7).alias("slope"))
     factors = F.array_compact(F.array(F.when(F.col("sd") > 0.3, "high volatility"), F.when(F.col("slope") > 0.1, "upward trend").when(F.col("slope") < -0.1, "downward trend"), F.when(F.abs(F.col("recent") - F.col("mean")) > 0.2, "recent shift")))
     return g.join(t, "source", "left").select("source", F.array_join(factors, "|").alias("factors"))
 
 
 @query(f"WITH {SQL_A} SELECT id, source FROM a WHERE moment >= TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}' - INTERVAL 48 HOUR AND moment < TIMESTAMP '{AS_OF:%Y-%m-%d %H:%M:%S}'")
 def recent_hours(spark, d):
-    now = F.lit(AS_OF).cast("timestamp")
-    return articles(spark, d).where((F.col("at") >= now - F.expr("INTERVAL 48 HOURS")) & (F.col("at") < now)).select("id", "source")
+    return between(articles(spark, d), AS_OF - dt.timedelta(hours=48), AS_OF).select("id", "source")
 
 
 @query("""SELECT id, array_to_string(list_transform(string_split(coalesce(array_to_string(tags, ','), ''), ','), lambda x: lower(trim(x, ' ')))[1:3], '|') AS head, md5(source || ':' || id::VARCHAR) AS digest FROM articles""")

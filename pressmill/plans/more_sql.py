@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pressmill.functions import money, text, urls
 from pressmill.models import funds
-from pressmill.plans.research import _WEEK
+from pressmill.plans.research import _DAY, _GRID
 
 
 def _map(values: dict[str, str]) -> str:
@@ -37,11 +37,11 @@ _E = f"""e AS (SELECT id, regexp_extract_all(t, '(?i){money.AGENCY}', 1) AS agen
     WHEN contains(lower(a), 'thousand') THEN 1e3 ELSE 1.0 END)), 0), 0) AS total FROM e),
   n AS (SELECT id, v, COUNT(*) AS k, MIN(i) AS first FROM (SELECT id, unnest(agencies) AS v, unnest(range(len(agencies))) AS i FROM e) q GROUP BY id, v),
   p AS (SELECT id, v AS primary_agency FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY k DESC, first) AS rn FROM n) q WHERE rn = 1)""".replace("\\\\", "\\")
-_CORR = f"""{_WEEK}, c AS (SELECT x.source AS a, y.source AS b, l.lag, COUNT(*) AS n, covar_pop(x.score, y.score) AS c, stddev_pop(x.score) AS sx, stddev_pop(y.score) AS sy
-    FROM s x CROSS JOIN (VALUES (0), (1), (2), (3)) l(lag) JOIN s y ON y.pos = x.pos + l.lag AND x.source < y.source GROUP BY 1, 2, 3),
+_CORR = f"""{_GRID}, c AS (SELECT x.source AS a, y.source AS b, l.lag, COUNT(*) AS n, covar_pop(x.score, y.score) AS c, stddev_pop(x.score) AS sx, stddev_pop(y.score) AS sy
+    FROM grid x CROSS JOIN (VALUES (0), (1), (2), (3)) l(lag) JOIN grid y ON y.pos = x.pos + l.lag AND x.source < y.source GROUP BY 1, 2, 3),
   r AS (SELECT a, b, lag, c / (sx * sy) AS r FROM c WHERE n > 1 AND sx * sy > 0), m AS (SELECT a, b, lag, r FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY a, b ORDER BY ROUND(ABS(r), 9) DESC, lag) AS rn FROM r) q WHERE rn = 1),
   g AS (SELECT a, b, lag, r, CASE WHEN lag > 0 THEN 'leads' ELSE 'follows' END AS relation FROM m WHERE ABS(r) > 0.3)"""
-_OLS = f"""{_WEEK}, o AS (SELECT source, COUNT(*) AS n, MAX(pos) AS last, AVG(pos) AS mx, AVG(score) AS my, covar_pop(pos, score) AS c, var_pop(pos) AS vx, var_pop(score) AS vy FROM s GROUP BY source HAVING COUNT(*) >= 14),
+_OLS = f"""{_DAY}, o AS (SELECT source, COUNT(*) AS n, MAX(pos) AS last, AVG(pos) AS mx, AVG(score) AS my, covar_pop(pos, score) AS c, var_pop(pos) AS vx, var_pop(score) AS vy FROM s GROUP BY source HAVING COUNT(*) >= 14),
   l AS (SELECT *, c / vx AS slope, my - c / vx * mx AS intercept, sqrt(GREATEST(0, vy - c / vx * c)) AS sd, CASE WHEN vy = 0 THEN 1.0 ELSE c / vx * c / vy END AS r2 FROM o)"""
 
 SQL = {
@@ -69,10 +69,11 @@ SQL = {
     "propagation_pattern": f"""WITH {_CORR} SELECT COUNT(*) FILTER (relation = 'leads') AS leads, COUNT(*) FILTER (relation = 'follows') AS follows,
       CASE WHEN COUNT(*) FILTER (relation = 'leads') > COUNT(*) FILTER (relation = 'follows') THEN 'hierarchical' ELSE 'distributed' END AS pattern FROM g""",
     "influence_scores": f"WITH {_CORR} SELECT n.source, ROUND(COALESCE(SUM(ABS(g.r)) * AVG(ABS(g.r)), 0), 6) AS influence FROM (SELECT DISTINCT source FROM s) n LEFT JOIN g ON g.a = n.source GROUP BY n.source",
+    "top_influencers": f"WITH {_CORR} SELECT n.source, ROUND(COALESCE(SUM(ABS(g.r)) * AVG(ABS(g.r)), 0), 6) AS influence FROM (SELECT DISTINCT source FROM s) n LEFT JOIN g ON g.a = n.source GROUP BY n.source ORDER BY influence DESC, source LIMIT 3",
     "forecast_bands": f"""WITH {_OLS} SELECT source, ROUND(r2, 6) AS r2, ROUND(sd, 6) AS residual_std, k::INTEGER AS step, intercept + slope * (last + k) AS value, intercept + slope * (last + k) - 1.96 * sd AS low, intercept + slope * (last + k) + 1.96 * sd AS high
       FROM l CROSS JOIN range(1, 8) t(k)""",
     "key_factors": f"""WITH {_OLS}, q AS (SELECT source, stddev_pop(score) AS sd, AVG(score) AS mean, AVG(score) FILTER (back <= 7) AS recent FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY pos DESC) AS back FROM s) z GROUP BY source)
-      SELECT q.source, array_to_string(list_filter([CASE WHEN q.sd > 0.3 THEN 'high volatility' END, CASE WHEN slope > 0.1 THEN 'upward trend' WHEN slope < -0.1 THEN 'downward trend' END, CASE WHEN ABS(recent - mean) > 0.2 THEN 'recent shift' END], lambda x: x IS NOT NULL), '|') AS factors
+      SELECT q.source, array_to_string(list_filter([CASE WHEN q.sd > 0.3 THEN 'high volatility' END, CASE WHEN slope * 7 > 0.1 THEN 'upward trend' WHEN slope * 7 < -0.1 THEN 'downward trend' END, CASE WHEN ABS(recent - mean) > 0.2 THEN 'recent shift' END], lambda x: x IS NOT NULL), '|') AS factors
       FROM q LEFT JOIN l ON l.source = q.source""",
     "priority_discovery": """SELECT MIN(pos) AS pos FROM (SELECT 0 AS s, title AS k, id AS pos FROM articles WHERE source = 'Dagat Post' AND title IS NOT NULL UNION ALL SELECT 1, raw_html, id FROM raw_articles WHERE source = 'Dagat Post' AND raw_html IS NOT NULL) q
       GROUP BY k, s QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY s) = 1""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.operators import instants
+from pressmill.plans.common import SQL_UTC
 from pressmill.session import staged, table
 
 #: Fixed value: the one form that needs no conversion.
@@ -27,4 +28,4 @@ def p2_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_zones": p2_zones}
-SQL: dict[str, str] = {}
+SQL = {"p2_found": " ".join(f"WITH {SQL_UTC} SELECT utc.id AS article_id, utc_us FROM utc JOIN articles ON articles.id = utc.id WHERE utc_us IS NOT NULL AND NOT regexp_full_match(published_at, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}Z')".split())}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.functions.dates import day_window, utc_bounds
 from pressmill.functions.text import contains_all, preview, threshold_label
 from pressmill.operators.relational import latest_per_key, optional_filters, page, top_k_per_key
-from pressmill.plans.common import AS_OF, SQL_A, SQL_B, analyses, articles, by_article, mean_of, rounded, us
+from pressmill.plans.common import AS_OF, SQL_A, SQL_B, analyses, articles, between, by_article, mean_of, rounded, us
 from pressmill.session import table
 
 QUERIES: dict = {}
@@ -29,7 +31,7 @@ def trends(spark: SparkSession, d: str, days: int = 30, source: str | None = Non
     """Sentiment by Manila day: all articles, their sentiment rows by label, mean score and shares of all articles. Days without articles don't appear; rows without a label count as neutral."""
     first, last = day_window(AS_OF, days)
     lo, hi = utc_bounds(first, last)
-    a = optional_filters(articles(spark, d), source=source).where((F.col("at") >= F.lit(lo)) & (F.col("at") < F.lit(hi))).select("id", "day")
+    a = between(optional_filters(articles(spark, d), source=source), lo, hi).select("id", "day")
     b = by_article(analyses(spark, d).where(F.col("model_type") == "sentiment")).withColumnRenamed("article_id", "id")
     scored = b.join(a, "id").groupBy("day").agg(
         F.sum("l_positive").alias("positive"), F.sum("l_negative").alias("negative"), F.sum(F.col("k") - F.col("l_positive") - F.col("l_negative")).alias("neutral"), mean_of("sentiment_score").alias("s"))
@@ -153,7 +155,8 @@ def generic_category(spark, d):
 
 @query(f"WITH {SQL_A} SELECT id FROM a WHERE moment >= TIMESTAMP '2025-06-01' AND moment <= TIMESTAMP '2025-06-30 23:59:59.999999'")
 def articles_in_range(spark, d):
-    return articles(spark, d).where((F.col("at") >= F.lit("2025-06-01 00:00:00+00:00").cast("timestamp")) & (F.col("at") <= F.lit("2025-06-30 23:59:59.999999+00:00").cast("timestamp"))).select("id")
+    utc = dt.timezone.utc
+    return between(articles(spark, d), dt.datetime(2025, 6, 1, tzinfo=utc), dt.datetime(2025, 7, 1, tzinfo=utc)).select("id")
 
 
 @query("SELECT id, CASE WHEN length(title) > 60 THEN substr(title, 1, 60) || '...' ELSE title END AS title, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview FROM articles")

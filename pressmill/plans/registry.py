@@ -9,7 +9,7 @@ from pressmill.plans import dashboards, endpoints, more_sql, problems, reading,
 _MODULES = (reading, dashboards, texts, research, endpoints, more_sql, problems)
 #: Queries whose ranks, sizes and lengths come out as BIGINT, as in SQL.
 _LONG = (
-    "home_topn_per_source", "home_fixed_sources", "run_log_recent", "content_lengths", "url_sections", "content_shaping", "keyword_match_counts", "html_titles", "sentiment_weekly_scores", "top_lines_per_supplier",
+    "home_topn_per_source", "home_fixed_sources", "run_log_recent", "content_lengths", "url_sections", "content_shaping", "keyword_match_counts", "html_titles", "sentiment_daily_scores", "top_lines_per_supplier",
 )
 
 

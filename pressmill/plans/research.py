@@ -10,7 +10,7 @@ from pressmill.functions.keys import letters_only
 from pressmill.operators import stats
 from pressmill.operators.relational import top_k_per_key, union_in_priority
 from pressmill.plans.common import SQL_A, SQL_B, analyses, articles, by_article
-from pressmill.session import table
+from pressmill.session import staged, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,30 +26,46 @@ def query(sql=None):
     return add
 
 
-_WEEK = f"""{SQL_A}, {SQL_B}, w AS (SELECT a.source, CAST(date_trunc('week', a.moment) AS DATE) AS week, COUNT(*) FILTER (sentiment_label = 'positive') AS p, COUNT(*) FILTER (sentiment_label = 'negative') AS n,
-    COUNT(*) FILTER (sentiment_label = 'neutral') AS u FROM b JOIN a ON a.id = b.article_id WHERE model_type = 'sentiment' AND a.source IN (SELECT source FROM outlets) GROUP BY 1, 2),
-  s AS (SELECT source, week, p, n, u, COALESCE((p - n)::DOUBLE / NULLIF(p + n + u, 0), 0) AS score, ROW_NUMBER() OVER (PARTITION BY source ORDER BY week) - 1 AS pos FROM w)"""
+_FOLD = r"regexp_replace(lower({}), '[^\p{{L}}]+', '', 'g')"
+_DAY = f"""{SQL_A}, {SQL_B}, names AS (SELECT {_FOLD.format("source")} AS k, MIN(source) AS source FROM outlets GROUP BY 1),
+  w AS (SELECT names.source, a.day, COUNT(*) FILTER (sentiment_label = 'positive') AS p, COUNT(*) FILTER (sentiment_label = 'negative') AS n, COUNT(*) FILTER (sentiment_label = 'neutral') AS u
+    FROM b JOIN a ON a.id = b.article_id JOIN names ON names.k = {_FOLD.format("a.source")} WHERE model_type = 'sentiment' GROUP BY 1, 2),
+  s AS (SELECT source, day, p, n, u, COALESCE((p - n)::DOUBLE / NULLIF(p + n + u, 0), 0) AS score, ROW_NUMBER() OVER (PARTITION BY source ORDER BY day) - 1 AS pos FROM w)"""
+#: All outlets on all days, so that series are of one length; a day without analyses scores 0.
+_GRID = f"""{_DAY}, grid AS (SELECT q.source, d.pos, COALESCE(s.score, 0) AS score FROM (SELECT DISTINCT source FROM s) q CROSS JOIN (SELECT day::DATE AS day, ROW_NUMBER() OVER (ORDER BY day) - 1 AS pos FROM (SELECT unnest(generate_series(MIN(day), MAX(day), INTERVAL 1 DAY)) AS day FROM s) z) d
+  LEFT JOIN s ON s.source = q.source AND s.day = d.day)"""
 
 
-def weekly_scores(spark, d):
-    """(source, week, p, n, u, score, pos) of the outlets, by week."""
-    a = articles(spark, d).select(F.col("id").alias("article_id"), "source", F.to_date(F.date_trunc("week", "at")).alias("week"))
-    a = a.join(table(spark, d, "outlets").select("source").distinct(), "source", "left_semi")
+def daily_scores(spark, d):
+    """(source, day, p, n, u, score, pos) of the outlets, by Manila day; names that fold alike are one outlet, under its name in `outlets`."""
+    o = table(spark, d, "outlets").groupBy(letters_only(F.col("source")).alias("key")).agg(F.min("source").alias("source"))
+    a = articles(spark, d).select(F.col("id").alias("article_id"), letters_only(F.col("source")).alias("key"), "day")
     b = by_article(analyses(spark, d).where(F.col("model_type") == "sentiment"))
-    w = b.join(a, "article_id").groupBy("source", "week").agg(*[F.sum("l_" + x).alias(y) for x, y in (("positive", "p"), ("negative", "n"), ("neutral", "u"))])
-    return stats.positions(w.withColumn("score", stats.daily_score(F.col("p"), F.col("n"), F.col("u"))), ["source"], "week")
+    w = b.join(a.join(o, "key"), "article_id").groupBy("source", "day").agg(*[F.sum("l_" + x).alias(y) for x, y in (("positive", "p"), ("negative", "n"), ("neutral", "u"))])
+    return stats.positions(w.withColumn("score", stats.daily_score(F.col("p"), F.col("n"), F.col("u"))), ["source"], "day")
+
 
+def on_all_days(w):
+    """(source, pos, score): every source of daily_scores on every day between the first and the last of all, so that series are of one length; a day without analyses scores 0."""
+    w = staged(w.select("source", "day", "score"), "daily")
+    span = w.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
+    if span.lo is None:
+        return w.select("source", F.lit(0).alias("pos"), "score")
+    days = F.explode(F.sequence(F.lit(span.lo), F.lit(span.hi))).alias("day")
+    g = w.select("source").distinct().select("source", days).join(w, ["source", "day"], "left")
+    return g.select("source", F.datediff("day", F.lit(span.lo)).alias("pos"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
-@query(f"WITH {_WEEK} SELECT source, week, p, n, u, ROUND(score, 6) AS score, pos FROM s")
-def sentiment_weekly_scores(spark, d):
-    return weekly_scores(spark, d).withColumn("score", F.round("score", 6))
+
+@query(f"WITH {_DAY} SELECT source, day, p, n, u, ROUND(score, 6) AS score, pos FROM s")
+def sentiment_daily_scores(spark, d):
+    return daily_scores(spark, d).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {_WEEK}, r AS (SELECT source, COUNT(*) AS n, COALESCE(regr_slope(score, pos), 0) AS slope, COALESCE(regr_intercept(score, pos), AVG(score)) AS intercept, MAX(pos) AS last FROM s GROUP BY source HAVING COUNT(*) >= 14)
+@query(f"""WITH {_DAY}, r AS (SELECT source, COUNT(*) AS n, COALESCE(regr_slope(score, pos), 0) AS slope, COALESCE(regr_intercept(score, pos), AVG(score)) AS intercept, MAX(pos) AS last FROM s GROUP BY source HAVING COUNT(*) >= 14)
   SELECT source, n, ROUND(slope, 6) AS slope, ROUND(intercept, 6) AS intercept, CASE WHEN slope * 7 > 0.1 THEN 'up' WHEN slope * 7 < -0.1 THEN 'down' ELSE 'stable' END AS direction,
     ROUND(intercept + slope * (last + 1), 6) AS next_value FROM r""")
 def daily_score_ols(spark, d):
-    return _ols(weekly_scores(spark, d))
+    return _ols(daily_scores(spark, d))
 
 
 def _ols(w):
@@ -59,7 +75,7 @@ def _ols(w):
 
 @query()
 def forecast_bands(spark, d):
-    return _bands(weekly_scores(spark, d))
+    return _bands(daily_scores(spark, d))
 
 
 def _bands(w):
@@ -67,10 +83,10 @@ def _bands(w):
     return t.select("source", F.round("r2", 6).alias("r2"), F.round("residual_std", 6).alias("residual_std"), F.explode("forecast").alias("f")).select("source", "r2", "residual_std", "f.*")
 
 
-@query(f"""WITH {_WEEK} SELECT source, ROUND(SUM(p - n)::DOUBLE / NULLIF(SUM(p + n + u), 0), 6) AS bias, ROUND(1 - stddev_pop(score), 6) AS consistency, SUM(p + n + u)::BIGINT AS n,
+@query(f"""WITH {_DAY} SELECT source, ROUND(SUM(p - n)::DOUBLE / NULLIF(SUM(p + n + u), 0), 6) AS bias, ROUND(1 - stddev_pop(score), 6) AS consistency, SUM(p + n + u)::BIGINT AS n,
   CASE WHEN SUM(p - n)::DOUBLE / NULLIF(SUM(p + n + u), 0) > 0.2 THEN 'positive' WHEN SUM(p - n)::DOUBLE / NULLIF(SUM(p + n + u), 0) < -0.2 THEN 'negative' ELSE 'balanced' END AS positioning FROM s GROUP BY source""")
 def source_bias(spark, d):
-    return _bias(weekly_scores(spark, d))
+    return _bias(daily_scores(spark, d))
 
 
 def _bias(w):
@@ -79,20 +95,21 @@ def _bias(w):
     return w.select("source", F.round(bias, 6).alias("bias"), F.round(1 - F.col("sd"), 6).alias("consistency"), "n", F.when(bias > 0.2, "positive").when(bias < -0.2, "negative").otherwise("balanced").alias("positioning"))
 
 
-@query(f"""WITH {_WEEK}, c AS (SELECT x.source AS a, y.source AS b, l.lag, COUNT(*) AS n, covar_pop(x.score, y.score) AS c, stddev_pop(x.score) AS sx, stddev_pop(y.score) AS sy
-  FROM s x CROSS JOIN (VALUES (0), (1), (2), (3)) l(lag) JOIN s y ON y.pos = x.pos + l.lag AND x.source < y.source GROUP BY 1, 2, 3)
+@query(f"""WITH {_GRID}, c AS (SELECT x.source AS a, y.source AS b, l.lag, COUNT(*) AS n, covar_pop(x.score, y.score) AS c, stddev_pop(x.score) AS sx, stddev_pop(y.score) AS sy
+  FROM grid x CROSS JOIN (VALUES (0), (1), (2), (3)) l(lag) JOIN grid y ON y.pos = x.pos + l.lag AND x.source < y.source GROUP BY 1, 2, 3)
   SELECT a, b, lag, n, ROUND(c / (sx * sy), 6) AS r FROM c WHERE n > 1 AND sx * sy > 0""")
 def lagged_correlation(spark, d):
-    return _correlation(weekly_scores(spark, d)).withColumn("r", F.round("r", 6))
+    return _correlation(daily_scores(spark, d)).withColumn("r", F.round("r", 6))
 
 
 def _correlation(w):
-    return stats.lagged_correlation(w, "source", "pos", "score")
+    """Of the series on all days; their number is that of the outlets, a table of fixed size, so pairs are few."""
+    return stats.lagged_correlation(on_all_days(w), "source", "pos", "score")
 
 
 @query()
 def propagation_edges(spark, d):
-    return _edges(weekly_scores(spark, d))
+    return _edges(daily_scores(spark, d))
 
 
 def _edges(w):
@@ -101,7 +118,7 @@ def _edges(w):
 
 @query()
 def influence_scores(spark, d):
-    return _influence(weekly_scores(spark, d))
+    return _influence(daily_scores(spark, d))
 
 
 def _influence(w):
@@ -119,11 +136,17 @@ def _pattern(e):
     return e.withColumn("pattern", F.when(F.col("leads") > F.col("follows"), "hierarchical").otherwise("distributed"))
 
 
-@query(f"""WITH {_WEEK}, q AS (SELECT source, score, ROW_NUMBER() OVER (PARTITION BY source ORDER BY pos DESC) AS back FROM s)
+@query()
+def top_influencers(spark, d):
+    """The three outlets of most influence."""
+    return influence_scores(spark, d).orderBy(F.desc("influence"), "source").limit(3)
+
+
+@query(f"""WITH {_DAY}, q AS (SELECT source, score, ROW_NUMBER() OVER (PARTITION BY source ORDER BY pos DESC) AS back FROM s)
   SELECT source, ROUND(AVG(score) FILTER (back <= 7), 6) AS recent, ROUND(AVG(score), 6) AS overall, ROUND(stddev_pop(score), 6) AS volatility,
     ABS(AVG(score) FILTER (back <= 7) - AVG(score)) > 0.2 AS shifted, stddev_pop(score) > 0.3 AS volatile FROM q GROUP BY source""")
 def recent_against_overall(spark, d):
-    return _recent(weekly_scores(spark, d))
+    return _recent(daily_scores(spark, d))
 
 
 def _recent(w):
@@ -133,77 +156,15 @@ def _recent(w):
     return g.select("source", F.round("recent", 6).alias("recent"), F.round("overall", 6).alias("overall"), F.round("volatility", 6).alias("volatility"), (F.abs(F.col("recent") - F.col("overall")) > 0.2).alias("shifted"), (F.col("volatility") > 0.3).alias("volatile"))
 
 
-@query(f"WITH {_WEEK} SELECT source, week, ROUND(score - LAG(score) OVER (PARTITION BY source ORDER BY pos), 6) AS change FROM s")
-def weekly_change(spark, d):
-    return _change(weekly_scores(spark, d), "week")
+@query(f"WITH {_DAY} SELECT source, day, ROUND(score - LAG(score) OVER (PARTITION BY source ORDER BY pos), 6) AS change FROM s")
+def daily_change(spark, d):
+    return _change(daily_scores(spark, d), "day")
 
 
 def _change(w, day):
     return w.select("source", day, F.round(F.col("score") - F.lag("score").over(Window.partitionBy("source").orderBy("pos")), 6).alias("change"))
 
 
-# The same by day, of every spelling of an outlet's name; the queries above go by week and by exact name, as their SQL does.
-
-
-def daily_scores(spark, d):
-    """(source, day, p, n, u, score, pos) of the outlets, by Manila day; names that fold alike are one outlet, under its name in `outlets`."""
-    o = table(spark, d, "outlets").groupBy(letters_only(F.col("source")).alias("key")).agg(F.min("source").alias("source"))
-    a = articles(spark, d).select(F.col("id").alias("article_id"), letters_only(F.col("source")).alias("key"), "day")
-    b = by_article(analyses(spark, d).where(F.col("model_type") == "sentiment"))
-    w = b.join(a.join(o, "key"), "article_id").groupBy("source", "day").agg(*[F.sum("l_" + x).alias(y) for x, y in (("positive", "p"), ("negative", "n"), ("neutral", "u"))])
-    return stats.positions(w.withColumn("score", stats.daily_score(F.col("p"), F.col("n"), F.col("u"))), ["source"], "day")
-
-
-@query()
-def outlet_daily_scores(spark, d):
-    return daily_scores(spark, d).withColumn("score", F.round("score", 6))
-
-
-@query()
-def outlet_daily_ols(spark, d):
-    return _ols(daily_scores(spark, d))
-
-
-@query()
-def outlet_daily_bands(spark, d):
-    return _bands(daily_scores(spark, d))
-
-
-@query()
-def outlet_daily_bias(spark, d):
-    return _bias(daily_scores(spark, d))
-
-
-@query()
-def outlet_daily_correlation(spark, d):
-    return _correlation(daily_scores(spark, d)).withColumn("r", F.round("r", 6))
-
-
-@query()
-def outlet_daily_edges(spark, d):
-    return _edges(daily_scores(spark, d))
-
-
-@query()
-def outlet_daily_influence(spark, d):
-    return _influence(daily_scores(spark, d))
-
-
-@query()
-def outlet_daily_pattern(spark, d):
-    return _pattern(_edges(daily_scores(spark, d)))
-
-
-@query()
-def outlet_daily_recent(spark, d):
-    return _recent(daily_scores(spark, d))
-
-
-@query()
-def outlet_daily_change(spark, d):
-    return _change(daily_scores(spark, d), "day")
-
-
 @query("SELECT source, COUNT(*) AS n, ROUND(1.96 * 0.5 / sqrt(COUNT(*)), 6) AS margin, CASE WHEN COUNT(*) > 1000 THEN 0.95 WHEN COUNT(*) > 100 THEN 0.8 ELSE 0.5 END::DOUBLE AS power FROM articles GROUP BY source")
 def margin_of_error(spark, d):
     g = table(spark, d, "articles").groupBy("source").agg(F.count("*").alias("n"))
@@ -239,6 +200,12 @@ def event_local_days(spark, d):
     return table(spark, d, "events").groupBy(local_date(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT event_type, ROUND(SUM(value), 4) AS impact, COUNT(*) AS n, ROW_NUMBER() OVER (ORDER BY ROUND(SUM(value), 4) DESC, event_type) AS place FROM events GROUP BY event_type""")
+def events_by_impact(spark, d):
+    e = table(spark, d, "events").groupBy("event_type").agg(F.round(F.sum("value"), 4).alias("impact"), F.count("*").alias("n"))
+    return e.withColumn("place", F.row_number().over(Window.orderBy(F.desc("impact"), "event_type")).cast("bigint"))  # a row a type
+
+
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS day, COUNT(*) AS n FROM events GROUP BY 1) SELECT e.event_type, l.lag, COUNT(*) AS pairs, ROUND(AVG(d.n), 6) AS avg_after
   FROM (SELECT DISTINCT event_type, CAST(ts AS DATE) AS day FROM events) e CROSS JOIN range(0, 8) l(lag) JOIN d ON d.day = e.day + l.lag::INTEGER GROUP BY 1, 2""")
 def event_lags(spark, d):

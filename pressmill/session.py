@@ -62,19 +62,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as named in spark.checkpoint.dir; unset (as in tests) it becomes a new local one."""
+    """The folder that all executors share, as named in spark.checkpoint.dir. Unset, it becomes a new local one where all executors are on this machine (as in tests); elsewhere that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pressmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a name, in the JVM."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def staged(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors. The copy goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    w = df.write
+    (w.partitionBy(partition) if partition else w).parquet(path)
+    fs, p = hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def version_of(spark: SparkSession, path: str) -> tuple:
+    """What changes when a file or folder is written anew: names, sizes and times of its files."""
+    fs, p = hadoop_path(spark, path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)))
 
 
 def spread(df: DataFrame, key: str, least_rows: int = 2_000) -> DataFrame:

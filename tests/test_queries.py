@@ -63,9 +63,9 @@ def test_outlets_by_day_and_in_any_spelling(spark, data, duck):
     for r in analyses(spark, data).where("model_type = 'sentiment'").select("article_id", "sentiment_label").collect():
         if at.get(r.article_id, (None,))[0]:
             want.setdefault(at[r.article_id], Counter())[r.sentiment_label] += 1
-    got = {(r.source, r.day): r for r in registry.QUERIES["outlet_daily_scores"](spark, data).collect()}
+    got = {(r.source, r.day): r for r in registry.QUERIES["sentiment_daily_scores"](spark, data).collect()}
     assert {k: (r.p, r.n, r.u) for k, r in got.items()} == {k: (c["positive"], c["negative"], c["neutral"]) for k, c in want.items()}
     assert any(s is not None and s not in names.values() and fold(s) in names for (s,) in duck.execute("SELECT source FROM articles").fetchall())
     days = Counter(s for s, _ in got)
-    assert {r.source: r.n for r in registry.QUERIES["outlet_daily_ols"](spark, data).collect()} == {s: n for s, n in days.items() if n >= 14}
-    assert {r.source for r in registry.QUERIES["outlet_daily_factors"](spark, data).collect()} == set(days)
+    assert {r.source: r.n for r in registry.QUERIES["daily_score_ols"](spark, data).collect()} == {s: n for s, n in days.items() if n >= 14}
+    assert {r.source for r in registry.QUERIES["key_factors"](spark, data).collect()} == set(days)
