@@ -5,7 +5,6 @@ Broken-off pages give what was read up to the break; NULL pages give NULLs and e
 
 from __future__ import annotations
 
-import json
 import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -141,10 +140,11 @@ def data_layer_category(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r'["\']?primary_category["\']?\s*:\s*["\']([^"\']+)', 1), F.lit(""))
 
 
-def body_text(page: Column, least: int = 20, cap: int = 15_000, drop: str = r"(?i)^(?:advertisement|read more|related|follow us|copyright|all rights reserved)") -> Column:
-    """Paragraphs of at least `least` characters, each once, without boilerplate, up to `cap` characters; NULL for none."""
+def body_text(page: Column, least: int = 20, cap: int | None = None, drop: str = r"(?i)^(?:advertisement|read more|related|follow us|copyright|all rights reserved)") -> Column:
+    """Paragraphs of at least `least` characters, each once, without boilerplate, whole unless a `cap` of characters is given; NULL for none."""
     kept = F.array_distinct(F.filter(page["paragraphs"], lambda p: (F.length(p) >= least) & ~p.rlike(drop)))
-    return F.nullif(F.substring(F.array_join(kept, "\n"), 1, cap), F.lit(""))
+    text = F.array_join(kept, "\n")
+    return F.nullif(text if cap is None else F.substring(text, 1, cap), F.lit(""))
 
 
 def title_text(page: Column, least: int = 10) -> Column:
@@ -155,11 +155,3 @@ def title_text(page: Column, least: int = 10) -> Column:
 def is_thin(page: Column, content: Column, least: int = 80) -> Column:
     """Too short for a report, on a page that says it is something else."""
     return (F.coalesce(F.length(content), F.lit(0)) < least) & F.coalesce(page["og_type"] != "article", F.lit(False))
-
-
-def jsonld_valid(text: str) -> bool:
-    try:
-        json.loads(text)
-        return True
-    except ValueError:
-        return False

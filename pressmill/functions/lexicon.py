@@ -6,31 +6,34 @@ import json
 import re
 from collections import Counter
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Terms that are compiled into expressions at most; a larger lexicon is joined by word.
-MOST_TERMS = 2_000
+#: Terms that are compiled into one expression; a larger lexicon is counted in several passes over the columns.
+TERMS = 2_000
 
 
-def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """(category, term, weight) of a lexicon file {version, keywords, weights}; an empty table with this schema if the file can't be read."""
+#: What stands for a lexicon that can't be read: no terms, no weights.
+EMBEDDED = {"version": "embedded", "keywords": {}, "weights": {}}
+SCHEMA = "category string, term string, weight double"
+
+
+def load_json(spark: SparkSession, path: str, default: dict = EMBEDDED) -> DataFrame:
+    """(category, term, weight) of a lexicon file {version, keywords, weights}; of `default` where the file is missing or broken."""
     try:
-        text = spark.read.text(path, wholetext=True).first()[0]
-        doc = json.loads(text)
-        rows = [(c, t, float(doc.get("weights", {}).get(c, 1.0))) for c, terms in doc.get("keywords", {}).items() for t in terms]
-    except Exception:  # noqa: BLE001 - a missing or broken file means the defaults, which here are none
-        rows = []
-    return spark.createDataFrame(rows, "category string, term string, weight double")
+        doc = json.loads(spark.read.text(path, wholetext=True).first()[0])
+        doc = doc if isinstance(doc, dict) and doc else default
+    except (AnalysisException, ValueError, TypeError):
+        doc = default
+    weights = doc.get("weights") or {}
+    return spark.createDataFrame([(c, t, float(weights.get(c, 1.0))) for c, terms in (doc.get("keywords") or {}).items() for t in terms], SCHEMA)
 
 
 def terms_by_category(lexicon: DataFrame) -> dict[str, list[str]]:
-    """The lexicon as lists; it must not exceed MOST_TERMS."""
-    rows = lexicon.where(F.col("term").isNotNull()).select("category", "term").limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"a lexicon of more than {MOST_TERMS} terms isn't compiled; use match_rows")
+    """The lexicon as lists; a table of fixed size."""
     out: dict[str, list[str]] = {}
-    for c, t in rows:
+    for c, t in lexicon.where(F.col("term").isNotNull()).select("category", "term").collect():
         out.setdefault(c, []).append(t.strip().lower())
     return {c: [t for t in ts if t] for c, ts in sorted(out.items())}
 
@@ -57,4 +60,9 @@ def category_counts(df: DataFrame, text: Column, lexicon: DataFrame, prefix: str
     """df with one INT column per category. The text is tokenized once."""
     terms = terms_by_category(lexicon)
     d = df.withColumns({"_low": F.lower(F.coalesce(text, F.lit(""))), "_words": words(text)})
-    return d.withColumns({prefix + c: count_terms(F.col("_low"), F.col("_words"), t) for c, t in terms.items()}).drop("_low", "_words")
+    some = lambda t, k: count_terms(F.col("_low"), F.col("_words"), t[k : k + TERMS])
+    for c, t in terms.items():
+        d = d.withColumn(prefix + c, some(t, 0))
+        for k in range(TERMS, len(t), TERMS):
+            d = d.withColumn(prefix + c, F.col(prefix + c) + some(t, k))
+    return d.drop("_low", "_words")

@@ -14,6 +14,13 @@ CATEGORIES = {
     "entertainment": "Entertainment", "lifestyle": "Lifestyle", "opinion": "Opinion", "cebu": "Cebu", "davao": "Davao", "manila": "Manila", "bohol": "Bohol", "pampanga": "Pampanga",
     "baguio": "Baguio", "zamboanga": "Zamboanga", "iloilo": "Iloilo", "tacloban": "Tacloban", "general-santos": "General Santos",
 }
+# Words that begin no name, acronyms that are none of a body.
+NO_NAMES = (
+    "News", "Latest", "Business", "Nation", "World", "Technology", "Sports", "Entertainment", "Opinion", "General", "Lifestyle", "Trends", "View", "Quick", "Open", "Original", "Editorial", "Cartoons",
+    "Sept", "September", "Oct", "October", "Nov", "November", "Dec", "December", "Jan", "January", "Feb", "February", "Mar", "March", "Apr", "April", "May", "Jun", "June", "Jul", "July", "Aug", "August", "No",
+)
+NO_ACRONYMS = ("PH", "PHL", "GDP", "AI", "NBA", "UFC", "NCAA", "UAAP", "PBA", "PNR", "LRT", "MRT")
+KNOWN_BODIES = ("DPWH", "DOF", "DOJ", "NEDA", "DILG", "DOH", "DEPED", "DND", "AFP", "PNP", "COMELEC", "OMBUDSMAN", "COA", "DBM", "NBI", "BI", "BIR", "BOC", "BSP")
 VIDEO_PATHS = ("/videos/", "/video/", "/watch/", "/play/", "/stream/")
 
 

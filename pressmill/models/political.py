@@ -23,10 +23,10 @@ INFORMAL = ("slammed", "blasted", "hit back", "fired back")
 
 @dataclass(frozen=True)
 class Sides:
-    """Weights by category for both sides, and the categories whose terms name persons or bodies."""
+    """Weights by category for both sides, and the categories whose terms name persons or bodies. The lexicon's own weights are those of its terms; counts don't use them."""
 
-    government: dict[str, float] = field(default_factory=lambda: {"administration": 0.3, "public_works": 0.2, "praise": 0.1})
-    opposition: dict[str, float] = field(default_factory=lambda: {"opposition": 0.3, "graft_terms": 0.3, "protest": 0.2})
+    government: dict[str, float] = field(default_factory=lambda: {"administration": 0.4, "local_government": 0.3, "public_works": 0.2, "praise": 0.1})
+    opposition: dict[str, float] = field(default_factory=lambda: {"opposition": 0.3, "graft_terms": 0.3, "protest": 0.2, "audit_terms": 0.2})
     government_names: tuple[str, ...] = ("administration",)
     opposition_names: tuple[str, ...] = ("opposition",)
 
@@ -36,7 +36,7 @@ def _sum(columns: list[Column]) -> Column:
 
 
 def components(df: DataFrame, text: Column, lexicon: DataFrame, compound: Column, sides: Sides = Sides()) -> DataFrame:
-    """df with matches, government, opposition, keyword_score, source_pattern, language_patterns, sentiment_context, bias_score, direction, confidence."""
+    """Counts of terms by category are weighed by the sides' weights. df with matches, government, opposition, keyword_score, source_pattern, language_patterns, sentiment_context, bias_score, direction, confidence."""
     d = category_counts(df.withColumn("_text", F.coalesce(text, F.lit(""))), F.col("_text"), lexicon)
     counts = [c for c in d.columns if c.startswith("n_")]
     n = lambda c: F.col("n_" + c) if "n_" + c in counts else F.lit(0)

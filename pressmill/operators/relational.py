@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressmill.session import staged
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, that with the greatest order columns (NULLs least). An aggregate, so a hot key is reduced before the shuffle."""
@@ -38,13 +40,44 @@ def append_absent(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return fresh.dropDuplicates([key])
 
 
-def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """Rows offset .. offset + limit - 1 of a total order (the caller adds a unique last column)."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+#: Rows up to whose place a page is a plain top-k.
+NEAR = 10_000
+
 
+def page(df: DataFrame, order: list[Column], offset: int, limit: int, near: int = NEAR) -> DataFrame:
+    """Rows offset .. offset + limit - 1 of a total order (the caller adds a unique last column), in no order of their own.
 
-def without_rows(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(other.select(*on).distinct(), on, "left_anti")
+    Pages near the front are a top-k. For a deep one the rows are sorted by range and numbered within each range; only the
+    numbers of rows of the ranges reach the driver. `page_after` needs neither.
+    """
+    if offset + limit <= near:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    s = staged(df.orderBy(*order).withColumn("_n", F.monotonically_increasing_id()), "page")
+    part, at = F.shiftright("_n", 33), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, {}
+    for r in s.groupBy(part.alias("p")).agg(F.count("*").alias("k")).orderBy("p").collect():
+        if before < offset + limit and before + r.k > offset:
+            starts[r.p] = before
+        before += r.k
+    if not starts:
+        return s.limit(0).drop("_n")
+    base = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
+    place = F.try_element_at(base, part) + at
+    return s.where(part.isin(*starts) & (place >= offset) & (place < offset + limit)).drop("_n")
+
+
+def page_after(df: DataFrame, keys: list[tuple[str, bool]], last: tuple | None, limit: int) -> DataFrame:
+    """The `limit` rows that follow the row with the key values `last` (None: the first rows). keys: (column, descending), together unique and never NULL.
+
+    The condition reaches the scan, and what is merged is one page, however deep.
+    """
+    if last is not None:
+        after = F.lit(False)
+        for k in range(len(keys) - 1, -1, -1):
+            (c, down), v = keys[k], F.lit(last[k])
+            after = ((F.col(c) < v) if down else (F.col(c) > v)) | ((F.col(c) == v) & after)
+        df = df.where(after)
+    return df.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in keys]).limit(limit)
 
 
 def optional_filters(df: DataFrame, **equals) -> DataFrame:

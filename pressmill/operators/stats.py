@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressmill.session import staged
+
 
 def daily_score(pos: Column, neg: Column, neu: Column) -> Column:
     """(positive - negative) / all, 0 without any."""
@@ -75,3 +77,32 @@ def upper_median(values: Column) -> Column:
     """The element in the middle of the sorted array, the upper of the two where their number is even; NULL for none."""
     s = F.sort_array(values)
     return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+
+
+def upper_median_of(df: DataFrame, column: str, buckets: int = 1_000, most: int = 10_000) -> float | None:
+    """The value in the middle of a numeric column, the upper of the two where their number is even; NULLs left out, None for none.
+
+    Equal values are counted first. Then the interval that holds the middle is cut into `buckets` again and again until few
+    different values are left in it, so that what reaches the driver is bounded whatever the rows, and nothing is sorted.
+    """
+    h = staged(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("k")), "values")
+    lo, hi, rows = h.agg(F.min("v"), F.max("v"), F.sum("k")).first()
+    if rows is None:
+        return None
+    left = rows // 2  # rows that come before the one wanted, within lo .. hi
+    while True:
+        inside = h.where((F.col("v") >= lo) & (F.col("v") <= hi))
+        if lo == hi or inside.count() <= most:
+            break
+        width = hi / buckets - lo / buckets
+        place = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).alias("b")
+        for b in inside.groupBy(place).agg(F.sum("k").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
+            if left < b.k:
+                lo, hi = b.lo, b.hi
+                break
+            left -= b.k
+    for r in inside.orderBy("v").collect():
+        if left < r.k:
+            return r.v
+        left -= r.k
+    return None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pressmill.functions import money, text, urls
+from pressmill.functions import money, sites, text, urls
 from pressmill.models import funds
 from pressmill.plans.research import _DAY, _GRID
 
@@ -28,8 +28,8 @@ _PATH = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)
 _T = "lower(trim(COALESCE(title, '') || chr(10) || COALESCE(content, ''), ' '))"
 _NEGATIVE = f"{funds.SPORTS}|{funds.CRIME}|{funds.DISASTER}|{funds.DAMAGE}"
 _RULE = f"""CASE WHEN t = '' OR regexp_matches(t, '{_NEGATIVE}') THEN false ELSE regexp_matches(t, '{funds.MONEY}') AND regexp_matches(t, '{funds.GOVERNMENT}|{funds.IRREGULAR}') END"""
-_SURE = f"""CASE WHEN {_any('t', funds.GATE_NOT)} THEN 0.9 WHEN {_any('t', funds.GATE_GOVERNMENT)} AND {_any('t', funds.GATE_MONEY)} THEN 0.8 ELSE 0.3 END::DOUBLE"""
-_GATED = f"""CASE WHEN regexp_matches(t, '{_NEGATIVE}') THEN false WHEN c = 0.9 THEN false WHEN c = 0.8 THEN true ELSE false END"""
+_SURE = f"""CASE WHEN {_any('t', funds.GATE_NOT)} THEN 0.9 WHEN {_any('t', funds.GATE_GOVERNMENT)} AND {_any('t', funds.GATE_MONEY)} THEN 0.8 WHEN {_any('t', funds.GATE_GOVERNMENT)} AND regexp_matches(t, '{funds.AMOUNT_NAMED}') THEN 0.7 ELSE 0.3 END::DOUBLE"""
+_GATED = f"""CASE WHEN regexp_matches(t, '{_NEGATIVE}') THEN false WHEN c = 0.9 THEN false WHEN c >= 0.7 THEN true ELSE false END"""
 _CANDIDATE = f"({_any('t', funds.CANDIDATE_MONEY)} OR {_any('t', funds.CANDIDATE_BODIES)})"
 _E = f"""e AS (SELECT id, regexp_extract_all(t, '(?i){money.AGENCY}', 1) AS agencies, regexp_extract_all(t, '(?i){money.AMOUNT}', 1) AS amounts, regexp_extract_all(t, '(?i){money.IRREGULAR}', 1) AS irregular,
   regexp_extract_all(t, '(?i){money.PROJECT}', 1) AS projects FROM (SELECT id, COALESCE(title, '') || ' ' || COALESCE(content, '') AS t FROM articles) q),
@@ -44,11 +44,55 @@ _CORR = f"""{_GRID}, c AS (SELECT x.source AS a, y.source AS b, l.lag, COUNT(*)
 _OLS = f"""{_DAY}, o AS (SELECT source, COUNT(*) AS n, MAX(pos) AS last, AVG(pos) AS mx, AVG(score) AS my, covar_pop(pos, score) AS c, var_pop(pos) AS vx, var_pop(score) AS vy FROM s GROUP BY source HAVING COUNT(*) >= 14),
   l AS (SELECT *, c / vx AS slope, my - c / vx * mx AS intercept, sqrt(GREATEST(0, vy - c / vx * c)) AS sd, CASE WHEN vy = 0 THEN 1.0 ELSE c / vx * c / vy END AS r2 FROM o)"""
 
+_PQ = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)) || lower(regexp_extract(url, '(\?[^#]*)', 1))"
+_LSEG = f"list_transform({_SEG}, lambda x: lower(x))"
+
+
+def _story(r: sites.Story) -> str:
+    parts = [f"len({_SEG}) >= {r.least}", f"length({_PATH}) >= {r.least_path}"]
+    if r.deny:
+        parts.append(f"NOT {_any(_PQ, r.deny)}")
+    if r.deny_segments:
+        parts.append(f"NOT list_has_any({_LSEG}, {list(r.deny_segments)})")
+    if r.deny_paths:
+        parts.append(f"regexp_replace({_PATH}, '/+$', '') NOT IN {_list(r.deny_paths)}")
+    if r.begins:
+        parts.append("(" + " OR ".join(f"starts_with({_PATH}, '{x}')" for x in r.begins) + ")")
+    if r.any_of:
+        parts.append(_any(_PATH, r.any_of))
+    last = f"COALESCE({_LSEG}[-1], '')"
+    if r.slug:
+        parts.append(f"((contains({last}, '-') AND length({last}) > 8) OR regexp_matches({_PATH}, '/20\\d{{2}}/'))")
+    if r.number_or_long:
+        parts.append(f"(regexp_matches({last}, '^\\d+$') OR length({_PATH}) > 40)")
+    return " AND ".join(parts)
+
+
+def _section(r: sites.Section) -> str:
+    m = _map(r.names)
+    if r.anywhere:
+        s = f"list_filter({list(r.anywhere)}, lambda x: list_contains({_LSEG}[1:len({_LSEG}) - 1], x))[1]"
+    else:
+        s = f"{_LSEG}[{r.at + 1}]"
+        if r.drill:
+            s = f"CASE WHEN {s} IN {_list(r.drill) if len(r.drill) > 1 else _list(r.drill).replace(',', '')} AND {m}[{_LSEG}[{r.at + 2}]] IS NOT NULL THEN {_LSEG}[{r.at + 2}] ELSE {s} END"
+        for k, x in enumerate(r.under):
+            s = f"CASE WHEN {_LSEG}[{k + 1}] = '{x}' THEN {s} END"
+    if r.city_first:
+        return f"CASE WHEN COALESCE({m}[{s}], 'News') IN ('News', 'General') AND len({_LSEG}) > {r.at} THEN 'Nation' ELSE COALESCE({m}[{s}], '{r.default}') END"
+    return f"COALESCE({m}[{s}], '{r.default}')"
+
+
+_name = lambda site: site.replace(" ", "_")
+_STORIES = ", ".join(f"{_story(r)} AS {_name(k)}" for k, r in sites.STORIES.items())
+_SECTIONS = ", ".join(f"{_section(r)} AS {_name(k)}" for k, r in sites.SECTIONS.items())
 SQL = {
     "url_category": f"""SELECT id, c AS category, COALESCE(c, 'General') AS resolved FROM (SELECT id, {_map(text.CATEGORIES)}[replace(lower(list_filter({_SEG}, lambda x: lower(x) NOT IN {_list(urls.NO_SECTION)}
       AND replace(lower(x), '_', '-') IN {_list(text.CATEGORIES)})[1]), '_', '-')] AS c FROM articles) q""",
-    "url_validity": f"""SELECT id, len(list_filter({_SEG}, lambda x: x = 'page')) = 0 AND regexp_replace({_PATH}, '/+$', '') NOT IN {_list(urls.LISTINGS)} AND NOT {_any(_PATH, urls.BLOCKED)} AND len({_SEG}) >= 3 AS valid,
+    "url_validity": f"""SELECT id, len(list_filter({_SEG}, lambda x: x = 'page')) = 0 AND regexp_replace({_PATH}, '/+$', '') NOT IN {_list(urls.LISTINGS)} AND NOT {_any(_PATH, urls.BLOCKED)} AND len({_SEG}) >= 3 AND ends_with(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)), regexp_replace(lower(source), '[^a-z0-9]', '', 'g') || '.example') AS valid,
       len({_SEG}) >= 4 AND regexp_matches({_PATH}, '/\\d{{4}}/\\d{{2}}/\\d{{2}}/') AND NOT regexp_matches({_PATH}, '/page/\\d+|/tag/') AND length({_SEG}[-1]) >= 10 AS dated FROM articles WHERE url IS NOT NULL""",
+    "url_site_stories": f"SELECT id, {_STORIES} FROM articles WHERE url IS NOT NULL",
+    "url_site_sections": f"SELECT id, {_SECTIONS} FROM articles",
     "names_normalized": f"""SELECT id, CASE WHEN source <> '' THEN COALESCE({_map(text.SOURCES)}[lower(trim(source, ' '))], {_title("trim(source, ' ')")}) END AS source,
       CASE WHEN category <> '' THEN COALESCE({_map(text.CATEGORIES)}[replace(lower(trim(category, ' ')), '_', '-')], {_title("trim(category, ' ')")}) END AS category FROM articles""",
     "funds_gated": f"SELECT id, {_GATED} AS gated, c AS confidence, {_CANDIDATE} AS candidate FROM (SELECT id, t, {_SURE} AS c FROM (SELECT id, {_T} AS t FROM articles) q) q",
@@ -60,9 +104,8 @@ SQL = {
     "funds_trends": f"""WITH {_E}, k AS (SELECT total, ROW_NUMBER() OVER (ORDER BY total) - 1 AS i, COUNT(*) OVER () AS n FROM x WHERE total IS NOT NULL)
       SELECT COUNT(*) AS articles, ROUND(SUM(total) / 1e6, 2) AS total_millions, MIN(total) AS least, MAX(total) AS largest, ROUND(AVG((len(irregular) > 0)::INTEGER), 6) AS irregular_rate, ROUND(ROUND(SUM(total) / 1e6, 2) / COUNT(*), 4) AS average_millions,
         (SELECT total FROM k WHERE i = n // 2) AS median FROM x""",
-    "mined_names": r"""WITH m AS (SELECT unnest(regexp_extract_all(title, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})\b', 1)) AS name FROM articles)
-      SELECT name, COUNT(*) AS n FROM m WHERE length(name) > 2 AND string_split(name, ' ')[1] NOT IN ('News', 'Latest', 'Business', 'Nation', 'World', 'Technology', 'Sports', 'Entertainment', 'Opinion', 'General', 'Lifestyle')
-      GROUP BY name ORDER BY n DESC, name LIMIT 50""",
+    "mined_names": rf"""WITH m AS (SELECT unnest(regexp_extract_all(COALESCE(title, '') || ' ' || COALESCE(category, '') || ' ' || COALESCE(source, ''), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){{0,3}})\b', 1)) AS name FROM articles)
+      SELECT name, COUNT(*) AS n FROM m WHERE length(name) > 2 AND string_split_regex(name, '\s+')[1] NOT IN {_list(text.NO_NAMES)} GROUP BY name ORDER BY n DESC, name LIMIT 50""",
     "category_backfill_values": f"""SELECT id, COALESCE(m, 'News') AS category, CASE WHEN m IS NOT NULL THEN {_title("replace(g, '-', ' ')")} END AS raw, m IS NOT NULL AS resolved FROM (SELECT id, g, {_map(urls.SECTIONS)}[g] AS m
       FROM (SELECT id, lower({_SEG}[1]) AS g FROM articles WHERE category IS NULL OR category IN ('Post', 'General', 'Uncategorized')) q) q""",
     "propagation_edges": f"WITH {_CORR} SELECT a, b, lag, ROUND(r, 6) AS r, relation FROM g",

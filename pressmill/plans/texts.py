@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pressmill.functions import dates, html, lexicon, money, text, urls
+from pressmill.functions import dates, html, lexicon, money, sites, text, urls
 from pressmill.models import funds, political, sentiment
+from pressmill.operators import stats
 from pressmill.operators.relational import append_absent, first_per_key, merge_latest
 from pressmill.plans.common import SQL_A, SQL_B, analyses, articles
 from pressmill.session import spread, staged, table
@@ -72,7 +74,20 @@ def url_category(spark, d):
 def url_validity(spark, d):
     u = F.col("url")
     dated = urls.valid_by_rules(u, [r"/\d{4}/\d{2}/\d{2}/"], [r"/page/\d+", r"/tag/"], least_segments=4, least_slug=10)
-    return table(spark, d, "articles").where(u.isNotNull()).select("id", urls.valid_news_url(u, urls.host(u)).alias("valid"), dated.alias("dated"))
+    return table(spark, d, "articles").where(u.isNotNull()).select("id", urls.valid_news_url(u, F.concat(text.fold_name(F.col("source")), F.lit(".example"))).alias("valid"), dated.alias("dated"))
+
+
+@query()
+def url_site_stories(spark, d):
+    """What each site's rules say of the path of every article's URL, whatever its host."""
+    u = F.col("url")
+    return table(spark, d, "articles").where(u.isNotNull()).select("id", *[sites.is_story(u, r, host="").alias(k.replace(" ", "_")) for k, r in sites.STORIES.items()])
+
+
+@query()
+def url_site_sections(spark, d):
+    """The section that each site's rules read in every article's URL."""
+    return table(spark, d, "articles").select("id", *[sites.section(F.col("url"), r)["category"].alias(k.replace(" ", "_")) for k, r in sites.SECTIONS.items()])
 
 
 @query("SELECT id, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS folded FROM articles")
@@ -97,9 +112,9 @@ def content_shaping(spark, d):
     return table(spark, d, "articles").select("id", text.tiered_cut(c).alias("cut"), text.reading_score(c).alias("score"), text.blank_to_null(F.col("title")).alias("title"))
 
 
-@query(r"SELECT id, regexp_replace(regexp_replace(title, '<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g') AS title FROM articles WHERE title NOT LIKE ' %' AND title NOT LIKE '% '")
+@query(r"SELECT id, trim(regexp_replace(regexp_replace(title, '<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g'), ' ') AS title FROM articles")
 def titles_without_tags(spark, d):
-    return table(spark, d, "articles").where(~F.col("title").like(" %") & ~F.col("title").like("% ")).select("id", text.without_tags(F.col("title")).alias("title"))
+    return table(spark, d, "articles").select("id", text.without_tags(F.col("title")).alias("title"))
 
 
 @query(f"WITH {SQL_A} SELECT id, day, strftime(day, '%A') AS weekday, CAST(date_trunc('month', moment) AS DATE) AS month FROM a")
@@ -155,12 +170,18 @@ def funds_entities(spark, d):
 
 @query()
 def funds_trends(spark, d):
-    e = staged(funds_entities(spark, d).join(_entities(spark, d).select("id", (F.size("irregular") > 0).alias("irregular")), "id").select("total", "irregular"), "funds")
-    amounts = e.where(F.col("total").isNotNull()).select("total")
-    # the upper median by place in the sorted rows: a range-partitioned sort, no group in one task
-    middle = amounts.orderBy("total").offset(amounts.count() // 2).limit(1).first()
+    e = _entities(spark, d).select(money.total_amount(F.col("amounts")).alias("total"), (F.size("irregular") > 0).alias("irregular"))
+    e = staged(e, "funds")
+    middle = stats.upper_median_of(e, "total")
     s = e.agg(F.count("*").alias("articles"), F.round(F.sum("total") / 1e6, 2).alias("total_millions"), F.min("total").alias("least"), F.max("total").alias("largest"), F.round(F.avg(F.col("irregular").cast("double")), 6).alias("irregular_rate"))
-    return s.withColumns({"average_millions": F.round(F.col("total_millions") / F.col("articles"), 4), "median": F.lit(middle[0] if middle else None).cast("double")})
+    return s.withColumns({"average_millions": F.round(F.col("total_millions") / F.col("articles"), 4), "median": F.lit(middle).cast("double")})
+
+
+@query(rf"""SELECT id, array_to_string(list_distinct(regexp_extract_all(COALESCE(title, '') || ' ' || COALESCE(content, ''), '{money.CONTRACTOR}', 1)), '|') AS contractors FROM articles""")
+def funds_contractors(spark, d):
+    t = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+    found = F.regexp_extract_all(t, F.lit(money.CONTRACTOR), F.lit(1))
+    return _texts(spark, d).select("id", F.array_join(F.array_distinct(found), "|").alias("contractors"))
 
 
 @query()
@@ -169,12 +190,14 @@ def funds_agencies(spark, d):
     return e.groupBy("primary_agency").agg(F.count("*").alias("n"), F.round(F.sum("total") / 1e6, 2).alias("total_millions")).orderBy(F.desc("n"), "primary_agency").limit(10)
 
 
-@query(r"""SELECT l.category, a.id, COUNT(*) AS n FROM (SELECT id, lower(COALESCE(content, '')) AS t FROM articles) a JOIN (SELECT category, lower(trim(term)) AS term FROM lexicon WHERE category IN ('agencies', 'security')) l
+@query(r"""SELECT l.category, a.id, COUNT(*) AS n FROM (SELECT id, lower(COALESCE(content, '')) AS t FROM articles) a JOIN (SELECT category, lower(trim(term)) AS term FROM lexicon) l
   ON CASE WHEN contains(l.term, ' ') THEN contains(a.t, l.term) ELSE regexp_matches(a.t, '\b' || l.term || '\b') END GROUP BY 1, 2""")
 def keyword_match_counts(spark, d):
-    lex = table(spark, d, "lexicon").where(F.col("category").isin("agencies", "security"))
-    c = lexicon.category_counts(_texts(spark, d).select("id", "content"), F.col("content"), lex)
-    return c.select("id", F.explode(F.array(*[F.struct(F.lit(x).alias("category"), F.col("n_" + x).alias("n")) for x in ("agencies", "security")])).alias("e")).where("e.n > 0").select("e.category", "id", "e.n")
+    c = lexicon.category_counts(_texts(spark, d).select("id", "content"), F.col("content"), table(spark, d, "lexicon"))
+    names = [x[2:] for x in c.columns if x.startswith("n_")]
+    if not names:
+        return c.select(F.lit(None).cast("string").alias("category"), "id", F.lit(0).cast("bigint").alias("n")).limit(0)
+    return c.select("id", F.explode(F.array(*[F.struct(F.lit(x).alias("category"), F.col("n_" + x).alias("n")) for x in names])).alias("e")).where("e.n > 0").select("e.category", "id", "e.n")
 
 
 @query()
@@ -196,18 +219,27 @@ def sentiment_scores(spark, d):
 def mined_acronyms(spark, d):
     t = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("category", F.lit("")), F.coalesce("source", F.lit("")))
     m = table(spark, d, "articles").select(F.explode(F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z0-9_])([A-Z]{2,6})(?![A-Za-z0-9_])"), F.lit(1))).alias("acronym"))
-    known = ["PH", "PHL", "GDP", "AI", "NBA", "UFC", "NCAA", "UAAP", "PBA", "PNR", "LRT", "MRT"]
-    return m.where(~F.col("acronym").isin(known)).groupBy("acronym").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "acronym").limit(50)
+    return m.where(~F.col("acronym").isin(*text.NO_ACRONYMS)).groupBy("acronym").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "acronym").limit(50)
 
 
 @query()
 def mined_names(spark, d):
-    stop = ["News", "Latest", "Business", "Nation", "World", "Technology", "Sports", "Entertainment", "Opinion", "General", "Lifestyle"]
-    m = table(spark, d, "articles").select(F.explode(F.regexp_extract_all("title", F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})(?![A-Za-z0-9_])"), F.lit(1))).alias("name"))
-    m = m.where((F.length("name") > 2) & ~F.split("name", " ")[0].isin(stop))
+    t = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("category", F.lit("")), F.coalesce("source", F.lit("")))
+    m = table(spark, d, "articles").select(F.explode(F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})(?![A-Za-z0-9_])"), F.lit(1))).alias("name"))
+    m = m.where((F.length("name") > 2) & ~F.split("name", r"\s+")[0].isin(*text.NO_NAMES))
     return m.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(50)
 
 
+@query(r"""WITH m AS (SELECT unnest(regexp_extract_all(COALESCE(title, '') || ' ' || COALESCE(content, ''), '\b([A-Z]{2,6})\b', 1)) AS w FROM articles), c AS (SELECT w, COUNT(*) AS n FROM m WHERE regexp_matches(w, '^[A-Z]+$') GROUP BY w)
+  SELECT w AS acronym, n, ROW_NUMBER() OVER (ORDER BY n DESC, w) AS place FROM c WHERE w IN ('DPWH','DOF','DOJ','NEDA','DILG','DOH','DEPED','DND','AFP','PNP','COMELEC','OMBUDSMAN','COA','DBM','NBI','BI','BIR','BOC','BSP')""")
+def mined_bodies(spark, d):
+    """The known bodies among the acronyms, in the order of their number."""
+    t = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    m = table(spark, d, "articles").select(F.explode(F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z0-9_])([A-Z]{2,6})(?![A-Za-z0-9_])"), F.lit(1))).alias("acronym")).where(F.col("acronym").isin(*text.KNOWN_BODIES))
+    g = m.groupBy("acronym").agg(F.count("*").alias("n"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "acronym")).cast("bigint"))  # a row a body
+
+
 @query()
 def keyphrases(spark, d):
     runs = F.filter(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b((?:[A-Z][\w\-]+\s+){1,4}[A-Z][\w\-]+)\b"), F.lit(1))), lambda p: F.length(p).between(3, 80))
@@ -257,9 +289,9 @@ def conditional_update(spark, d):
     return rewrite(table(spark, d, "articles").select("id", "category", "is_funds"), F.col("is_funds").isNull() | funded, is_funds=funded).select("id", "is_funds")
 
 
-@query("""SELECT id, NULLIF(regexp_extract(raw_html, '<title>([^<]*)</title>', 1), '') AS title, len(regexp_extract_all(raw_html, '<a href="')) AS anchors FROM raw_articles WHERE raw_html IS NOT NULL AND raw_html LIKE '%</html>'""")
+@query("""SELECT id, NULLIF(regexp_extract(raw_html, '<title>([^<]*)</title>', 1), '') AS title, COALESCE(len(regexp_extract_all(raw_html, '<a href="[^"#]')) - (CASE WHEN regexp_matches(raw_html, '<a href="[^"]*("[^>]*(>[^<]*(<(/(a)?)?)?)?)?$') THEN 1 ELSE 0 END), 0) AS anchors FROM raw_articles""")
 def html_titles(spark, d):
-    r = table(spark, d, "raw_articles").where(F.col("raw_html").like("%</html>"))
+    r = table(spark, d, "raw_articles")
     p = r.select("id", html.parsed(F.col("raw_html"), F.lit(None).cast("string")).alias("p"))
     return p.select("id", F.col("p.title").alias("title"), F.size("p.links").alias("anchors"))
 
@@ -280,13 +312,14 @@ def html_links(spark, d):
 
 @query()
 def html_stubs(spark, d):
-    return stubs(html_links(spark, d), least_title=3, most=3)
+    return stubs(html_links(spark, d))
 
 
 @query("SELECT id, article_id, direction FROM (SELECT id, article_id, json_extract_string(to_json(model_metadata), '$.direction') AS direction FROM bias_analysis) q WHERE direction = 'pro_government'")
 def json_field_filter(spark, d):
-    b = table(spark, d, "bias_analysis").select("id", "article_id", F.to_json("model_metadata").alias("j"))
-    return b.select("id", "article_id", F.get_json_object("j", "$.direction").alias("direction")).where(F.col("direction") == "pro_government")
+    # the field itself: the condition and the one leaf of the struct reach the scan
+    b = table(spark, d, "bias_analysis").where(F.col("model_metadata.direction") == "pro_government")
+    return b.select("id", "article_id", F.col("model_metadata.direction").alias("direction"))
 
 
 @query("""SELECT id, k.key AS term, k.value AS n FROM (SELECT id, unnest(map_entries(model_metadata.keyword_matches)) AS k FROM bias_analysis) q""")
