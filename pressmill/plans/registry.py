@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pressmill.plans import dashboards, endpoints, more_sql, problems, reading, research, texts
+from pressmill.plans import dashboards, endpoints, landing, more_sql, problems, reading, research, texts
 
-_MODULES = (reading, dashboards, texts, research, endpoints, more_sql, problems)
+_MODULES = (reading, dashboards, texts, research, endpoints, landing, more_sql, problems)
 #: Queries whose ranks, sizes and lengths come out as BIGINT, as in SQL.
 _LONG = (
     "home_topn_per_source", "home_fixed_sources", "run_log_recent", "content_lengths", "url_sections", "content_shaping", "keyword_match_counts", "html_titles", "sentiment_daily_scores", "top_lines_per_supplier",

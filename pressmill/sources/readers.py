@@ -27,8 +27,9 @@ def jdbc(spark: SparkSession, url: str, query: str, partition_column: str | None
     return r.load()
 
 
-def json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    r = spark.read.option("multiLine", True)
+def json_array(spark: SparkSession, path: str, schema: str | None = None, per_line: bool = False) -> DataFrame:
+    """The records of files that hold one JSON array each, or, which can be split, one a line."""
+    r = spark.read.option("multiLine", not per_line)
     return (r.schema(schema) if schema else r).json(path)
 
 

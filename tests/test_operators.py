@@ -102,7 +102,7 @@ def test_sinks(spark, tmp_path):
     sinks.upsert(a, path, ["k"], ["t"])
     for _ in range(2):
         sinks.upsert(spark.createDataFrame([(1, 2, "y"), (2, 1, "z")], a.schema), path, ["k"], ["t"])
-    assert {(r.k, r.v) for r in spark.read.parquet(path).collect()} == {(1, "y"), (2, "z")}
+    assert {(r.k, r.v) for r in sinks.merged(spark, path).collect()} == {(1, "y"), (2, "z")}
     new = sinks.append_new(sinks.with_ids(spark.createDataFrame([("u",), ("u",), ("w",)], "url string"), "url"), str(tmp_path / "n"), "url")
     assert new.count() == 2 and sinks.append_new(new, str(tmp_path / "n"), "url").count() == 0
     assert sinks.cache_key("q", b=1, a=2) == sinks.cache_key("q", a=2, b=1) != sinks.cache_key("q", a=1, b=2)
@@ -110,8 +110,93 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.cached(spark, str(tmp_path), "q", lambda: calls.append(1) or a, p=1)
     assert len(calls) == 1
+    assert sinks.clear_cached(spark, str(tmp_path), "q") == 1 and sinks.clear_cached(spark, str(tmp_path / "none")) == 0
+
+
+def test_merged_tables_rewrite_only_touched_buckets_and_recover(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, t int, v string, bucket_of string"
+    sinks.upsert(spark.createDataFrame([(k, 1, "a", None) for k in range(200)] + [(None, 1, "n", None)], schema), path, ["k"], ["t"])
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    sinks.upsert(spark.createDataFrame([(7, 2, "b", None), (7, 1, "late", None)], schema), path, ["k"], ["t"])
+    kept = {f for f in before if f.exists() and f.stat().st_mtime_ns == before[f]}
+    assert len(before) - len(kept) == 1
+    rows = {r.k: r.v for r in sinks.merged(spark, path).collect()}
+    assert len(rows) == 201 and rows[7] == "b" and rows[8] == "a" and rows[None] == "n"
+    bucket = next(f for f in (tmp_path / "t").iterdir() if f.name.startswith("bucket="))
+    bucket.rename(tmp_path / "t" / f".{bucket.name}.old")  # an interrupted swap
+    sinks.upsert(spark.createDataFrame([(8, 3, "c", None)], schema), path, ["k"], ["t"])
+    assert {r.k: r.v for r in sinks.merged(spark, path).collect()} == rows | {8: "c"}
+    sinks.upsert(spark.createDataFrame([], schema), path, ["k"], ["t"])
+    assert sinks.merged(spark, path).count() == 201
+
+
+def test_run_log(spark, tmp_path):
+    import datetime as dt
+
+    path, at = str(tmp_path / "log"), dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
+    sinks.start_run(spark, path, "r", "s", at)
+    assert sinks.merged(spark, path).first().status == "partial"
+    for _ in range(2):
+        sinks.finish_run(spark, path, "r", "error", 3, at + dt.timedelta(milliseconds=1500), "broken")
+    r = sinks.merged(spark, path).collect()
+    assert len(r) == 1 and (r[0].status, r[0].articles_scraped, r[0].error_message, r[0].execution_time_ms) == ("error", 3, "broken", 1500)
+    with pytest.raises(ValueError):
+        sinks.finish_run(spark, path, "r", "unknown", 0, at)
     with pytest.raises(ValueError):
-        sinks.run_row(spark, "r", "s", "unknown", 0)
+        sinks.finish_run(spark, path, "no such run", "success", 0, at)
+
+
+def test_pages_deep_and_by_key(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("g")).repartition(6)
+    want = [r.id for r in df.orderBy(F.desc("g"), "id").collect()]
+    for offset, limit in ((0, 5), (300, 20), (990, 50), (1000, 5)):
+        got = relational.page(df, [F.desc("g"), F.col("id")], offset, limit, near=10)
+        assert sorted(r.id for r in got.collect()) == sorted(want[offset : offset + limit])
+    keys, last, seen = [("g", True), ("id", False)], None, []
+    while rows := relational.page_after(df, keys, last, 150).collect():
+        seen += [r.id for r in rows]
+        last = (rows[-1].g, rows[-1].id)
+    assert seen == want
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.floats(-1e9, 1e9), st.sampled_from([0.0, 1e300, -1e300, 5.0])), max_size=40))
+def test_upper_median_of_a_column(spark, xs):
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    held = sorted(x for x in xs if x is not None)
+    assert stats.upper_median_of(df, "x", buckets=3, most=2) == (held[len(held) // 2] if held else None)
+
+
+def test_lexicons_of_any_size(spark, monkeypatch, tmp_path):
+    from pressmill.functions import lexicon
+
+    lex = spark.createDataFrame([("a", f"word{i}", 1.0) for i in range(30)] + [("a", "two words", 1.0), ("b", "word3", 1.0), ("b", None, 1.0)], lexicon.SCHEMA)
+    df = spark.createDataFrame([(1, "word3 word29 and two words"), (2, None), (3, "")], "id int, t string")
+    count = lambda: sorted((r.id, r.n_a, r.n_b) for r in lexicon.category_counts(df, F.col("t"), lex).collect())
+    want = [(1, 3, 1), (2, 0, 0), (3, 0, 0)]
+    assert count() == want
+    monkeypatch.setattr(lexicon, "TERMS", 7)
+    assert count() == want
+    (tmp_path / "l.json").write_text(json.dumps({"version": "1", "keywords": {"a": ["x", "y"], "b": ["z"]}, "weights": {"a": 0.4}}))
+    assert sorted(map(tuple, lexicon.load_json(spark, str(tmp_path / "l.json")).collect())) == [("a", "x", 0.4), ("a", "y", 0.4), ("b", "z", 1.0)]
+    (tmp_path / "broken.json").write_text("{")
+    own = {"version": "own", "keywords": {"k": ["v"]}, "weights": {}}
+    for bad in ("broken.json", "none.json"):
+        assert lexicon.load_json(spark, str(tmp_path / bad)).count() == 0 and lexicon.load_json(spark, str(tmp_path / bad), own).first().term == "v"
+
+
+def test_site_rules(spark):
+    from pressmill.functions import sites
+
+    cases = [("rappler", "https://www.rappler.com/technology/a-long-story-slug", True, "Technology"), ("rappler", "https://www.rappler.com/newsbreak/sports/a-long-story-slug", True, "Sports"), ("rappler", "https://www.rappler.com/world/asia-pacific/a-long-story-slug", True, "World"),
+             ("rappler", "https://www.rappler.com/tag/x/", False, "General"), ("gma", "https://www.gmanetwork.com/news/topstories/nation/1/a/story/", True, "Nation"), ("gma", "https://www.gmanetwork.com/news/lotto/results/test/", False, "Lotto"),
+             ("gma", "https://www.gmanetwork.com/lifestyle/a/b", False, "General"), ("sunstar", "https://www.sunstar.com.ph/cebu/local-news/x", True, "Nation"), ("sunstar", "https://www.sunstar.com.ph/cebu/business/x", True, "Business"), ("manila times", "https://www.manilatimes.net/2025/01/02/news/regions/x/123", False, "Nation"),
+             ("manila times", "https://www.manilatimes.net/2025/01/02/business/top-business/x/123", True, "Business"), ("philstar", "https://www.philstar.com/headlines/2025/01/02/123/x", True, "Headlines"), ("inquirer", "https://radyo.inquirer.net/123456/a-story", False, None), ("rappler", None, None, "General")]
+    for site, u, story, section in cases:
+        df = spark.createDataFrame([(u,)], "u string")
+        assert df.select(sites.is_story(F.col("u"), sites.STORIES[site])).first()[0] is story, u
+        if section:
+            assert df.select(sites.section(F.col("u"), sites.SECTIONS[site])["category"]).first()[0] == section, u
 
 
 def test_readers(spark, tmp_path):
