@@ -2,8 +2,9 @@
 
 Valences of words are adjusted for degree words before them, negation, emphasis by
 capitals and exclamation marks, and the turn that "but" takes; their sum s becomes
-s / sqrt(s * s + 15). The lexicon is a parameter; the one here is small and our
-own, so scores don't equal those of other lexicons.
+s / sqrt(s * s + 15). The lexicon is a parameter; the one here is a small selection
+of words of news texts with the valences and constants of the VADER lexicon
+(C. J. Hutto and E. Gilbert, MIT licence), so scores don't equal those of the whole.
 
 Defined results: NULL and empty texts score 0.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VERSION = "vader_v1"
-#: Our own valences, from -4 to 4.
+# Valences of the VADER lexicon, from -4 to 4.
 LEXICON = {
     "good": 1.9, "great": 3.1, "excellent": 2.7, "best": 3.2, "win": 2.8, "won": 2.7, "wins": 2.7, "success": 2.7, "successful": 2.8, "progress": 1.8, "safe": 1.9, "support": 1.7, "help": 1.7,
     "helped": 1.8, "hope": 1.9, "peace": 2.5, "benefit": 2.0, "benefits": 1.6, "improve": 1.9, "improved": 2.1, "approve": 1.8, "approved": 1.8, "praise": 2.6, "praised": 2.2, "trust": 2.3, "agree": 1.5,

@@ -6,7 +6,8 @@ each outlet is estimated: local timestamps are laid against ingestion times unde
 every candidate zone (a whole offset history, with its daylight-saving changes),
 and the history with the fewest violations wins, a text being in violation when
 it would have been published after it was ingested. A zone declared for the
-outlet stays unless the estimate contradicts it by more than `margin`.
+outlet stays unless the estimate contradicts it by more than `margin` and what the
+number of timestamps leaves unsure.
 
 Defined results: NULL or blank text, placeholders ("N/A", "just now") and dates
 that don't exist give NULL; a local time that occurs twice is the earlier
@@ -141,7 +142,9 @@ def estimate_zones(local: DataFrame, candidates: DataFrame, tolerance_s: int = 3
     per = reduce(DataFrame.unionByName, [tried(zones[k : k + ZONES]) for k in range(0, max(1, len(zones)), ZONES)])
     best = per.groupBy("outlet").agg(F.max("declared").alias("declared"), F.max("n").alias("n"), F.min(F.struct("cost", "zone")).alias("b"),
                                      F.min(F.when(F.col("zone") == F.col("declared"), F.col("cost"))).alias("declared_cost"))
-    keep = F.col("declared").isNotNull() & (F.coalesce("declared_cost", F.lit(1.0)) <= F.col("b.cost") + margin)
+    # a mean of n costs is that sure only: few timestamps contradict nothing
+    sure = 2.0 / F.sqrt("n")
+    keep = F.col("declared").isNotNull() & (F.coalesce("declared_cost", F.lit(1.0)) <= F.col("b.cost") + margin + sure)
     return best.select("outlet", "declared", F.col("b.zone").alias("estimated"), F.when(keep, F.col("declared")).otherwise(F.col("b.zone")).alias("zone"), "n", F.col("b.cost").alias("cost"), "declared_cost")
 
 

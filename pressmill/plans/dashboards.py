@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pressmill.models import funds
 from pressmill.operators.relational import top_k_per_key
 from pressmill.plans.common import SQL_A, SQL_B, analyses, articles, by_article, mean_of, rounded
-from pressmill.session import table
+from pressmill.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -157,15 +159,50 @@ def content_lengths(spark, d):
     return table(spark, d, "articles").groupBy("source").agg(F.min(n).alias("shortest"), F.max(n).alias("longest"), F.round(F.avg(n), 6).alias("average"), F.count_if(F.col("content").isNull()).alias("missing"))
 
 
-@query("""SELECT COUNT(*) AS n, COUNT(*) FILTER (a.is_funds AND r.said) AS both_yes, COUNT(*) FILTER (a.is_funds AND NOT r.said) AS missed, COUNT(*) FILTER (NOT a.is_funds AND r.said) AS extra,
-  COUNT(*) FILTER (NOT a.is_funds AND NOT r.said) AS both_no, ROUND(COUNT(*) FILTER (a.is_funds = r.said) / COUNT(*), 6) AS agreement
-  FROM articles a JOIN (SELECT id, COALESCE(contains(lower(content), 'million') OR contains(lower(content), 'billion'), false) AS said FROM articles) r ON r.id = a.id WHERE a.is_funds IS NOT NULL""")
+@query()
 def confusion_matrix(spark, d):
-    a = table(spark, d, "articles").where(F.col("is_funds").isNotNull())
-    low = F.lower("content")
-    said = F.coalesce(F.contains(low, F.lit("million")) | F.contains(low, F.lit("billion")), F.lit(False))
+    """The rule for public money against what the articles are marked as."""
+    a = spread(table(spark, d, "articles").where(F.col("is_funds").isNotNull()).select("id", "is_funds", "title", "content"), "id")
     x, y = F.col("is_funds"), F.col("said")
-    return a.select("is_funds", said.alias("said")).agg(F.count("*").alias("n"), F.count_if(x & y).alias("both_yes"), F.count_if(x & ~y).alias("missed"), F.count_if(~x & y).alias("extra"), F.count_if(~x & ~y).alias("both_no"), F.round(F.count_if(x == y) / F.count("*"), 6).alias("agreement"))
+    a = a.select("is_funds", funds.by_rule(F.col("title"), F.col("content")).alias("said"))
+    return a.agg(F.count("*").alias("n"), F.count_if(x & y).alias("both_yes"), F.count_if(x & ~y).alias("missed"), F.count_if(~x & y).alias("extra"), F.count_if(~x & ~y).alias("both_no"), F.round(F.count_if(x == y) / F.count("*"), 6).alias("agreement"))
+
+
+@query()
+def funds_disagreements(spark, d):
+    """The first 25 articles that rule and mark don't agree on."""
+    a = spread(table(spark, d, "articles").where(F.col("is_funds").isNotNull()).select("id", "is_funds", "title", "content"), "id")
+    a = a.select("id", "is_funds", funds.by_rule(F.col("title"), F.col("content")).alias("said")).where(F.col("is_funds") != F.col("said"))
+    return a.orderBy("id").limit(25)
+
+
+@query("SELECT a.id, a.source FROM articles a WHERE NOT EXISTS (SELECT 1 FROM bias_analysis b WHERE b.article_id = a.id) ORDER BY a.id LIMIT 10")
+def unanalyzed_sample(spark, d):
+    a = table(spark, d, "articles").select("id", "source")
+    return a.join(table(spark, d, "bias_analysis").select(F.col("article_id").alias("id")), "id", "left_anti").orderBy("id").limit(10)
+
+
+def _json_map(key: str, n: str):
+    """A JSON object of counts by name, in the order of the names."""
+    return F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, n))))).alias("by_" + key)
+
+
+_JSON_MAP = """'{' || string_agg('"' || direction || '":' || n::VARCHAR, ',' ORDER BY direction) || '}' AS by_direction"""
+
+
+@query(f"""WITH {SQL_B}, g AS (SELECT CAST(created + INTERVAL 8 HOUR AS DATE) AS day, COALESCE(direction, 'unknown') AS direction, COUNT(*) AS n FROM b WHERE model_type = 'political_bias' GROUP BY 1, 2)
+  SELECT day, SUM(n)::BIGINT AS total, {_JSON_MAP}, ROW_NUMBER() OVER (ORDER BY day DESC) AS place FROM g GROUP BY day""")
+def bias_summary(spark, d):
+    """Analyses by day with the counts by direction as one map, newest first (`place`)."""
+    g = bias_daily_buckets(spark, d).groupBy("day").agg(F.sum("n").alias("total"), _json_map("direction", "n"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("day"))).cast("bigint"))  # a row a day
+
+
+@query(f"""WITH {SQL_A}, {SQL_B}, g AS (SELECT COALESCE(a.source, 'unknown') AS source, COALESCE(b.direction, 'unknown') AS direction, COUNT(*) AS n FROM b LEFT JOIN a ON a.id = b.article_id WHERE model_type = 'political_bias' GROUP BY 1, 2)
+  SELECT source, SUM(n)::BIGINT AS total, {_JSON_MAP} FROM g GROUP BY source""")
+def bias_source_summary(spark, d):
+    """Analyses by source with the counts by direction as one map."""
+    return bias_source_direction(spark, d).groupBy("source").agg(F.sum("n").alias("total"), _json_map("direction", "n"))
 
 
 @query("""SELECT d.article_id, d.duplicate_of, a.title AS title, b.title AS original FROM article_duplicates d LEFT JOIN articles a ON a.id = d.article_id LEFT JOIN articles b ON b.id = d.duplicate_of""")

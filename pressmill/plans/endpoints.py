@@ -107,7 +107,8 @@ def filler_titles(spark, d):
     return table(spark, d, "articles").where(F.lower(F.coalesce("title", F.lit(""))).rlike(r"lotto|swertres|ez2|6/4[0-9]|jackpot|winning numbers|horoscope|crossword")).select("id")
 
 
-@query()
+@query(r"""SELECT id, replace(replace(regexp_replace(regexp_replace(title, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?i)(?:javascript|data):', '', 'g'), '<', '&lt;'), '>', '&gt;') AS escaped,
+  trim(replace(replace(trim(regexp_replace(regexp_replace(title, '<[^>]*>', '', 'g'), '[ \t\n\r]+', ' ', 'g'), ' '), 'READ MORE', ''), 'ADVERTISEMENT', ''), ' ') AS cleaned FROM articles""")
 def titles_sanitized(spark, d):
     t = F.col("title")
     return table(spark, d, "articles").select("id", text.without_active_parts(t).alias("escaped"), text.without_phrases(text.without_tags(t), ["READ MORE", "ADVERTISEMENT"]).alias("cleaned"))
@@ -150,6 +151,14 @@ def array_and_hash_scalars(spark, d):
     return table(spark, d, "articles").select("id", F.array_join(F.slice(parts, 1, 3), "|").alias("head"), F.md5(F.concat_ws(":", "source", F.col("id").cast("string"))).alias("digest"))
 
 
+@query("""SELECT id, array_to_string(list_filter(list_transform(string_split(t, ','), lambda x: TRY_CAST(trim(x, ' ') AS INTEGER)), lambda x: x IS NOT NULL), '|') AS ids FROM (SELECT id, id::VARCHAR || ', ' || COALESCE(source, '') || ',7 ,,x9' AS t FROM articles) q""")
+def id_lists(spark, d):
+    """Comma lists as typed, read as numbers; what is none is left out."""
+    t = F.concat(F.col("id").cast("string"), F.lit(", "), F.coalesce("source", F.lit("")), F.lit(",7 ,,x9"))
+    ids = F.array_compact(F.transform(F.split(t, ","), lambda x: F.trim(x).try_cast("int")))
+    return table(spark, d, "articles").select("id", F.array_join(ids.cast("array<string>"), "|").alias("ids"))
+
+
 @query("""SELECT id, strftime(m, '%Y-%m-%d %H:%M') AS shown, strftime(m, '%b %Y') AS month FROM (SELECT id, make_timestamp(epoch_us(inserted_at)) + INTERVAL 8 HOUR AS m FROM articles) q""")
 def local_formats(spark, d):
     t = F.col("inserted_at")
@@ -164,6 +173,13 @@ def analysis_rows(spark, d):
     return rows.analysis_rows(new, [rows.sentiment_model(), rows.political_model(table(spark, d, "lexicon"))])
 
 
+@query("""SELECT label, COUNT(*) AS spans, COUNT(DISTINCT id) AS articles FROM (SELECT id, 'agency' AS label, unnest(regexp_extract_all(content, '(?i)' || $A, 1)) AS t FROM articles UNION ALL SELECT id, 'amount', unnest(regexp_extract_all(content, '(?i)' || $M, 1)) FROM articles
+  UNION ALL SELECT id, 'location', unnest(regexp_extract_all(content, '(?i)' || $P, 1)) FROM articles) q GROUP BY label""".replace("$A", f"'{money.AGENCY}'").replace("$M", f"'{money.AMOUNT}'").replace("$P", f"'{money.PLACE}'"))
+def funds_entity_counts(spark, d):
+    """Spans by label, and the articles that have any."""
+    return funds_entity_spans(spark, d).groupBy("label").agg(F.count("*").alias("spans"), F.count_distinct("id").alias("articles"))
+
+
 @query()
 def dashboard_export(spark, d):
     """One JSON document per outlet, as the export writes them."""

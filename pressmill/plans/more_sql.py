@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pressmill.functions import money, sites, text, urls
 from pressmill.models import funds
+from pressmill.plans import dashboards
 from pressmill.plans.research import _DAY, _GRID
 
 
@@ -96,6 +97,10 @@ SQL = {
     "names_normalized": f"""SELECT id, CASE WHEN source <> '' THEN COALESCE({_map(text.SOURCES)}[lower(trim(source, ' '))], {_title("trim(source, ' ')")}) END AS source,
       CASE WHEN category <> '' THEN COALESCE({_map(text.CATEGORIES)}[replace(lower(trim(category, ' ')), '_', '-')], {_title("trim(category, ' ')")}) END AS category FROM articles""",
     "funds_gated": f"SELECT id, {_GATED} AS gated, c AS confidence, {_CANDIDATE} AS candidate FROM (SELECT id, t, {_SURE} AS c FROM (SELECT id, {_T} AS t FROM articles) q) q",
+    "confusion_matrix": f"""SELECT COUNT(*) AS n, COUNT(*) FILTER (x AND y) AS both_yes, COUNT(*) FILTER (x AND NOT y) AS missed, COUNT(*) FILTER (NOT x AND y) AS extra, COUNT(*) FILTER (NOT x AND NOT y) AS both_no, ROUND(AVG((x = y)::INTEGER), 6) AS agreement
+      FROM (SELECT is_funds AS x, {_RULE} AS y FROM (SELECT is_funds, {_T} AS t FROM articles WHERE is_funds IS NOT NULL) q) q""",
+    "funds_disagreements": f"SELECT id, is_funds, said FROM (SELECT id, is_funds, {_RULE} AS said FROM (SELECT id, is_funds, {_T} AS t FROM articles WHERE is_funds IS NOT NULL) q) q WHERE is_funds <> said ORDER BY id LIMIT 25",
+    "dashboard_export": f"SELECT source, to_json(struct_pack(source := source, articles := articles, avg_bias := avg_bias, avg_confidence := avg_confidence, pro_government := pro_government, pro_opposition := pro_opposition, neutral := neutral))::VARCHAR AS json FROM ({dashboards.SQL['dashboard_by_source']}) q",
     "funds_eval": f"""SELECT COUNT(*) AS n, COUNT(*) FILTER (x AND y) AS both_yes, COUNT(*) FILTER (x AND NOT y) AS rule_only, COUNT(*) FILTER (NOT x AND y) AS gate_only, COUNT(*) FILTER (NOT x AND NOT y) AS both_no, ROUND(AVG((x = y)::INTEGER), 6) AS agreement
       FROM (SELECT {_RULE} AS x, {_GATED} AS y FROM (SELECT t, {_SURE} AS c FROM (SELECT {_T} AS t FROM articles) q) q WHERE {_CANDIDATE}) q""",
     "funds_entities": f"""WITH {_E} SELECT x.id, array_to_string(agencies, '|') AS agencies, array_to_string(amounts, '|') AS amounts, total, p.primary_agency, ROUND(LEAST(CASE WHEN len(agencies) > 0 THEN 0.3 ELSE 0 END + CASE WHEN len(amounts) > 0 THEN 0.4 ELSE 0 END + CASE WHEN len(irregular) > 0 THEN 0.2 ELSE 0 END

@@ -90,12 +90,12 @@ def home_topn_per_source(spark, d):
     return top_k_per_key(a, ["source"], [F.desc("at"), F.desc("id")], 10).select("source", "id", "rank")
 
 
-@query(f"""WITH {SQL_A}, wanted AS (SELECT * FROM (VALUES ('Bayan Ledger'), ('Harbor Courier'), ('No Such Outlet')) v(source)),
-  r AS (SELECT source, id, ROW_NUMBER() OVER (PARTITION BY source ORDER BY moment DESC, id DESC) AS rank FROM a)
+@query(f"""WITH {SQL_A}, wanted AS (SELECT source FROM outlets UNION ALL SELECT 'No Such Outlet'), r AS (SELECT source, id, ROW_NUMBER() OVER (PARTITION BY source ORDER BY moment DESC, id DESC) AS rank FROM a)
   SELECT w.source, r.id, r.rank FROM wanted w LEFT JOIN r ON r.source = w.source AND r.rank <= 3""")
 def home_fixed_sources(spark, d):
-    wanted = spark.createDataFrame([("Bayan Ledger",), ("Harbor Courier",), ("No Such Outlet",)], "source string")
-    a = articles(spark, d).select("source", "id", "at").join(F.broadcast(wanted), "source", "left_semi")  # three names
+    """The newest three of each listed outlet, one row for an outlet without any."""
+    wanted = table(spark, d, "outlets").select("source").unionByName(spark.createDataFrame([("No Such Outlet",)], "source string"))
+    a = articles(spark, d).select("source", "id", "at").join(wanted, "source", "left_semi")
     return wanted.join(top_k_per_key(a, ["source"], [F.desc("at"), F.desc("id")], 3).select("source", "id", "rank"), "source", "left")
 
 
@@ -159,9 +159,9 @@ def articles_in_range(spark, d):
     return between(articles(spark, d), dt.datetime(2025, 6, 1, tzinfo=utc), dt.datetime(2025, 7, 1, tzinfo=utc)).select("id")
 
 
-@query("SELECT id, CASE WHEN length(title) > 60 THEN substr(title, 1, 60) || '...' ELSE title END AS title, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview FROM articles")
+@query("SELECT id, CASE WHEN length(title) > 160 THEN substr(title, 1, 160) || '...' ELSE title END AS title, CASE WHEN length(title) > 60 THEN substr(title, 1, 60) || '...' ELSE title END AS head, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview FROM articles")
 def article_previews(spark, d):
-    return table(spark, d, "articles").select("id", preview(F.col("title"), 60).alias("title"), preview(F.col("content")).alias("preview"))
+    return table(spark, d, "articles").select("id", preview(F.col("title"), 160).alias("title"), preview(F.col("title"), 60).alias("head"), preview(F.col("content")).alias("preview"))
 
 
 @query("""SELECT id, CASE WHEN sentiment_score >= 0.05 THEN 'positive' WHEN sentiment_score <= -0.05 THEN 'negative' WHEN sentiment_score IS NOT NULL THEN 'neutral' END AS label,

@@ -208,6 +208,22 @@ def political_scores(spark, d):
     return c.select("id", "matches", F.round("bias_score", 6).alias("bias_score"), "direction", F.round("confidence", 6).alias("confidence"))
 
 
+@query(r"""WITH k AS (SELECT a.id, l.category, COUNT(*) AS n FROM (SELECT id, lower(concat_ws(' ', title, content)) AS t FROM articles) a JOIN (SELECT category, lower(trim(term)) AS term FROM lexicon) l
+    ON CASE WHEN contains(l.term, ' ') THEN contains(a.t, l.term) ELSE regexp_matches(a.t, '\b' || l.term || '\b') END GROUP BY 1, 2),
+  s AS (SELECT id, SUM(n) AS matches, SUM(n * CASE category WHEN 'administration' THEN 0.4 WHEN 'local_government' THEN 0.3 WHEN 'public_works' THEN 0.2 WHEN 'praise' THEN 0.1 ELSE 0 END) AS g, SUM(n * CASE category WHEN 'opposition' THEN 0.3 WHEN 'graft_terms' THEN 0.3 WHEN 'protest' THEN 0.2 WHEN 'audit_terms' THEN 0.2 ELSE 0 END) AS o FROM k GROUP BY id),
+  t AS (SELECT id, lower(concat_ws(' ', title, content)) AS t FROM articles),
+  c AS (SELECT id, contains(t, 'government') OR contains(t, 'official') AS official, contains(t, 'slammed')::INT + contains(t, 'blasted')::INT + contains(t, 'hit back')::INT + contains(t, 'fired back')::INT AS informal,
+    contains(t, 'according to')::INT + contains(t, 'stated')::INT + contains(t, 'announced')::INT + contains(t, 'reported')::INT + contains(t, 'confirmed')::INT AS formal FROM t)
+  SELECT c.id, COALESCE(matches, 0)::BIGINT AS matches, ROUND(COALESCE(g, 0), 6)::DOUBLE AS government, ROUND(COALESCE(o, 0), 6)::DOUBLE AS opposition, ROUND(COALESCE(GREATEST(g, o)::DOUBLE / matches, 0), 6) AS keyword_score,
+    CASE WHEN official THEN 0.1 ELSE 0 END::DOUBLE AS source_pattern, CASE WHEN informal > formal THEN 0.2 WHEN formal > informal THEN -0.1 ELSE 0 END::DOUBLE AS language_patterns FROM c LEFT JOIN s ON s.id = c.id""")
+def political_keywords(spark, d):
+    """What the leaning of an article is made of, but for its sentiment."""
+    a = _texts(spark, d).select("id", F.concat_ws(" ", "title", "content").alias("t"))
+    c = political.components(a, F.col("t"), table(spark, d, "lexicon"), F.lit(0.0))
+    r = lambda x: F.round(x, 6).alias(x)
+    return c.select("id", F.col("matches").cast("bigint").alias("matches"), r("government"), r("opposition"), r("keyword_score"), "source_pattern", "language_patterns")
+
+
 @query()
 def sentiment_scores(spark, d):
     s = _texts(spark, d).select("id", sentiment.score(F.concat_ws(" ", "title", "content")).alias("compound"))
@@ -240,10 +256,10 @@ def mined_bodies(spark, d):
     return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "acronym")).cast("bigint"))  # a row a body
 
 
-@query()
+@query(r"""SELECT id, array_to_string(list_filter(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: length(x) BETWEEN 3 AND 80)[1:10], '|') AS phrases FROM (SELECT id, regexp_extract_all(content, '(?:^|[^\p{L}\p{N}_])((?:[A-Z][\p{L}\p{N}_\-]+\s+){1,4}[A-Z][\p{L}\p{N}_\-]*[\p{L}\p{N}_])', 1) AS l FROM articles WHERE content IS NOT NULL) q""")
 def keyphrases(spark, d):
-    runs = F.filter(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b((?:[A-Z][\w\-]+\s+){1,4}[A-Z][\w\-]+)\b"), F.lit(1))), lambda p: F.length(p).between(3, 80))
-    return _texts(spark, d).where(F.col("content").isNotNull()).select("id", F.slice(runs, 1, 10).alias("phrases"))
+    runs = F.filter(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?<![\p{L}\p{N}_])((?:[A-Z][\p{L}\p{N}_\-]+\s+){1,4}[A-Z][\p{L}\p{N}_\-]*[\p{L}\p{N}_])"), F.lit(1))), lambda p: F.length(p).between(3, 80))
+    return _texts(spark, d).where(F.col("content").isNotNull()).select("id", F.array_join(F.slice(runs, 1, 10), "|").alias("phrases"))
 
 
 @query("SELECT DISTINCT lower(term) AS term FROM lexicon EXCEPT SELECT DISTINCT unnest(tags) FROM articles")
@@ -304,7 +320,10 @@ def html_articles(spark, d):
     return r.select("id", html.title_text(p).alias("title"), html.page_category(p, F.lit(None).cast("string")).alias("category"), p["date"].alias("date"), body.alias("content"), html.is_thin(p, body).alias("thin"), html.jsonld_article(p)["headline"].alias("headline"), html.meta_content(F.col("raw_html"), "property", "og:type").alias("og_type"), html.data_layer_category(F.col("raw_html")).alias("data_layer"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT id, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS h, unnest(regexp_extract_all(raw_html, '<a href="([^"#][^"]*)"[^>]*>[^<]*</a>', 1)) AS u, unnest(regexp_extract_all(raw_html, '<a href="[^"#][^"]*"[^>]*>([^<]*)</a>', 1)) AS t,
+    unnest(range(len(regexp_extract_all(raw_html, '<a href="[^"#][^"]*"[^>]*>[^<]*</a>')))) AS pos FROM raw_articles),
+  n AS (SELECT id, pos, CASE WHEN u LIKE '/%' THEN COALESCE('https://www.' || h || '.example', '') || u ELSE u END AS url, t FROM a)
+  SELECT id, pos, url, t AS text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id, url ORDER BY pos) AS rn FROM n) q WHERE rn = 1""")
 def html_links(spark, d):
     r = table(spark, d, "raw_articles").withColumn("base", F.concat(F.lit("https://www."), text.fold_name(F.col("source")), F.lit(".example/")))
     return discovered_links(r, "id", "raw_html", "base")
