@@ -288,8 +288,12 @@ def label(lines: list[str], title: str | None = None, tags: list[int] | None = N
     smooth = _smooth(ratio)
     cut = _threshold(smooth)
     last_prose = max((p for p, i in enumerate(rest) if kinds[i] in (_PROSE, _ITEM)), default=-1)
+    # without any prose the longest line, if it has the words of one, is all there is of the report: its cut-off beginning
+    longest = max(rest, key=lambda i: len(lines[i])) if last_prose < 0 else -1
+    if longest >= 0 and len(_WORD.findall(lines[longest])) >= 4 and lines[longest].strip().lower() != own:
+        out[longest] = REPORT
     for p, i in enumerate(rest):
-        if kinds[i] != _OPEN:
+        if kinds[i] != _OPEN or i == longest and out[i] == REPORT:
             continue
         if lines[i].strip().lower() == own:
             out[i] = REPORT

@@ -24,6 +24,7 @@ def test_labels():
     assert marks(p[0], "* Malaya Bay: 34 teachers", "- Salinaw: 9 nurses", p[1]) == [r] * 4
     assert marks(p[0], "We use cookies to measure visits. Accept all or manage choices.", p[1], "READ: Another story", "Tags: one, two, three") == [r, f, r, f, f]
     assert marks(p[0], "A team of engineers will stu") == [r, r]
+    assert marks("Home | News | Login", "By Juan dela Cruz", "A team of engineers will stu") == [f, f, r] and marks("Home", "Rain fell", title="Rain fell") == [f, r]
     assert marks() == [] and marks("") == [0] and marks("12:30", "—") == [0, 0]
     assert marks("word " * 50_000 + "end.") == [r]
 
