@@ -19,6 +19,7 @@ then the lowest id, is taken; repeated rows keep their number.
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ def bare(text: str) -> str:
 
 def readings(typed: str) -> list[str]:
     """The bare forms a value may be meant as, the plainest first."""
-    typed = unicodedata.normalize("NFKC", typed)
+    typed = html.unescape(html.unescape(unicodedata.normalize("NFKC", typed)))
     parts = [typed, *(p for p in reversed(_SPLIT.split(typed)) if p)]
     out: list[str] = []
     for p in parts:

@@ -31,7 +31,7 @@ def test_article_sections(spark):
     ref = spark.createDataFrame(ENTRIES, LIST)
     cases = [
         ("Home » foreignn affaers »", 1), ("ＤＩＰＬＯＭＡＣＹ", 1), ("S P O R T S", 3), ("Latest Spotrs", 3), ("arts_+_culture", 2), ("Arts and Culture", 2), ("News / Faith", 5), ("Fod", 4), ("Region", 0), ("Horoscope", 0),
-        ("-", 0), ("sports" * 4000, 0), ("Réligíon News", 5), ("cat=food", 4),
+        ("-", 0), ("sports" * 4000, 0), ("Réligíon News", 5), ("cat=food", 4), ("Arts_&amp;_Cultrue", 2), ("arts&amp;amp;culture |", 2),
     ]
     rows = [(i, v, "Sports", "clash", 0) for i, (v, _) in enumerate(cases)] + [(100, None, "palakasan", None, 1), (101, " ​", None, None, 2), (102, "Sports", None, None, 3), (102, "Sports", None, None, 3), (103, "", "  ", None, 4)]
     a = spark.createDataFrame(rows, "id long, raw_category string, category string, typed string, category_id int")
