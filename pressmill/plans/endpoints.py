@@ -116,13 +116,17 @@ def titles_sanitized(spark, d):
 
 @query(f"""WITH {SQL_A}, {SQL_B}, w AS (SELECT a.source, a.day, sentiment_label, sentiment_score FROM b JOIN a ON a.id = b.article_id WHERE model_type = 'sentiment')
   SELECT COUNT(*) AS n, COUNT(DISTINCT day) AS days, COUNT(DISTINCT source) AS sources, ROUND(AVG(sentiment_score), 6) AS average, ROUND(stddev_pop(sentiment_score), 6) AS volatility,
+    COUNT(*) FILTER (sentiment_label = 'positive') AS positive, COUNT(*) FILTER (sentiment_label = 'negative') AS negative, COUNT(*) FILTER (sentiment_label = 'neutral') AS neutral,
+    CASE WHEN COUNT(*) FILTER (sentiment_label = 'positive') > COUNT(*) FILTER (sentiment_label = 'negative') THEN 'positive' WHEN COUNT(*) FILTER (sentiment_label = 'positive') < COUNT(*) FILTER (sentiment_label = 'negative') THEN 'negative' ELSE 'balanced' END AS pattern,
     ROUND(1.96 * sqrt(0.25 / COUNT(*)), 6) AS margin, CASE WHEN COUNT(*) > 1000 THEN 0.95 WHEN COUNT(*) > 100 THEN 0.8 ELSE 0.5 END::DOUBLE AS power FROM w""")
 def research_summary(spark, d):
     from pressmill.operators import stats
 
     w = analyses(spark, d).where(F.col("model_type") == "sentiment").join(articles(spark, d).select(F.col("id").alias("article_id"), "source", "day"), "article_id")
-    s = w.agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"), F.count_distinct("source").alias("sources"), F.round(F.avg("sentiment_score"), 6).alias("average"), F.round(F.stddev_pop("sentiment_score"), 6).alias("volatility"))
-    return s.withColumns({"margin": F.round(stats.margin_of_error(F.col("n")), 6), "power": stats.power_band(F.col("n"))})
+    label = lambda x: F.count_if(F.col("sentiment_label") == x).alias(x)
+    s = w.agg(label("positive"), label("negative"), label("neutral"), F.count("*").alias("n"), F.count_distinct("day").alias("days"), F.count_distinct("source").alias("sources"), F.round(F.avg("sentiment_score"), 6).alias("average"), F.round(F.stddev_pop("sentiment_score"), 6).alias("volatility"))
+    pattern = F.when(F.col("positive") > F.col("negative"), "positive").when(F.col("positive") < F.col("negative"), "negative").otherwise("balanced")
+    return s.withColumns({"pattern": pattern, "margin": F.round(stats.margin_of_error(F.col("n")), 6), "power": stats.power_band(F.col("n"))})
 
 
 @query()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
 
-from pressmill.functions import dates
+from pressmill.functions import dates, lexicon
 from pressmill.functions.urls import canonical_url
 from pressmill.plans.common import AS_OF
 from pressmill.plans.dashboards import dashboard_by_source, dashboard_timeline
@@ -79,6 +80,17 @@ def json_arrays(spark, d):
     return readers.json_array(spark, path, "event_id long, user_id long, event_type string, value double", per_line=True)
 
 
+@query("SELECT category, lower(trim(term)) AS term, COUNT(*) AS n FROM lexicon WHERE category IS NOT NULL AND term IS NOT NULL GROUP BY 1, 2")
+def lexicon_file(spark, d):
+    """The lexicon as a file of terms and weights, read back."""
+    path, doc = _folder(spark, "lexicon"), {"version": "1", "keywords": {}, "weights": {}}
+    for c, t, w in table(spark, d, "lexicon").where(F.col("category").isNotNull() & F.col("term").isNotNull()).select("category", "term", "weight").collect():  # a table of fixed size
+        doc["keywords"].setdefault(c, []).append(t)
+        doc["weights"].setdefault(c, w)
+    spark.createDataFrame([(json.dumps(doc),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return lexicon.load_json(spark, path).groupBy("category", F.lower(F.trim("term")).alias("term")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT run_id, id, status FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY completed_at DESC NULLS LAST, id DESC) AS rn FROM scraping_logs) q WHERE rn = 1""")
 def upsert_twice(spark, d):
     """The run log merged into a table kept by key, in two halves and then once more: latest wins, and the last time changes nothing."""

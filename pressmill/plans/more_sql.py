@@ -101,6 +101,9 @@ SQL = {
       FROM (SELECT is_funds AS x, {_RULE} AS y FROM (SELECT is_funds, {_T} AS t FROM articles WHERE is_funds IS NOT NULL) q) q""",
     "funds_disagreements": f"SELECT id, is_funds, said FROM (SELECT id, is_funds, {_RULE} AS said FROM (SELECT id, is_funds, {_T} AS t FROM articles WHERE is_funds IS NOT NULL) q) q WHERE is_funds <> said ORDER BY id LIMIT 25",
     "dashboard_export": f"SELECT source, to_json(struct_pack(source := source, articles := articles, avg_bias := avg_bias, avg_confidence := avg_confidence, pro_government := pro_government, pro_opposition := pro_opposition, neutral := neutral))::VARCHAR AS json FROM ({dashboards.SQL['dashboard_by_source']}) q",
+    "html_articles": rf"""SELECT id, COALESCE(list_filter(list_transform(regexp_extract_all(raw_html, '<h[12][^>]*>([^<]*)(?:</h[12]>|$)', 1), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: length(x) >= 10)[1], NULLIF(trim(regexp_replace(regexp_extract(raw_html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g'), ' '), '')) AS title,
+      COALESCE({_map(text.CATEGORIES)}[replace(lower(trim(c, ' ')), '_', '-')], {_title("trim(c, ' ')")}, 'General') AS category, NULL::VARCHAR AS date, NULLIF(array_to_string(list_filter(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: length(x) >= 20 AND NOT regexp_matches(x, '(?i)^(?:advertisement|read more|related|follow us|copyright|all rights reserved)')), chr(10)), '') AS content,
+      false AS thin, NULL::VARCHAR AS headline, NULL::VARCHAR AS og_type, NULL::VARCHAR AS data_layer FROM (SELECT id, raw_html, NULLIF(replace(regexp_extract(raw_html, 'article:section" content="([^"]*)"', 1), '&amp;', '&'), '') AS c, list_transform(regexp_extract_all(raw_html, '<p>([^<]*)(?:</p>|$)', 1), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')) AS l FROM raw_articles) q""",
     "funds_eval": f"""SELECT COUNT(*) AS n, COUNT(*) FILTER (x AND y) AS both_yes, COUNT(*) FILTER (x AND NOT y) AS rule_only, COUNT(*) FILTER (NOT x AND y) AS gate_only, COUNT(*) FILTER (NOT x AND NOT y) AS both_no, ROUND(AVG((x = y)::INTEGER), 6) AS agreement
       FROM (SELECT {_RULE} AS x, {_GATED} AS y FROM (SELECT t, {_SURE} AS c FROM (SELECT {_T} AS t FROM articles) q) q WHERE {_CANDIDATE}) q""",
     "funds_entities": f"""WITH {_E} SELECT x.id, array_to_string(agencies, '|') AS agencies, array_to_string(amounts, '|') AS amounts, total, p.primary_agency, ROUND(LEAST(CASE WHEN len(agencies) > 0 THEN 0.3 ELSE 0 END + CASE WHEN len(amounts) > 0 THEN 0.4 ELSE 0 END + CASE WHEN len(irregular) > 0 THEN 0.2 ELSE 0 END

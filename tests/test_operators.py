@@ -199,6 +199,15 @@ def test_site_rules(spark):
             assert df.select(sites.section(F.col("u"), sites.SECTIONS[site])["category"]).first()[0] == section, u
 
 
+def test_jdbc(spark):
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(100)], "id int, name string")
+    url = "jdbc:derby:memory:tests;create=true"
+    df.write.format("jdbc").option("url", url).option("dbtable", "t").option("driver", "org.apache.derby.jdbc.EmbeddedDriver").save()
+    whole = readers.jdbc(spark, "jdbc:derby:memory:tests", 'select * from t where "id" < 50')
+    parts = readers.jdbc(spark, "jdbc:derby:memory:tests", "select * from t", "id", (0, 100), 4)
+    assert whole.count() == 50 and parts.count() == 100 and parts.rdd.getNumPartitions() == 4
+
+
 def test_readers(spark, tmp_path):
     rss = '<rss><channel><item><title>A</title><link> https://g.com/x?url=https%3A%2F%2FA.com%2Fb%2F </link><pubDate>Tue, 02 Sep 2025 22:43:35 +0800</pubDate><category>News</category></item><item><title>B</title><link>https://b.com</link></item></channel></rss>'
     (tmp_path / "r.xml").write_text(rss)

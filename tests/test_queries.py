@@ -21,6 +21,10 @@ def norm(v):
     return v
 
 
+#: Queries without SQL that find nothing in the smallest tables.
+NO_ROWS = ("html_stubs",)
+
+
 @pytest.fixture(scope="module")
 def duck(data):
     con = duckdb.connect()
@@ -34,7 +38,9 @@ def test_query(spark, data, duck, name):
     df = registry.QUERIES[name](spark, data)
     columns = sorted(df.columns)
     rows = [tuple(norm(r[c]) for c in columns) for r in df.collect()]
+    assert columns and len(set(columns)) == len(columns)
     if name not in registry.SQL:
+        assert rows or name in NO_ROWS
         return
     q = duck.execute(registry.SQL[name])
     names = [x[0] for x in q.description]
