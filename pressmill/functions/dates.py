@@ -58,8 +58,9 @@ def published_line(text: Column, zone: str = MANILA) -> Column:
     return coalesce_formats(F.initcap(F.lower(m)), ["MMMM d, yyyy h:mm a", "MMM d, yyyy h:mm a", "MMMM d, yyyy", "MMM d, yyyy"], zone)
 
 
-def has_iso_day(text: Column) -> Column:
-    return text.rlike(r"\d{4}-\d{2}-\d{2}")
+def kept_or(text: Column, as_of: dt.datetime) -> Column:
+    """The text where it holds a day as yyyy-mm-dd, else the time `as_of` (a parameter, never the clock); NULL counts as without."""
+    return F.when(text.rlike(r"\d{4}-\d{2}-\d{2}"), text).otherwise(F.lit(as_of.astimezone(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")))
 
 
 def rfc2822(text: Column) -> Column:

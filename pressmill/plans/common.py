@@ -28,8 +28,8 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, d, version_of(spark, f"{d}/articles.parquet"), version_of(spark, f"{d}/outlets.parquet"))
     if key not in _dated:
-        a = table(spark, d, "articles").drop("content")
-        keep = tuple(c for c in a.columns if c not in ("id", "published_at"))
+        a = table(spark, d, "articles")
+        keep = ("source", "category", "raw_category", "title", "url", "is_funds", "tags", "inserted_at", "updated_at")
         u = utc_instants(a, table(spark, d, "outlets"), keep=keep)
         at = F.coalesce(F.timestamp_micros("utc_us"), F.col("inserted_at"))
         u = u.select(F.col("article_id").alias("id"), *keep, "published_at", at.alias("at")).withColumns({"day": local_date(F.col("at")), "month": F.date_format("at", "yyyy-MM")})

@@ -155,6 +155,12 @@ def dates_read(spark, d):
     return a.select("id", s(dates.rfc2822(F.col("mail"))).alias("mail"), s(dates.published_line(F.col("line"), None)).alias("line"), s(dates.coalesce_formats(F.col("day"), ["yyyy-MM-dd", "MM/dd/yyyy"])).alias("day"), dates.iso_date(F.col("iso")).alias("manila"))
 
 
+@query("SELECT id, CASE WHEN regexp_matches(published_at, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN published_at ELSE '2025-12-15T04:00:00Z' END AS published FROM articles")
+def dates_kept(spark, d):
+    """Publication texts that hold an ISO day, the time of reference in the place of others."""
+    return table(spark, d, "articles").select("id", dates.kept_or(F.col("published_at"), AS_OF).alias("published"))
+
+
 _BUCKET = "(epoch_us(ts) - 57600000000) // 86400000000 * 86400 + 57600"
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.functions.dates import day_window, utc_bounds
+from pressmill.functions.dates import bounded, day_window, utc_bounds
 from pressmill.functions.text import contains_all, preview, threshold_label
 from pressmill.operators.relational import latest_per_key, optional_filters, page, top_k_per_key
 from pressmill.plans.common import AS_OF, SQL_A, SQL_B, analyses, articles, between, by_article, mean_of, rounded, us
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 def trends(spark: SparkSession, d: str, days: int = 30, source: str | None = None) -> DataFrame:
     """Sentiment by Manila day: all articles, their sentiment rows by label, mean score and shares of all articles. Days without articles don't appear; rows without a label count as neutral."""
-    first, last = day_window(AS_OF, days)
+    first, last = day_window(AS_OF, bounded(days, 1, 180))
     lo, hi = utc_bounds(first, last)
     a = between(optional_filters(articles(spark, d), source=source), lo, hi).select("id", "day")
     b = by_article(analyses(spark, d).where(F.col("model_type") == "sentiment")).withColumnRenamed("article_id", "id")

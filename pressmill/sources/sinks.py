@@ -75,6 +75,8 @@ def upsert(changes: DataFrame, path: str, keys: list[str], order: list[str], buc
     ch = staged(changes.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "changes")
     touched = sorted(r[0] for r in ch.select("bucket").distinct().collect())  # at most `buckets`
     if not touched:
+        if not _exists(spark, path):  # an empty table, with its columns
+            ch.drop("bucket").limit(0).coalesce(1).write.parquet(f"{path.rstrip('/')}/bucket=0")
         return
     _recover(spark, path)
     if _exists(spark, path):

@@ -75,3 +75,20 @@ def test_outlets_by_day_and_in_any_spelling(spark, data, duck):
     days = Counter(s for s, _ in got)
     assert {r.source: r.n for r in registry.QUERIES["daily_score_ols"](spark, data).collect()} == {s: n for s, n in days.items() if n >= 14}
     assert {r.source for r in registry.QUERIES["key_factors"](spark, data).collect()} == set(days)
+
+
+def test_empty_tables_and_clashing_columns(spark, data, tmp_path):
+    """Every query by day runs over empty tables, and over tables with further columns of the names it uses itself."""
+    names = ("trends_daily", "coverage_daily", "sentiment_daily_scores", "daily_score_ols", "lagged_correlation", "top_influencers", "key_factors", "funds_trends", "funds_date_distribution", "keyword_match_counts", "bias_summary", "confusion_matrix", "upsert_twice", "p2_found")
+    want = {}
+    for name in names:
+        want[name] = registry.QUERIES[name](spark, data).count()
+    for kind in ("empty", "clash"):
+        folder = tmp_path / kind
+        for t in ("articles", "bias_analysis", "outlets", "lexicon", "scraping_logs"):
+            df = spark.read.parquet(f"{data}/{t}.parquet")
+            df = df.limit(0) if kind == "empty" else df.selectExpr("*", *[f"'x' AS {c}" for c in ("at", "day", "month", "outlet", "zone", "utc_us", "local_us", "n", "k", "bucket", "seen") if c not in df.columns])
+            df.write.parquet(f"{folder}/{t}.parquet")
+        for name in names:
+            rows = registry.QUERIES[name](spark, str(folder)).count()
+            assert rows == want[name] if kind == "clash" else rows <= 1, (kind, name)
